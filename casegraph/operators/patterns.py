@@ -29,8 +29,9 @@ COUNTS = ["layer", "document_count", "connection_count"]
 def _sample(entities: DataFrame, k: int) -> DataFrame:
     best = entities.orderBy(F.desc_nulls_first("connection_count"), "id").limit(k)
     lists = [c for c in MATCH_LISTS if c in entities.columns]
-    return with_defaults(best, COUNTS, lists).select(
-        "id", "canonical_name", "entity_type", *COUNTS, *lists
+    counts = [c for c in COUNTS if c in entities.columns]
+    return with_defaults(best, counts, lists).select(
+        "id", "canonical_name", "entity_type", *counts, *lists
     )
 
 
@@ -233,10 +234,12 @@ def clustering(edges: DataFrame) -> DataFrame:
         degree.select(F.col("source").alias("target"), F.col("degree").alias("d2")), "target"
     )
     forward = (F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("source") < F.col("target")))
-    low, high = F.struct("d1", "source"), F.struct("d2", "target")
+    one_end = F.struct(F.col("d1").alias("d"), F.col("source").alias("id"))
+    other_end = F.struct(F.col("d2").alias("d"), F.col("target").alias("id"))
     directed = ranked.select(
-        F.when(forward, low).otherwise(high).alias("u"), F.when(forward, high).otherwise(low).alias("v")
-    ).select(F.col("u.source").alias("u"), F.col("v.target").alias("v"), F.col("v.d2").alias("dv"))
+        F.when(forward, one_end).otherwise(other_end).alias("u"),
+        F.when(forward, other_end).otherwise(one_end).alias("v"),
+    ).select(F.col("u.id").alias("u"), F.col("v.id").alias("v"), F.col("v.d").alias("dv"))
     one = directed.select("u", F.col("v").alias("a"), F.col("dv").alias("da"))
     two = directed.select("u", F.col("v").alias("b"), F.col("dv").alias("db"))
     wedges = one.join(two, "u").where(

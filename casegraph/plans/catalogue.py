@@ -16,7 +16,7 @@ from casegraph.plans.sample_model import MARKER, ROOT, SampleModel, sql_similari
 from casegraph.sources import analyses, lines, loading
 from casegraph.sources.lines import extract_documents
 from casegraph.streaming import ingest, stats
-from casegraph.workspace import scratch_dir
+from casegraph.workspace import checkpointed, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -308,7 +308,7 @@ def q_search_registry(m):
 def _match_sql(source: str, name: str, types: str) -> str:
     return f"""SELECT e.id AS entity_id, '{source}' AS source, r.id AS source_id, score AS match_score,
     row_number() OVER (PARTITION BY e.id ORDER BY score DESC, r.id) AS place
-    FROM titled e JOIN similar s ON s.name1 = e.canonical_name JOIN {source} r ON r.{name} = s.name2
+    FROM titled e JOIN alike s ON s.name1 = e.canonical_name JOIN {source} r ON r.{name} = s.name2
     WHERE e.entity_type IN ({types})"""
 
 
@@ -318,7 +318,7 @@ _MATCHES = (
     + _match_sql("fec", "contributor_name", "'person'") + " UNION ALL "
     + _match_sql("grants", "recipient_name", "'person', 'organization'") + ") WHERE place <= 5"
 )
-_MATCH_TABLES = ("titled", "similar", "ppp", "fec", "grants")
+_MATCH_TABLES = ("titled", "alike", "ppp", "fec", "grants")
 
 
 @query(f"SELECT entity_id, source, source_id, round(match_score, 6) AS match_score FROM ({_MATCHES})", _MATCH_TABLES)
@@ -330,7 +330,7 @@ def _reviewed(m):
     """The matches of q_fuzzy_match; a reviewer marked entities whose title is longer than 60 as wrong."""
     long_titles = m.titled.where(F.length("canonical_name") > 60).select(F.col("id").alias("entity_id"), F.lit(True).alias("wrong"))
     found = crossref.match_all(m.titled, m.registries).join(long_titles, "entity_id", "left")
-    return found.withColumn("false_positive", F.coalesce("wrong", F.lit(False))).drop("wrong")
+    return checkpointed(found.withColumn("false_positive", F.coalesce("wrong", F.lit(False))).drop("wrong"))
 
 
 @query(
@@ -352,7 +352,7 @@ def q_crossref_summary(m):
     f"""SELECT source, count(*) AS n FROM ({_MATCHES}) GROUP BY 1""", _MATCH_TABLES
 )
 def q_match_counts(m):
-    found = crossref.save_matches(None, crossref.match_all(m.titled, m.registries))
+    found = checkpointed(crossref.save_matches(None, crossref.match_all(m.titled, m.registries)))
     again = crossref.save_matches(found, found)
     return again.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
@@ -385,7 +385,7 @@ parts AS (SELECT id, string_split(plain, ' ') AS t FROM names),
 people AS MATERIALIZED (SELECT id, t[1] AS first, t[-1] AS last, array_to_string(t[2:-2], ' ') AS middle FROM parts
     WHERE len(t) >= 2 AND length(t[-1]) > 1 AND length(array_to_string(t[2:-2], ' ')) <= 1),
 links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM names a JOIN names b ON a.plain = b.plain AND a.plain <> ''
-    UNION SELECT a.id, b.id FROM similar s JOIN names a ON a.name = s.name1 JOIN names b ON b.name = s.name2
+    UNION SELECT a.id, b.id FROM alike s JOIN names a ON a.name = s.name1 JOIN names b ON b.name = s.name2
     UNION SELECT f.id, p.id FROM people p JOIN people f ON p.last = f.last AND p.first = substring(f.first, 1, 1)
         WHERE length(p.first) = 1 AND length(f.first) > 1 AND (SELECT count(DISTINCT q.first) FROM people q
         WHERE q.last = p.last AND substring(q.first, 1, 1) = p.first AND length(q.first) > 1) = 1
@@ -403,7 +403,7 @@ placed AS MATERIALIZED (SELECT id, min(root) AS cluster FROM reach GROUP BY 1)
     ", " + _CLUSTER_NAMES + """SELECT p.id, p.cluster, c.name AS canonical_name FROM placed p JOIN (
     SELECT cluster, name FROM (SELECT p.cluster, n.name, row_number() OVER (PARTITION BY p.cluster
     ORDER BY n_chars DESC, length(n.name) DESC, n.name, n.id) AS rn FROM placed p JOIN names n USING (id)) WHERE rn = 1) c
-    ON c.cluster = p.cluster""", ("titled", "similar"),
+    ON c.cluster = p.cluster""", ("titled", "alike"),
 )
 def q_alias_clusters(m):
     names = m.titled.select("id", F.col("canonical_name").alias("name"), F.col("n_chars").alias("mentions"))
@@ -431,7 +431,7 @@ wanted AS MATERIALIZED (SELECT query_id, count(*) AS n FROM asked GROUP BY 1),
 hits AS MATERIALIZED (SELECT query_id, id, term, position FROM (SELECT DISTINCT id, term, least(position, 16383) AS position FROM tokens)
     JOIN asked USING (term)
     QUALIFY row_number() OVER (PARTITION BY query_id, id, term ORDER BY position) <= 256),
-matched AS MATERIALIZED (SELECT query_id, id FROM hits GROUP BY ALL HAVING count(DISTINCT term) = (SELECT n FROM wanted w WHERE w.query_id = hits.query_id)),
+matched AS MATERIALIZED (SELECT query_id, id FROM (SELECT query_id, id, count(DISTINCT term) AS k FROM hits GROUP BY ALL) JOIN wanted USING (query_id) WHERE k = n),
 near AS (SELECT query_id, id, 1 - exp(sum(ln(1 - sqrt(0.01 * CASE WHEN abs(a.position - b.position) > 100 THEN 1e-30
     ELSE 1 / (1.005 + 0.05 * exp(abs(a.position - b.position) / 1.5 - 2)) END)))) AS score
     FROM hits a JOIN hits b USING (query_id, id) JOIN matched USING (query_id, id)
@@ -465,8 +465,8 @@ def _mention_sql(kind: str, pattern: str) -> str:
 
 @query(
     " UNION ALL ".join(_mention_sql(k, p) for k, p in extraction.PATTERNS.items())
-    + f""" UNION ALL SELECT doc_id, name, 'reference', count(*)::INT, min(at)::INT FROM (
-    SELECT doc_id, g.name, s.i AS at FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents) d,
+    + f""" UNION ALL SELECT doc_id, name, 'reference', count(*)::INT, min(pos)::INT FROM (
+    SELECT doc_id, g.name, s.i AS pos FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents) d,
     (SELECT array_to_string(w, ' ') AS run, any_value(len(w)) AS n, min(name) AS name FROM (
         SELECT name, {sql_words('name')} AS w FROM (SELECT DISTINCT trim(unnest(string_split(text, '.'))) AS name FROM benchmark))
         WHERE len(w) BETWEEN 3 AND 8 GROUP BY 1) g,

@@ -307,7 +307,7 @@ SQL = {
         source, n_chars FROM documents""",
     "grams": f"""SELECT canonical_name, {sql_trigrams('canonical_name')} AS g
         FROM (SELECT DISTINCT canonical_name FROM titled)""",
-    "similar": f"""SELECT a.canonical_name AS name1, b.canonical_name AS name2, {sql_similarity('a.g', 'b.g')} AS score
+    "alike": f"""SELECT a.canonical_name AS name1, b.canonical_name AS name2, {sql_similarity('a.g', 'b.g')} AS score
         FROM grams a JOIN grams b ON len(a.g) * 10 >= len(b.g) * 7 AND len(b.g) * 10 >= len(a.g) * 7
         WHERE 10 * len(list_intersect(a.g, b.g)) >= 7 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))
         AND len(a.g) > 0""",

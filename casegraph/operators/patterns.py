@@ -21,6 +21,7 @@ from casegraph.operators.filters import (
 from casegraph.operators.pairs import HUB_SIZE, mirrored, pair_counts
 from casegraph.operators.ranking import PEOPLE_AND_ORGS
 from casegraph.operators.traversal import joint_documents
+from casegraph.workspace import checkpointed
 
 MATCH_LISTS = ["ppp_matches", "fec_matches", "grants_matches"]
 COUNTS = ["layer", "document_count", "connection_count"]
@@ -262,7 +263,7 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 def density_outliers(edges: DataFrame, z: float = 2.0) -> DataFrame:
     """Entities whose neighbourhood is unusually dense or sparse, by standard score."""
-    scored = clustering(edges)
+    scored = checkpointed(clustering(edges))
     mean = scored.agg(F.avg("density")).scalar()
     deviation = scored.agg(F.stddev_pop("density")).scalar()
     return (

@@ -518,7 +518,7 @@ def q_parse_analyses(m):
 
 
 def _loaded(m):
-    parsed = analyses.parse_analyses(m.answers)
+    parsed = checkpointed(analyses.parse_analyses(m.answers))
     return parsed, loading.resolve_endpoints(parsed)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from casegraph.operators.cooccurrence import cooccurrence, edges, with_stats
 from casegraph.operators.traversal import with_layers
 from casegraph.sources.lines import assign_dataset
+from casegraph.workspace import scratch_dir, stored
 
 ROOT = 1
 MARKER = r"^DOC\d{8}$"
@@ -23,7 +24,10 @@ TYPE_OF = {"en": "person", "es": "location"}
 
 
 class SampleModel:
-    """Tables of the data model for one folder of sample tables; everything is lazy."""
+    """Tables of the data model for one folder of sample tables.
+
+    Mention and entity tables are written once per model, as a real corpus would keep them.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -73,13 +77,14 @@ class SampleModel:
 
     @cached_property
     def mentions(self) -> DataFrame:
-        return self.occurrences.groupBy("document_id", "entity_id").agg(
+        counted = self.occurrences.groupBy("document_id", "entity_id").agg(
             F.count(F.lit(1)).cast("int").alias("mention_count"))
+        return stored(counted, "mentions")
 
     @cached_property
     def entities(self) -> DataFrame:
         """Entities with document and connection counts."""
-        return with_stats(self.names, self.mentions)
+        return stored(with_stats(self.names, self.mentions), "entities")
 
     @cached_property
     def graph_mentions(self) -> DataFrame:
@@ -98,7 +103,7 @@ class SampleModel:
     @cached_property
     def network(self) -> DataFrame:
         """Weighted edges between people and organizations."""
-        return edges(self.mentions, self.entities)
+        return stored(edges(self.mentions, self.entities), "edges")
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -222,8 +227,6 @@ class SampleModel:
 
         Toxic documents start with an empty chunk; low-quality ones are repeated with another body.
         """
-        from casegraph.workspace import scratch_dir
-
         folder = scratch_dir(self.spark, "dump")
         docs = self.table("documents").join(self.table("labels"), "doc_id", "left")
         marker = F.concat(F.lit("DOC"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))

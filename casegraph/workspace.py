@@ -38,3 +38,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/casegraph/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, read with pruning."""
+    folder = scratch_dir(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casegraph.functions.text import words
+from casegraph.workspace import stored
 
 PATTERNS = {
     "date": r"\b\d{4}-\d{2}-\d{2}\b",
@@ -46,46 +47,47 @@ def pattern_mentions(documents: DataFrame, patterns: dict[str, str]) -> DataFram
     return reduce(DataFrame.unionByName, parts)
 
 
-def gazetteer_mentions(documents: DataFrame, gazetteer: DataFrame, max_words: int = 8) -> DataFrame:
+def gazetteer_mentions(documents: DataFrame, gazetteer: DataFrame, max_words: int | None = None) -> DataFrame:
     """Mentions of the names in (name, entity_type), compared word by word without case.
 
-    Word runs of every needed length meet the gazetteer in an equi-join; each document counts a
-    run once before the shuffle, so frequent words do not multiply. ``first_mention`` is the
-    number of words before the name.
+    Each name is looked up by its rarest word, counted over the corpus, so frequent words start
+    no comparison; the rest of the name is then compared at that place in the text.
+    ``first_mention`` is the number of words before the name.
     """
-    names = (
-        gazetteer.withColumn("run", F.array_join(words(F.col("name")), " "))
-        .withColumn("_n", F.size(words(F.col("name"))))
-        .where((F.col("_n") > 0) & (F.col("_n") <= max_words))
-        .groupBy("run", "entity_type")
-        .agg(F.min("name").alias("name"), F.first("_n").alias("_n"))
+    texts = documents.select(F.col("id").alias("document_id"), words(F.col("full_text")).alias("_w"))
+    names = gazetteer.select("name", "entity_type", words(F.col("name")).alias("_run")).where(F.size("_run") > 0)
+    if max_words is not None:
+        names = names.where(F.size("_run") <= max_words)
+    names = names.groupBy("_run", "entity_type").agg(F.min("name").alias("name"))
+    placed = names.select("*", F.posexplode("_run").alias("_offset", "_word"))
+    tokens = texts.select("document_id", F.posexplode("_w").alias("_at", "_word"))
+    frequency = (
+        tokens.select("_word").join(placed.select("_word").distinct(), "_word", "left_semi")
+        .groupBy("_word").agg(F.count(F.lit(1)).alias("_freq"))
     )
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(max_words)),
-            lambda n: F.when(
-                F.size("_w") >= n,
-                F.transform(
-                    F.sequence(F.lit(0), F.size("_w") - n),
-                    lambda i: F.struct(i.alias("at"), F.array_join(F.slice("_w", i + 1, n), " ").alias("run")),
-                ),
-            ).otherwise(F.expr("cast(array() as array<struct<at:int,run:string>>)")),
-        )
+    # A name with a word that the corpus lacks drops out here: it cannot be mentioned.
+    anchors = stored(
+        placed.join(frequency, "_word")
+        .groupBy("_run", "entity_type", "name")
+        .agg(F.min(F.struct("_freq", "_offset", "_word")).alias("_a"), F.count(F.lit(1)).alias("_found"))
+        .where(F.col("_found") == F.size("_run"))
+        .select("_run", "entity_type", "name", "_a._offset", "_a._word"),
+        "anchors",
     )
-    counted = (
-        documents.select(F.col("id").alias("document_id"), words(F.col("full_text")).alias("_w"))
-        .select("document_id", F.inline(runs))
-        .groupBy("document_id", "run")
-        .agg(F.count(F.lit(1)).cast("int").alias("mention_count"), F.min("at").alias("first_mention"))
+    starts = tokens.join(anchors, "_word").select(
+        "document_id", (F.col("_at") - F.col("_offset")).alias("_start"), "_run", "entity_type", "name"
+    ).where(F.col("_start") >= 0)
+    met = starts.join(texts, "document_id").where(
+        F.slice("_w", F.col("_start") + 1, F.size("_run")) == F.col("_run")
     )
-    return counted.join(names, "run").select(
-        "document_id", "name", "entity_type", "mention_count", "first_mention"
+    return met.groupBy("document_id", "name", "entity_type").agg(
+        F.count(F.lit(1)).cast("int").alias("mention_count"), F.min("_start").alias("first_mention")
     )
 
 
 def extract_mentions(
     documents: DataFrame, patterns: dict[str, str] | None = None, gazetteer: DataFrame | None = None,
-    max_words: int = 8,
+    max_words: int | None = None,
 ) -> DataFrame:
     """Typed mentions in every document by patterns, and by a gazetteer when one is given."""
     found = pattern_mentions(documents, patterns or PATTERNS)

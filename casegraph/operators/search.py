@@ -45,9 +45,17 @@ def _terms(df: DataFrame, id_col: str, text_col: str, config: str) -> DataFrame:
     return weighty.join(stems, "term").select("id", F.col("stem").alias("term"), "position")
 
 
-def build_postings(documents: DataFrame, id_col: str = "id", text_col: str = "full_text", config: str = "english") -> DataFrame:
-    """(term, id, positions): one row per term and document, the reusable search table."""
+def build_postings(
+    documents: DataFrame, id_col: str = "id", text_col: str = "full_text", config: str = "english",
+    only: DataFrame | None = None,
+) -> DataFrame:
+    """(term, id, positions): one row per term and document, the reusable search table.
+
+    ``only`` (term) restricts it to the terms that are asked for, before anything is shuffled.
+    """
     terms = _terms(documents, id_col, text_col, config)
+    if only is not None:
+        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
     clamped = terms.withColumn("position", F.least(F.col("position"), F.lit(MAX_POSITION)))
     return clamped.groupBy("term", "id").agg(
         F.slice(F.array_sort(F.collect_set("position")), 1, MAX_POSITIONS).alias("positions")
@@ -117,7 +125,8 @@ def search_text(documents: DataFrame, query: str, k: int = 20, config: str = "en
     if not query:
         raise ValueError("query required")
     queries = documents.sparkSession.createDataFrame([(0, query)], "query_id bigint, q string")
-    best = full_text_search(build_postings(documents, config=config), queries, k, config)
+    postings = build_postings(documents, config=config, only=query_terms(queries, config))
+    best = full_text_search(postings, queries, k, config)
     return snippets(best, documents, queries)
 
 

@@ -16,7 +16,7 @@ from casegraph.plans.sample_model import MARKER, ROOT, SampleModel, sql_similari
 from casegraph.sources import analyses, lines, loading
 from casegraph.sources.lines import extract_documents
 from casegraph.streaming import ingest, stats
-from casegraph.workspace import checkpointed, scratch_dir
+from casegraph.workspace import checkpointed, scratch_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -446,14 +446,15 @@ near AS (SELECT query_id, id, 1 - exp(sum(ln(1 - sqrt(0.01 * CASE WHEN abs(a.pos
 )
 def q_full_text_search(m):
     queries = m.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    postings = search.build_postings(m.texts, config="simple")
+    postings = search.build_postings(m.texts, config="simple", only=search.query_terms(queries, "simple"))
     return search.full_text_search(postings, queries, 100, "simple").select("query_id", "id", _r("rank"))
 
 
 @query()  # Needs the stemmer, which SQL lacks.
 def q_snippets(m):
     queries = m.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    best = search.full_text_search(search.build_postings(m.texts), queries, 20)
+    postings = search.build_postings(m.texts, only=search.query_terms(queries))
+    best = stored(search.full_text_search(postings, queries, 20), "best")
     return search.snippets(best, m.texts, queries).select("query_id", "id", _r("rank"), "place", "snippet")
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casegraph.llm import minmax_dedup, suffix_decontam
+from casegraph.llm import best_fit_packing, minmax_dedup, neighbour_quality, suffix_decontam, window_dedup
 from casegraph.llm.common import table
 
 QUERIES = {}
@@ -33,6 +33,42 @@ def op3_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.array_max(F.col("matches.n_words")), F.lit(0)).alias("longest_match"))
 
 
+@query
+def op4_neighbour_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = neighbour_quality.fit(docs, table(spark, folder, "labels"))
+    return neighbour_quality.scored(docs, model).select(
+        "doc_id", neighbour_quality.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= neighbour_quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit_packing.pack_documents(table(spark, folder, "documents")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op6_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = window_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("bigint").alias("n_chars_left"),
+                      F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+ORACLES["op6_window_dedup"] = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, i, array_to_string(l[i + 1 : i + 3], chr(10)) || '#' || least(len(l), 3) AS x
+      FROM d, LATERAL (SELECT unnest(range(0, greatest(len(l) - 2, 1))) AS i)),
+f AS (SELECT x, min((doc_id, i)) AS first FROM w GROUP BY x HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, i + k AS p FROM w JOIN f USING (x), (SELECT unnest([1, 2, 3]) AS k) WHERE (doc_id, i) <> first),
+r AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY 1),
+k AS (SELECT d.doc_id, len(l) AS n, CASE WHEN gone IS NULL THEN l
+      ELSE list_filter(l, lambda y, j: NOT list_contains(gone, j)) END AS left_over FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, n AS n_lines, n - len(left_over) AS n_removed,
+       length(array_to_string(left_over, chr(10))) AS n_chars_left, md5(array_to_string(left_over, chr(10))) AS text_md5
+FROM k"""
+
+
 @query
 def op10_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = minmax_dedup.near_duplicates(table(spark, folder, "documents"), percent=85)

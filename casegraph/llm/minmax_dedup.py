@@ -24,9 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from casegraph.llm.common import VISIBLE, Words, chunks, components, mix, salted_join, stored
+from casegraph.llm.common import VISIBLE, Words, chunks, components, key_columns, mix, salted_join, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -210,12 +210,6 @@ def candidate_texts(docs: DataFrame, id_col: str, text_col: str, full: DataFrame
     return stored(found.select("node", "text").dropDuplicates(["node"]), "texts")
 
 
-def key_columns(id_col: str, hash_col: str) -> list[Column]:
-    """A document's key without nulls: whether it has no id, the id as text, the hash of its text."""
-    return [F.col(id_col).isNull().alias("absent"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
-            F.col(hash_col).alias("hash")]
-
-
 def labelled(sketched: DataFrame, rooted: DataFrame) -> DataFrame:
     """Each document with the smallest doc_id of its component."""
     full = sketched.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", F.col("shingle_set").alias("node"))

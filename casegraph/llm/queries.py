@@ -7,8 +7,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casegraph.llm import best_fit_packing, minmax_dedup, neighbour_quality, suffix_decontam, window_dedup
-from casegraph.llm.common import table
+from casegraph.llm import (
+    best_fit_packing,
+    chat_rotation,
+    disclosure,
+    label_sharding,
+    minmax_dedup,
+    neighbour_quality,
+    pca_dedup,
+    suffix_decontam,
+    token_ledger,
+    window_dedup,
+)
+from casegraph.llm.common import scratch_dir, table
 
 QUERIES = {}
 ORACLES = {}
@@ -23,6 +34,45 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+@query
+def op1_chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_rotation.rotate(table(spark, folder, "conversations"))
+
+
+ORACLES["op1_chat_rotation"] = r"""
+WITH r AS (SELECT conv_id, turn, replace(coalesce(text, ''), '<|', '< |') AS body,
+  CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE regexp_replace(role, '[^\p{L}\p{N}_-]', '_', 'g') END AS speaker
+  FROM conversations),
+v AS (SELECT r.*, p.perspective, r.speaker = p.perspective AS own,
+  CASE WHEN r.speaker = p.perspective THEN '<|assistant|>' || chr(10) WHEN r.speaker = 'system' THEN '<|system|>' || chr(10)
+       ELSE '<|user name=' || r.speaker || '|>' || chr(10) END AS head
+  FROM r JOIN (SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE speaker <> 'system') p
+  ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (SELECT *, head || body || '<|end|>' || chr(10) AS segment FROM v),
+t AS (SELECT *, sum(length(segment)) OVER w AS e, count(*) OVER w AS n FROM s
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, turn, n - 1 AS position, segment, (e - length(segment))::BIGINT AS start, e::BIGINT AS end,
+  CASE WHEN own THEN (e - length(segment) + length(head))::BIGINT END AS mask_start, CASE WHEN own THEN (e - 1)::BIGINT END AS mask_end
+FROM t"""
+
+
+@query
+def op2_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    found = disclosure.find(table(spark, folder, "documents"))
+    kinds = F.array(*[F.lit(k) for k in disclosure.KINDS])
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(disclosure.KINDS[:4])],
+        sha256(listed(F.col("base"))).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
 @query
 def op3_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_decontam.find_matches(
@@ -69,6 +119,38 @@ SELECT doc_id, n AS n_lines, n - len(left_over) AS n_removed,
 FROM k"""
 
 
+@query
+def op7_pca_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return pca_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op8_label_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return label_sharding.shard_documents(table(spark, folder, "documents"))
+
+
+@query
+def op9_token_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after inserting all documents, taking the toxic ones out, recounting the poor ones in
+    lower case, and committing the second batch once more."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    ledger = token_ledger.Ledger(spark, scratch_dir(spark, "ledger"))
+    version = "byte_bpe_50k-1"
+    rows = docs.select("doc_id", "source", "lang", "text")
+    ledger.commit(1, token_ledger.counted(rows, version).select(F.lit("insert").alias("change"), F.lit(0).alias("sequence"), "*"))
+    none = F.lit(None)
+    toxic = labels.where("toxic = 1").select(
+        F.lit("delete").alias("change"), F.lit(0).alias("sequence"), "doc_id", none.cast("string").alias("source"),
+        none.cast("string").alias("lang"), none.cast("bigint").alias("tokens"), none.cast("bigint").alias("bytes"),
+        F.lit(version).alias("tokenizer"))
+    ledger.commit(2, toxic)
+    poor = rows.join(labels.where("quality = 0 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
+    ledger.commit(3, token_ledger.counted(poor.withColumn("text", F.lower("text")), version).select(
+        F.lit("revise").alias("change"), F.lit(0).alias("sequence"), "*"))
+    ledger.commit(2, toxic)
+    return ledger.totals()
+
+
 @query
 def op10_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = minmax_dedup.near_duplicates(table(spark, folder, "documents"), percent=85)

@@ -2,13 +2,12 @@
 
 Documents are linked through hubs: a hub is anything that several documents share, here an equal
 text. Linked documents start evenly spread and move in rounds. In a round every hub counts the
-shards of its documents, every document takes the shard with the most votes of its hubs that still
-has room, and moves are accepted up to each shard's room. Ranks are not needed for that: movers are
-counted by gain and hash bucket, and whole buckets are accepted while they fit, so no shard ever
-exceeds its quota and no task holds the movers of a shard. Documents without links move last and
-make the shards even: counts of any two shards differ by one at most.
+shards of its documents and every document asks for the shard with the most votes of its hubs. Two
+shards exchange as many documents as want to go either way; beyond that a shard takes what it has
+room for. So no shard ever exceeds its size. Documents without links fill the shards last: counts
+of any two shards differ by one at most.
 
-A hub larger than a shard fills shards one after another and is cut no more often than needed.
+Every other round asks for shards with room only, so a hub larger than a shard fills one after another.
 
 Defined cases: null and empty texts have 0 bytes and link with nothing; null ids are ids; rows
 alike in id and text are separate rows of the same hub; fewer documents than shards leave shards empty.
@@ -16,7 +15,7 @@ alike in id and text are separate rows of the same hub; fewer documents than sha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from casegraph.llm.common import Rounds, numbered, salted_join, stored
 
@@ -31,59 +30,87 @@ def capacities(count: int, shards: int) -> list[int]:
     return [count // shards + (k < count % shards) for k in range(shards)]
 
 
-def pick(values: list[int], index: Column) -> Column:
-    """The value at ``index`` of a list as long as the number of shards."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
-
-
 def votes(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(hub, votes): an array of (n, shard) per hub; at most one entry per shard."""
     counted = members.join(labels, "node").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("hub").agg(F.collect_list(F.struct("n", "shard")).alias("votes"))
 
 
-def wishes(members: DataFrame, labels: DataFrame, room: list[int]) -> DataFrame:
-    """(node, shard, target, gain): documents that a shard with room attracts more than their own.
+def wishes(members: DataFrame, labels: DataFrame, open_shards: list[int]) -> DataFrame:
+    """(node, shard, target, gain): documents that one of ``open_shards`` attracts more than their own.
 
-    Shards with equal votes go by their number, the smaller first, so that ties end.
+    Equal votes go by a hash of hub and shard, so that a hub's documents agree and shards fill evenly.
     """
     heard = salted_join(members, votes(members, labels), ["hub"])
     summed = (
-        heard.select("node", F.explode("votes").alias("v")).groupBy("node", F.col("v.shard").alias("at")).agg(F.sum("v.n").alias("n"))
+        heard.select("node", "hub", F.explode("votes").alias("v")).groupBy("node", F.col("v.shard").alias("at"))
+        .agg(F.sum("v.n").alias("n"), F.min("hub").alias("hub"))
     )
-    ranked = F.struct("n", (-F.col("at")).alias("order"))
+    ranked = F.struct("n", F.xxhash64("hub", "at").alias("order"), "at")
     best = summed.join(labels, "node").groupBy("node", "shard").agg(
-        F.max(F.when((pick(room, F.col("at")) > 0) & (F.col("at") != F.col("shard")), ranked)).alias("best"),
-        F.max(F.when(F.col("at") == F.col("shard"), ranked)).alias("own"))
+        F.max(F.when(F.col("at").isin(open_shards), ranked)).alias("best"), F.max(F.when(F.col("at") == F.col("shard"), ranked)).alias("own"))
     return best.where("best > own").select(
-        "node", "shard", (-F.col("best.order")).cast("int").alias("target"), (F.col("best.n") - F.col("own.n")).alias("gain"))
+        "node", "shard", F.col("best.at").alias("target"), (F.col("best.n") - F.col("own.n")).alias("gain"))
+
+
+def quotas(wanted: dict[tuple[int, int], int], room: list[int]) -> list[tuple[int, int, int]]:
+    """(shard, target, moves): exchanges between two shards, and what a target has room for beyond."""
+    allowed = {(i, j): min(n, wanted.get((j, i), 0)) for (i, j), n in wanted.items()}
+    left = list(room)
+    for (i, j), n in sorted(wanted.items(), key=lambda x: (-x[1], x[0])):
+        more = min(n - allowed[i, j], left[j])
+        allowed[i, j] += more
+        left[j] -= more
+    return [(i, j, n) for (i, j), n in allowed.items() if n]
 
 
 def accepted(wanted: DataFrame, room: list[int], number: int) -> DataFrame:
-    """(node, target) of the movers that fit, the higher gains first, whole hash buckets at a time."""
+    """(node, target) of the movers within the quotas, the higher gains first.
+
+    Movers are counted by gain and hash bucket. Whole buckets are taken while they fit and only the
+    next bucket is ranked, so a quota is met exactly and no task holds all movers of a shard.
+    """
+    spark = wanted.sparkSession
+    counted = {(r["shard"], r["target"]): r["count"] for r in wanted.groupBy("shard", "target").count().collect()}
+    allowed = spark.createDataFrame(quotas(counted, room), "shard int, target int, quota bigint")
     # gains by their order of magnitude, then by hash
     place = (64 - F.ceil(F.log2(F.col("gain") + 1))) * HASH_BUCKETS + F.pmod(F.xxhash64("node", F.lit(number)), F.lit(HASH_BUCKETS))
-    dealt = wanted.select("node", "target", place.cast("int").alias("place"))
-    counts = dealt.groupBy("target", "place").agg(F.count(F.lit(1)).alias("n"))
-    running = Window.partitionBy("target").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    fits = counts.withColumn("total", F.sum("n").over(running)).where(F.col("total") <= pick(room, F.col("target")))
-    limits = {r["target"]: r["last"] for r in fits.groupBy("target").agg(F.max("place").alias("last")).collect()}
-    return dealt.where(F.col("place") <= pick([limits.get(k, -1) for k in range(len(room))], F.col("target"))).select("node", "target")
+    dealt = wanted.select("node", "shard", "target", place.cast("int").alias("place"))
+    running = Window.partitionBy("shard", "target").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    totals = (
+        dealt.groupBy("shard", "target", "place").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("total", F.sum("n").over(running)).join(allowed, ["shard", "target"])
+    )
+    fits = F.col("total") <= F.col("quota")
+    limits = totals.groupBy("shard", "target").agg(
+        F.coalesce(F.max(F.when(fits, F.col("place"))), F.lit(-1)).alias("whole"), F.min(F.when(~fits, F.col("place"))).alias("next"),
+        (F.max("quota") - F.coalesce(F.max(F.when(fits, F.col("total"))), F.lit(0))).alias("rest"))
+    judged = salted_join(dealt, limits, ["shard", "target"])
+    order = Window.partitionBy("shard", "target").orderBy("node")
+    some = judged.where("place = next and rest > 0").withColumn("rank", F.row_number().over(order)).where("rank <= rest")
+    return judged.where("place <= whole").select("node", "target").unionByName(some.select("node", "target"))
 
 
 def propagate(members: DataFrame, start: DataFrame, room_of: list[int], rounds: int = ROUNDS) -> DataFrame:
     """(node, shard): ``start`` after moving nodes towards the shards of the nodes they share hubs with.
 
-    ``members`` holds (node, hub). Stops when nothing moves, or after ``rounds`` rounds.
+    ``members`` holds (node, hub). Stops when nothing moves in two rounds, or after ``rounds`` rounds.
     """
     kept = Rounds(start.sparkSession, "labels")
     labels = kept.put(start.select("node", F.col("shard").cast("int").alias("shard")))
+    still = 0
     for number in range(rounds):
         taken = {r["shard"]: r["count"] for r in labels.groupBy("shard").count().collect()}
         room = [size - taken.get(k, 0) for k, size in enumerate(room_of)]
-        moves = stored(accepted(stored(wishes(members, labels, room), "wishes"), room, number), "moves")
+        # by turns any shard, where exchanges count, and only those with room, past a full favourite
+        open_shards = [k for k, free in enumerate(room) if number % 2 == 0 or free > 0]
+        moves = stored(accepted(stored(wishes(members, labels, open_shards), "wishes"), room, number), "moves")
         if moves.isEmpty():
-            break
+            still += 1
+            if still == 2:
+                break
+            continue
+        still = 0
         labels = kept.put(labels.join(moves, "node", "left").select("node", F.coalesce("target", "shard").alias("shard")))
     return labels
 

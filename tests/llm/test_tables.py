@@ -134,7 +134,7 @@ def test_quality_edges(spark):
 
 
 def test_shards(spark):
-    docs = [(i, f"text {i % 40}" if i % 3 else "hot", 1) for i in range(400)] + [(None, None, 1), (7, "", 1), (7, "", 1), (3, "hot", 1), (3, "hot", 1)]
+    docs = [(i, "hot" if i % 4 == 0 else f"text {i % 40}" if i % 4 == 1 else f"own {i}", 1) for i in range(800)] + [(None, None, 1), (7, "", 1), (7, "", 1), (3, "hot", 1), (3, "hot", 1)]
     rows = spark.createDataFrame(docs, "doc_id long, text string, shard int")
     got = label_sharding.shard_documents(rows, shards=8).collect()
     assert len(got) == len(docs)
@@ -149,7 +149,10 @@ def test_shards(spark):
     for r in got:
         parts[texts[r.text_crc32, r.size]].add(r.shard)
     cut = sum(len(p) > 1 for t, p in parts.items() if t and t != "hot")
-    assert cut <= 4 and len(parts["hot"]) <= 5
+    assert cut <= 2 and len(parts["hot"]) <= 4
+    linked = label_sharding.shard_documents(rows.where("text = 'hot' or text like 'text%'"), shards=7)
+    sizes = [r["count"] for r in linked.groupBy("shard").count().collect()]
+    assert sum(sizes) == 402 and max(sizes) - min(sizes) <= 1
     assert label_sharding.shard_documents(rows.limit(0)).count() == 0
     assert sorted(r.shard for r in label_sharding.shard_documents(rows.limit(3)).collect()) == [0, 1, 2]
 

@@ -6,7 +6,7 @@ that share a band are candidates, and a link stands only if the *full* shingle s
 
 Candidates stay linear in a bucket: its most central member is compared with the others. Where
 members of two different components are left beside that star, the remaining pairs across
-components are compared in blocks. Documents with equal sets are one candidate, whatever their
+components are compared in tiles, once for all buckets that overlap. Documents with equal sets are one candidate, whatever their
 number, and blocks have a fixed size, so no task holds a group of copies.
 
 With 24 bands of 5 values a pair of similarity 0.85 is missed with a chance of 8e-7 and one of 0.8
@@ -33,7 +33,8 @@ PERCENT = 80
 FUNCTIONS = 60
 BAND_ROWS = 5
 SHARD_BYTES = 4 << 20
-BLOCK = 64
+BLOCK = 64  # members of a star per task
+TILE = 512  # members of a tile; two tiles meet in a task
 
 
 def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,27 +120,42 @@ def confirm_star(rows: pa.Table, size: int, percent: int) -> pa.Table:
 
 
 def confirm_block(rows: pa.Table, size: int, percent: int) -> pa.Table:
-    """Links across components within one pair of blocks, as a forest."""
-    seen = {n: (s, c, t) for n, s, c, t in zip(*[rows[k].to_pylist() for k in ("node", "tile", "component", "text")], strict=True)}
-    tiles = (rows["low"][0].as_py(), rows["high"][0].as_py())
-    sets = {n: shingles_of(t, size) for n, (_, _, t) in seen.items()}
-    group = {n: c for n, (_, c, _) in seen.items()}
+    """Links across components within one pair of tiles, as a forest.
+
+    Shared shingles are counted through postings of the higher tile, one member of the lower tile
+    at a time; a pair that passes by hashes is confirmed on the shingles themselves.
+    """
+    rows = rows.sort_by("node")
+    node, text = rows["node"].to_pylist(), rows["text"].to_pylist()
+    _, group = np.unique(np.array([c.hex() for c in rows["component"].to_pylist()]), return_inverse=True)
+    tile, low, high = rows["tile"].to_numpy(), rows["low"][0].as_py(), rows["high"][0].as_py()
+    sets = []
+    for _, _, data, offsets in chunks(rows["text"], SHARD_BYTES):
+        hashes, bounds = shingle_hashes(Words(data, offsets, VISIBLE), size)
+        sets += [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    count = np.array([len(s) for s in sets])
+    right = np.flatnonzero(tile == high)
+    posted, owner = np.concatenate([sets[y] for y in right]), np.repeat(right, count[right])
+    by = np.argsort(posted, kind="stable")
+    posted, owner = posted[by], owner[by]
     links = []
-    order = sorted(seen)
-    left = [n for n in order if seen[n][0] == tiles[0]]
-    right = [n for n in order if seen[n][0] == tiles[1]]
-    for x in left:
-        for y in right:
-            if group[x] != group[y] and (tiles[0] != tiles[1] or x < y) and alike(sets[x], sets[y], percent):
-                links.append((x, y))
-                old, new = group[y], group[x]
-                group = {n: new if c == old else c for n, c in group.items()}
+    for x in np.flatnonzero(tile == low):
+        other = group[right] != group[x]
+        if not other.any():
+            continue
+        begin, end = np.searchsorted(posted, sets[x], "left"), np.searchsorted(posted, sets[x], "right")
+        at = np.repeat(begin - np.cumsum(end - begin) + (end - begin), end - begin) + np.arange(int((end - begin).sum()))
+        shared = np.bincount(owner[at], minlength=len(node))[right]
+        for y in right[other & (100 * shared >= percent * (count[x] + count[right] - shared))].tolist():
+            if group[x] != group[y] and alike(shingles_of(text[x], size), shingles_of(text[y], size), percent):
+                links.append((node[x], node[y]))
+                group[group == group[y]] = group[x]
     return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT,
-    functions: int = FUNCTIONS, band_rows: int = BAND_ROWS, block: int = BLOCK,
+    functions: int = FUNCTIONS, band_rows: int = BAND_ROWS, block: int = BLOCK, tile: int = TILE,
 ) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, kept), one row per row of ``docs``."""
     sketched = stored(sketches(docs, id_col, text_col, size, functions, band_rows), "sketches")
@@ -177,17 +193,25 @@ def near_duplicates(
     placed = starred.where("node <> centre").join(rooted, "node", "left").select(
         "band", "key", "node", F.coalesce("root", "node").alias("component"))
     apart = placed.groupBy("band", "key").agg(
-        F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size"),
+        F.min("component").alias("least"), F.max("component").alias("most"), F.min("node").alias("head"), F.count(F.lit(1)).alias("size"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor"),
     ).where("least <> most")
     # equal buckets of several bands are compared once
-    apart = apart.groupBy("size", "sum", "xor").agg(F.min(F.struct("band", "key")).alias("at")).select(
-        "at.band", "at.key", F.ceil(F.col("size") / block).cast("int").alias("tiles"))
-    rest = salted_join(placed, apart, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    paired = rest.withColumn("other", partner).select(
-        "band", "key", "node", "component", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
-    more = with_text(paired, texts).groupBy("band", "key", "low", "high").applyInArrow(
+    apart = apart.groupBy("size", "sum", "xor", "head").agg(F.min(F.struct("band", "key")).alias("at")).select(
+        "at.band", "at.key", "head", "size")
+    rest = stored(salted_join(placed, apart, ["band", "key"]), "rest")
+    # a bucket that fits one tile is compared by itself; larger ones that overlap are compared as one cluster
+    own = rest.where(F.col("size") <= tile).select(
+        F.struct("band", "key").alias("cluster"), "node", "component", F.lit(0).alias("tile"), F.lit(1).alias("tiles"))
+    large = rest.where(F.col("size") > tile).select("node", "head", "component").distinct()
+    joined = large.select("node", "component").distinct().join(components(large, "node", "head"), "node")
+    tiles = joined.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    wide = salted_join(joined, tiles, ["root"]).select(
+        F.struct(F.lit(-1).alias("band"), F.xxhash64("root").alias("key")).alias("cluster"), "node", "component",
+        F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), "tiles")
+    paired = own.unionByName(wide).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "cluster", "node", "component", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    more = with_text(paired, texts).groupBy("cluster", "low", "high").applyInArrow(
         lambda rows: confirm_block(rows, size, percent), "a binary, b binary")
     more = stored(more, "links")
     if not more.isEmpty():

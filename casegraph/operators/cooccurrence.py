@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from casegraph.operators.filters import of_types
 from casegraph.operators.pairs import (
@@ -66,7 +66,7 @@ def network(
 ) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables of the best-connected part of the graph."""
     nodes = network_nodes(entities, min_conn, limit)
-    return nodes, network_edges(mentions, entities, nodes, min_conn, 3 * min(limit, 10_000))
+    return nodes, network_edges(mentions, entities, nodes, min_conn, 3 * limit)
 
 
 def pair_documents(mentions: DataFrame, documents: DataFrame, hub_size: int = HUB_SIZE) -> DataFrame:
@@ -82,25 +82,15 @@ def pair_documents(mentions: DataFrame, documents: DataFrame, hub_size: int = HU
 
 
 def entity_connections(
-    mentions: DataFrame, entities: DataFrame, documents: DataFrame | None = None, min_weight: int = 1,
-    page_size: int = 10_000, hub_size: int = HUB_SIZE,
+    mentions: DataFrame, entities: DataFrame, min_weight: int = 1,
+    hub_size: int = HUB_SIZE,
 ) -> DataFrame:
     """Connected entity pairs with names and types; attributes join after the aggregation.
 
-    With ``documents`` each pair also lists its doc_ids. A pair sharing more than ``page_size``
-    documents gets several rows (``page`` 0, 1, ...), each with a part of the list, so one array
-    never holds an unbounded group.
+    The documents of the pairs are in ``pair_documents``, one row each, so that no array holds an
+    unbounded group.
     """
     pairs = cooccurrence(mentions, min_weight, hub_size)
-    if documents is not None:
-        pages = pairs.withColumn("_pages", F.ceil(F.col("weight") / F.lit(page_size)).cast("int"))
-        pairs = (
-            pair_documents(mentions, documents, hub_size)
-            .join(pages, ["source", "target"])
-            .withColumn("page", F.pmod(F.xxhash64("doc_id"), F.col("_pages")).cast("int"))
-            .groupBy("source", "target", "weight", "page")
-            .agg(F.sort_array(F.collect_list("doc_id")).alias("document_ids"))
-        )
     return with_attributes(pairs, entities).withColumnRenamed("weight", "shared_documents")
 
 
@@ -164,12 +154,13 @@ def entity_documents(mentions: DataFrame, documents: DataFrame, k: int = 50) ->
 
 
 def document_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """Entities of every document, most mentioned first."""
+    """Entities of every document with their place: most mentioned first, unknown counts before all."""
     attributes = entities.select(F.col("id").alias("entity_id"), "canonical_name", "entity_type", "layer")
     return (
         mentions.select("document_id", "entity_id", "mention_count")
         .join(attributes, "entity_id")
-        .orderBy("document_id", F.desc("mention_count"), "entity_id")
+        .withColumn("place", F.row_number().over(
+            Window.partitionBy("document_id").orderBy(F.desc_nulls_first("mention_count"), "entity_id")))
     )
 
 

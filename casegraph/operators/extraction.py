@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from casegraph.functions.text import words
 from casegraph.workspace import stored
 
 PATTERNS = {
@@ -15,49 +12,51 @@ PATTERNS = {
     "reference": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b|\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b|\b[0-9a-f]{40}\b",
 }
 CONTEXT = 40
-
-
-def _with_context(found: DataFrame, text: Column) -> DataFrame:
-    start = F.greatest(F.lit(1), F.col("first_mention") + 1 - CONTEXT)
-    width = F.col("first_mention") + 1 - start + F.length("name") + CONTEXT
-    return found.withColumn("context_snippet", text.substr(start, width))
+RUN = r"[\p{L}\p{N}]+"
 
 
 def pattern_mentions(documents: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """(document_id, name, entity_type, mention_count, first_mention, context_snippet).
 
-    ``first_mention`` is the character offset of the name, from 0. A name matched twice in a
-    document is one row with a count; nothing is shuffled by document text.
+    ``first_mention`` is the character offset of the first match, from 0. The context has up to
+    ``CONTEXT`` characters on either side and ends at the neighbouring matches of the pattern.
+    Texts are scanned once for all patterns and are not shuffled; what is left between matches
+    gives their offsets.
     """
-    parts = []
-    for entity_type, pattern in patterns.items():
-        found = F.regexp_extract_all(F.col("full_text"), F.lit(pattern), F.lit(0))
-        rows = documents.select(F.col("id").alias("document_id"), "full_text", found.alias("found"))
-        rows = rows.where(F.size("found") > 0).select(
-            "document_id", "full_text", "found", F.explode(F.array_distinct("found")).alias("name")
-        )
-        rows = rows.withColumns(
-            {
-                "entity_type": F.lit(entity_type),
-                "mention_count": F.size(F.filter("found", lambda f: f == F.col("name"))),
-                "first_mention": F.instr(F.col("full_text"), F.col("name")) - 1,
-            }
-        )
-        parts.append(_with_context(rows, F.col("full_text")).drop("full_text", "found"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def gazetteer_mentions(documents: DataFrame, gazetteer: DataFrame, max_words: int | None = None) -> DataFrame:
+    text = F.col("full_text")
+
+    def matches(entity_type: str, pattern: str) -> Column:
+        names, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+        return F.when(F.size(names) > 0, F.transform(
+            F.arrays_zip(names.alias("name"), F.slice(gaps, 1, F.size(names)).alias("before"), F.slice(gaps, 2, F.size(names)).alias("after")),
+            lambda m, i: F.struct(
+                F.lit(entity_type).alias("entity_type"), i.alias("at"), m["name"].alias("name"), F.length(m["before"]).alias("gap"),
+                F.concat(F.right(m["before"], F.lit(CONTEXT)), m["name"], F.left(m["after"], F.lit(CONTEXT))).alias("context"))))
+
+    none = F.array().cast("array<struct<entity_type:string,at:int,name:string,gap:int,context:string>>")
+    every = F.concat(*[F.coalesce(matches(t, p), none) for t, p in patterns.items()])
+    found = documents.select(F.col("id").alias("document_id"), F.explode(every).alias("m")).select("document_id", "m.*")
+    until = Window.partitionBy("document_id", "entity_type").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = found.withColumn("start", F.sum(F.col("gap") + F.length("name")).over(until) - F.length("name"))
+    return placed.groupBy("document_id", "name", "entity_type").agg(
+        F.count(F.lit(1)).cast("int").alias("mention_count"), F.min("start").cast("int").alias("first_mention"),
+        F.min_by("context", "start").alias("context_snippet"))
+
+
+def runs(c: Column) -> Column:
+    """Lower-case runs of letters and digits, in text order."""
+    return F.transform(F.regexp_extract_all(c, F.lit(RUN), F.lit(0)), F.lower)
+
+
+def gazetteer_mentions(documents: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Mentions of the names in (name, entity_type), compared word by word without case.
 
     Each name is looked up by its rarest word, counted over the corpus, so frequent words start
-    no comparison; the rest of the name is then compared at that place in the text.
-    ``first_mention`` is the number of words before the name.
+    no comparison; the rest of the name is then compared at that place in the text. Offsets and
+    context are in characters, as for patterns.
     """
-    texts = documents.select(F.col("id").alias("document_id"), words(F.col("full_text")).alias("_w"))
-    names = gazetteer.select("name", "entity_type", words(F.col("name")).alias("_run")).where(F.size("_run") > 0)
-    if max_words is not None:
-        names = names.where(F.size("_run") <= max_words)
+    texts = documents.select(F.col("id").alias("document_id"), "full_text", runs(F.col("full_text")).alias("_w"))
+    names = gazetteer.select("name", "entity_type", runs(F.col("name")).alias("_run")).where(F.size("_run") > 0)
     names = names.groupBy("_run", "entity_type").agg(F.min("name").alias("name"))
     placed = names.select("*", F.posexplode("_run").alias("_offset", "_word"))
     tokens = texts.select("document_id", F.posexplode("_w").alias("_at", "_word"))
@@ -80,19 +79,29 @@ def gazetteer_mentions(documents: DataFrame, gazetteer: DataFrame, max_words: in
     met = starts.join(texts, "document_id").where(
         F.slice("_w", F.col("_start") + 1, F.size("_run")) == F.col("_run")
     )
-    return met.groupBy("document_id", "name", "entity_type").agg(
-        F.count(F.lit(1)).cast("int").alias("mention_count"), F.min("_start").alias("first_mention")
-    )
+
+    def long(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0), lambda total, x: total + F.length(x))
+
+    words, gaps = F.regexp_extract_all("full_text", F.lit(RUN), F.lit(0)), F.split("full_text", RUN, -1)
+    begin = long(F.slice(gaps, F.lit(1), F.col("_start") + 1)) + long(F.slice(words, F.lit(1), F.col("_start")))
+    size = long(F.slice(words, F.col("_start") + 1, F.size("_run"))) + long(
+        F.slice(gaps, F.col("_start") + 2, F.size("_run") - 1))
+    met = met.withColumns({"begin": begin, "size": size})
+    lead = F.least("begin", F.lit(CONTEXT))
+    context = F.col("full_text").substr(F.col("begin") - lead + 1, lead + F.col("size") + CONTEXT)
+    return met.select("document_id", "name", "entity_type", "begin", context.alias("context")).groupBy(
+        "document_id", "name", "entity_type"
+    ).agg(
+        F.count(F.lit(1)).cast("int").alias("mention_count"), F.min("begin").alias("first_mention"),
+        F.min_by("context", "begin").alias("context_snippet"))
 
 
 def extract_mentions(
-    documents: DataFrame, patterns: dict[str, str] | None = None, gazetteer: DataFrame | None = None,
-    max_words: int | None = None,
+    documents: DataFrame, patterns: dict[str, str] | None = None, gazetteer: DataFrame | None = None
 ) -> DataFrame:
     """Typed mentions in every document by patterns, and by a gazetteer when one is given."""
     found = pattern_mentions(documents, patterns or PATTERNS)
     if gazetteer is None:
         return found
-    return found.unionByName(
-        gazetteer_mentions(documents, gazetteer, max_words), allowMissingColumns=True
-    )
+    return found.unionByName(gazetteer_mentions(documents, gazetteer))

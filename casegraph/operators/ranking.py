@@ -10,10 +10,10 @@ from casegraph.operators.filters import ilike_any, of_types, opt_filter, trigram
 PEOPLE_AND_ORGS = ["person", "organization"]
 
 
-def _limit(k: int, cap: int | None) -> int:
+def _limit(k: int) -> int:
     if not isinstance(k, int) or k < 0:
         raise ValueError(f"limit must be a non-negative integer, got {k!r}")
-    return k if cap is None else min(k, cap)
+    return k
 
 
 def top_k_per_group(
@@ -33,7 +33,7 @@ def list_documents(
     page = opt_filter(documents, document_type=document_type, dataset_id=dataset)
     if after is not None:
         page = page.where(F.col("doc_id") > after)
-    return page.orderBy("doc_id").offset(offset).limit(_limit(k, 200))
+    return page.orderBy("doc_id").offset(offset).limit(_limit(k))
 
 
 def search_entities(
@@ -49,7 +49,7 @@ def search_entities(
     return (
         found.withColumn("score", score)
         .orderBy(F.desc("score"), F.desc_nulls_first("document_count"), "id")
-        .limit(_limit(k, 100))
+        .limit(_limit(k))
     )
 
 
@@ -67,7 +67,7 @@ def search_registry(
     return (
         found.withColumn("score", rank)
         .orderBy(F.desc("score"), F.desc_nulls_last(amount_col), "id")
-        .limit(_limit(k, 200))
+        .limit(_limit(k))
     )
 
 
@@ -77,7 +77,7 @@ def network_nodes(entities: DataFrame, min_conn: int = 2, k: int = 1000) -> Data
         of_types(entities, PEOPLE_AND_ORGS)
         .where(F.col("connection_count") >= min_conn)
         .orderBy(F.desc("connection_count"), "id")
-        .limit(_limit(k, 10_000))
+        .limit(_limit(k))
     )
 
 
@@ -94,5 +94,5 @@ def list_findings(
     return (
         opt_filter(findings, status=status, pattern_type=pattern_type)
         .orderBy(F.desc_nulls_first("discovered_at"), "id")
-        .limit(_limit(k, None))
+        .limit(_limit(k))
     )

@@ -1,8 +1,7 @@
 """Ranked full-text search over a postings table, in the style of PostgreSQL's text search.
 
-Many queries are answered at once. Stated limits of that ranking, kept for equal scores: a
-position above 16383 counts as 16383, and 256 positions of a term enter the score. They never
-decide which documents match.
+Many queries are answered at once. Every position of every term enters the score, however long a
+text is.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casegraph.functions.stemming import stem_terms
 from casegraph.functions.text import words
 from casegraph.operators.ranking import top_k_per_group
+from casegraph.workspace import stored
 
 # English words that carry no weight in a search.
 STOP_WORDS = (
@@ -23,14 +23,16 @@ STOP_WORDS = (
     "there when where why how all any both each few more most other some such no nor not only own "
     "same so than too very s t can will just don should now"
 ).split()
-MAX_POSITION = 16383
-MAX_POSITIONS = 256
 WEIGHT = 0.1
+REACH = 100
 NORMALIZER = 1.64493406685
 
 
-def _terms(df: DataFrame, id_col: str, text_col: str, config: str) -> DataFrame:
-    """(id, term, position) of every word that carries weight; positions start at 1."""
+def _terms(df: DataFrame, id_col: str, text_col: str, config: str, only: DataFrame | None = None) -> DataFrame:
+    """(id, term, position) of every word that carries weight; positions start at 1.
+
+    With ``only``, stems that it lacks are left out before words are joined with their stems.
+    """
     exploded = df.select(
         F.col(id_col).alias("id"), F.posexplode(words(F.col(text_col))).alias("position", "term")
     ).withColumn("position", F.col("position") + 1)
@@ -41,10 +43,17 @@ def _terms(df: DataFrame, id_col: str, text_col: str, config: str) -> DataFrame:
     weighty = exploded.where(~F.col("term").isin(*STOP_WORDS))
     if config == "stop":
         return weighty
-    stems = stem_terms(weighty.select("term").distinct())
+    stems = _stems_of(weighty.select("term"))
+    if only is not None:
+        stems = stems.join(only.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi")
     return weighty.join(stems, "term").select("id", F.col("stem").alias("term"), "position")
 
 
+def _stems_of(terms: DataFrame) -> DataFrame:
+    """(term, stem) of every distinct term, written so that no term is stemmed twice."""
+    return stored(stem_terms(terms.distinct()), "stems")
+
+
 def build_postings(
     documents: DataFrame, id_col: str = "id", text_col: str = "full_text", config: str = "english",
     only: DataFrame | None = None,
@@ -53,13 +62,10 @@ def build_postings(
 
     ``only`` (term) restricts it to the terms that are asked for, before anything is shuffled.
     """
-    terms = _terms(documents, id_col, text_col, config)
+    terms = _terms(documents, id_col, text_col, config, only)
     if only is not None:
         terms = terms.join(only.select("term").distinct(), "term", "left_semi")
-    clamped = terms.withColumn("position", F.least(F.col("position"), F.lit(MAX_POSITION)))
-    return clamped.groupBy("term", "id").agg(
-        F.slice(F.array_sort(F.collect_set("position")), 1, MAX_POSITIONS).alias("positions")
-    )
+    return terms.groupBy("term", "id").agg(F.array_sort(F.collect_set("position")).alias("positions"))
 
 
 def query_terms(queries: DataFrame, config: str = "english") -> DataFrame:
@@ -92,22 +98,28 @@ def _rank_one(hits: Column) -> Column:
 
 
 def _rank_near(hits: Column) -> Column:
-    def closeness(distance: Column) -> Column:
-        decay = 1.0 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2))
-        return F.when(distance > 100, F.lit(1e-30)).otherwise(decay)
+    """Closeness of different terms, from each position and those up to ``REACH`` places behind it.
 
-    def against_earlier(hit: Column, i: Column) -> Column:
-        earlier = F.flatten(F.transform(F.slice(hits, F.lit(1), i), lambda h: h["positions"]))
-        apart = F.flatten(
-            F.transform(hit["positions"], lambda p: F.transform(earlier, lambda q: F.abs(p - q)))
-        )
-        return F.transform(
-            F.filter(apart, lambda d: d > 0),
-            lambda d: 1.0 - F.sqrt(F.lit(WEIGHT * WEIGHT) * closeness(d.cast("double"))),
-        )
+    A text has one word at a place, so these are among the next ``REACH`` positions in order; pairs
+    further apart would change the score by less than 1e-15 each.
+    """
+    placed = F.array_sort(F.flatten(F.transform(
+        hits, lambda h, t: F.transform(h["positions"], lambda p: F.struct(p.alias("p"), t.alias("t"))))))
+
+    def apart(a: Column, b: Column) -> Column:
+        distance = (b["p"] - a["p"]).cast("double")
+        closeness = 1.0 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2))
+        near = (a["t"] != b["t"]) & (distance <= REACH)
+        return F.when(near, F.log(1.0 - F.sqrt(F.lit(WEIGHT * WEIGHT) * closeness))).otherwise(F.lit(0.0))
+
+    def after(places: Column) -> Column:
+        return F.aggregate(
+            F.transform(places, lambda a, i: F.aggregate(
+                F.slice(places, i + 2, F.lit(REACH)), F.lit(0.0), lambda total, b: total + apart(a, b))),
+            F.lit(0.0), lambda total, x: total + x)
 
-    factors = F.flatten(F.transform(hits, against_earlier))
-    return 1.0 - F.aggregate(factors, F.lit(1.0), lambda acc, x: acc * x)
+    # the sorted places are bound once, as the only element of an array
+    return 1.0 - F.exp(F.element_at(F.transform(F.array(placed), after), 1))
 
 
 def full_text_search(postings: DataFrame, queries: DataFrame, k: int = 20, config: str = "english") -> DataFrame:
@@ -117,7 +129,7 @@ def full_text_search(postings: DataFrame, queries: DataFrame, k: int = 20, confi
     """
     found = match_all_terms(postings, query_terms(queries, config)).withColumn("rank", rank(F.col("hits")))
     order = [F.desc("rank"), F.asc("id")]
-    return top_k_per_group(found.select("query_id", "id", "rank"), ["query_id"], order, min(k, 100), "place")
+    return top_k_per_group(found.select("query_id", "id", "rank"), ["query_id"], order, k, "place")
 
 
 def search_text(documents: DataFrame, query: str, k: int = 20, config: str = "english") -> DataFrame:
@@ -127,17 +139,33 @@ def search_text(documents: DataFrame, query: str, k: int = 20, config: str = "en
     queries = documents.sparkSession.createDataFrame([(0, query)], "query_id bigint, q string")
     postings = build_postings(documents, config=config, only=query_terms(queries, config))
     best = full_text_search(postings, queries, k, config)
-    return snippets(best, documents, queries)
+    return snippets(best, documents, queries, config=config)
 
 
-def snippets(results: DataFrame, documents: DataFrame, queries: DataFrame, length: int = 50, lead: int = 10) -> DataFrame:
-    """Results with a stretch of text around the first hit, query words marked.
+def _asked_words(results: DataFrame, documents: DataFrame, queries: DataFrame, config: str) -> DataFrame:
+    """(query_id, id, _asked): the words of each result that its query asks for."""
+    terms = query_terms(queries, config).select("query_id", "term")
+    if config != "english":
+        asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("_asked"))
+        return results.select("query_id", "id").join(asked, "query_id")
+    held = results.select("query_id", "id").join(documents.select("id", "full_text"), "id").select(
+        "query_id", "id", F.explode(F.array_distinct(words(F.col("full_text")))).alias("term"))
+    stems = _stems_of(held.select("term"))
+    wanted = terms.withColumnRenamed("term", "stem")
+    return held.join(stems, "term").join(wanted, ["query_id", "stem"]).groupBy("query_id", "id").agg(
+        F.collect_set("term").alias("_asked"))
+
+
+def snippets(
+    results: DataFrame, documents: DataFrame, queries: DataFrame, length: int = 50, lead: int = 10, config: str = "english",
+) -> DataFrame:
+    """Results with a stretch of text around the first hit, words that the query asks for marked.
 
-    The stretch has ``length`` words and starts at most ``lead`` words before the first word that
-    the query contains; only result rows are processed.
+    The stretch has ``length`` words and starts at most ``lead`` words before the first such word.
+    With ``english`` every word of an asked stem counts. Only result rows are processed.
     """
-    asked = queries.select("query_id", F.array_except(words(F.col("q")), F.array(*map(F.lit, STOP_WORDS))).alias("_asked"))
-    rows = results.join(documents.select("id", "full_text"), "id").join(asked, "query_id")
+    asked = _asked_words(results, documents, queries, config)
+    rows = results.join(documents.select("id", "full_text"), "id").join(asked, ["query_id", "id"])
     rows = rows.withColumn("_tokens", F.split("full_text", r"\s+"))
     hit = F.transform("_tokens", lambda t: F.arrays_overlap(words(t), F.col("_asked")))
     first = F.array_position(hit, True)

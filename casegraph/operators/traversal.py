@@ -6,10 +6,12 @@ are cut by reliable checkpoints, and only a row count reaches the driver.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from casegraph.operators.pairs import mirrored
-from casegraph.workspace import checkpointed
+from casegraph.workspace import checkpointed, stored
 
 
 def _neighbours(mentions: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -30,8 +32,8 @@ def classify_layers(
     pairs = mentions.select("document_id", "entity_id")
     known = entities.where(F.col("id") == root).select(F.col("id").alias("entity_id"), F.lit(0).alias("layer"))
     if incremental:
-        stored = entities.where(F.col("layer").isNotNull() | (F.col("id") == root))
-        known = stored.select(F.col("id").alias("entity_id"), F.coalesce("layer", F.lit(0)).alias("layer"))
+        settled = entities.where(F.col("layer").isNotNull() | (F.col("id") == root))
+        known = settled.select(F.col("id").alias("entity_id"), F.coalesce("layer", F.lit(0)).alias("layer"))
     frontier = entities.where(F.col("id") == root).select(F.col("id").alias("entity_id"))
     for hop in range(1, max_hops + 1):
         reached = _neighbours(pairs, frontier).join(known, "entity_id", "left_anti")
@@ -52,12 +54,17 @@ def with_layers(entities: DataFrame, mentions: DataFrame, root: int, **options)
     return entities.drop("layer").join(layers, "id")
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Edges in both directions, written once because every round reads them."""
+    return stored(mirrored(edges.select("source", "target"), "source", "target"), "both-ways")
+
+
 def khop(edges: DataFrame, seeds: DataFrame, n: int = 3) -> DataFrame:
     """(seed, id, hops): entities within 1..n hops of each seed, with the fewest hops.
 
     ``edges`` has (source, target), undirected; ``seeds`` has (id).
     """
-    both = mirrored(edges.select("source", "target"), "source", "target")
+    both = _both_ways(edges)
     visited = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hops"))
     frontier = visited
     for hop in range(1, n + 1):
@@ -72,12 +79,12 @@ def khop(edges: DataFrame, seeds: DataFrame, n: int = 3) -> DataFrame:
     return visited.where(F.col("hops") > 0)
 
 
-def hop_distance(nodes: DataFrame, edges: DataFrame, root: int, max_rounds: int = 1000) -> DataFrame:
+def hop_distance(nodes: DataFrame, edges: DataFrame, root: int) -> DataFrame:
     """(id, hops): length of the shortest path to the root; null when there is none."""
-    both = mirrored(edges.select("source", "target"), "source", "target")
+    both = _both_ways(edges)
     frontier = checkpointed(nodes.where(F.col("id") == root).select("id", F.lit(0).alias("hops")))
     visited = frontier
-    for hop in range(1, max_rounds + 1):
+    for hop in count(1):
         step = (
             frontier.join(both, frontier["id"] == both["source"])
             .select(F.col("target").alias("id"))
@@ -88,7 +95,6 @@ def hop_distance(nodes: DataFrame, edges: DataFrame, root: int, max_rounds: int
         if frontier.isEmpty():
             return nodes.select("id").join(visited, "id", "left")
         visited = visited.unionByName(frontier)
-    raise RuntimeError(f"hop distances not settled after {max_rounds} rounds")
 
 
 def shared_connections(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -112,7 +118,7 @@ def joint_documents(mentions: DataFrame, pairs: DataFrame) -> DataFrame:
     ).select("a", "b", "document_id")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable from every node that has an edge.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014): the number of rounds grows
@@ -124,7 +130,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         links = checkpointed(_small_star(_large_star(links)))
         state = links.agg(
             F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")
@@ -134,7 +140,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             members = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
             return members.unionByName(roots.select("id", F.col("id").alias("component")))
         before = state
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
 def _large_star(links: DataFrame) -> DataFrame:

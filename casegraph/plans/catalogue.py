@@ -122,17 +122,36 @@ def q_cooccurrence_edges(m):
     return m.network
 
 
+@query("SELECT source, target, weight FROM net", ("net",))
+def q_cooccurrence_hubs(m):
+    """Documents of more than four people and organizations are cut into blocks."""
+    return co.edges(m.mentions, m.entities, hub_size=4)
+
+
+@query("SELECT id, document_count, connection_count FROM stats WHERE document_count > 0", ("stats",))
+def q_stats_hubs(m):
+    return co.entity_stats(m.mentions, hub_size=8)
+
+
 @query(
     """SELECT a.entity_id AS entity1_id, e1.canonical_name AS entity1_name, e1.entity_type AS entity1_type,
     b.entity_id AS entity2_id, e2.canonical_name AS entity2_name, e2.entity_type AS entity2_type,
-    count(DISTINCT d.id) AS shared_documents, string_agg(DISTINCT d.doc_id, ',' ORDER BY d.doc_id) AS document_ids
+    count(DISTINCT a.document_id) AS shared_documents
     FROM men a JOIN men b ON a.document_id = b.document_id AND a.entity_id < b.entity_id
-    JOIN ent e1 ON e1.id = a.entity_id JOIN ent e2 ON e2.id = b.entity_id JOIN doc d ON d.id = a.document_id
-    GROUP BY ALL""", ("men", "ent", "doc"),
+    JOIN ent e1 ON e1.id = a.entity_id JOIN ent e2 ON e2.id = b.entity_id
+    GROUP BY ALL""", ("men", "ent"),
 )
 def q_entity_connections(m):
-    rows = co.entity_connections(m.mentions, m.names, m.documents)
-    return rows.drop("page").withColumn("document_ids", F.array_join("document_ids", ","))
+    return co.entity_connections(m.mentions, m.names)
+
+
+_SHARED_DOCUMENTS = """SELECT a.entity_id AS source, b.entity_id AS target, doc_id FROM men a
+    JOIN men b ON a.document_id = b.document_id AND a.entity_id < b.entity_id JOIN doc d ON d.id = a.document_id"""
+
+
+@query(_SHARED_DOCUMENTS, ("men", "doc"))
+def q_connection_documents(m):
+    return co.pair_documents(m.mentions, m.documents)
 
 
 @query("SELECT id, document_count, connection_count FROM stats WHERE document_count > 0", ("stats",))
@@ -151,6 +170,16 @@ def q_top_connections(m):
     return co.connections(m.mentions, with_layer, 50).drop("layer")
 
 
+@query(
+    """SELECT entity_id, id, canonical_name, entity_type, shared_docs, rank FROM (
+    SELECT b.source AS entity_id, e.id, canonical_name, entity_type, weight AS shared_docs,
+    row_number() OVER (PARTITION BY b.source ORDER BY weight DESC, b.target) AS rank
+    FROM sym b JOIN ent e ON e.id = b.target) WHERE rank <= 5""", ("sym", "ent"),
+)
+def q_connections_hubs(m):
+    return co.connections(m.mentions, m.names.withColumn("layer", F.lit(None).cast("int")), 5, hub_size=8).drop("layer")
+
+
 # Names of parts without their number are shared by many parts, so merging by name shows.
 _NAMED = "SELECT id, CASE WHEN entity_type = 'reference' THEN regexp_replace(canonical_name, ' [0-9]+$', '') ELSE canonical_name END AS name FROM ent"
 
@@ -184,11 +213,15 @@ def q_entity_documents(m):
 
 
 @query(
-    """SELECT document_id, entity_id, mention_count, canonical_name, entity_type
-    FROM men JOIN ent ON ent.id = entity_id""", ("men", "ent"),
+    """SELECT document_id, entity_id, mention_count, canonical_name, entity_type,
+    row_number() OVER (PARTITION BY document_id ORDER BY mention_count DESC NULLS FIRST, entity_id)::INT AS place
+    FROM (SELECT document_id, entity_id, CASE WHEN entity_id % 7 <> 0 THEN mention_count END AS mention_count FROM men)
+    JOIN ent ON ent.id = entity_id""", ("men", "ent"),
 )
 def q_document_entities(m):
-    return co.document_entities(m.mentions, m.names.withColumn("layer", F.lit(None).cast("int"))).drop("layer")
+    """Every seventh entity's counts are unknown here, so that their place shows."""
+    partly = m.mentions.withColumn("mention_count", F.when(F.col("entity_id") % 7 != 0, F.col("mention_count")))
+    return co.document_entities(partly, m.names.withColumn("layer", F.lit(None).cast("int"))).drop("layer")
 
 
 @query(
@@ -206,7 +239,7 @@ def q_comention_by_type(m):
 
 @query("SELECT id, layer FROM layers", ("layers",))
 def q_layers(m):
-    return traversal.classify_layers(m.names, m.graph_mentions, ROOT)
+    return traversal.classify_layers(m.names, m.mentions, ROOT)
 
 
 @query(
@@ -258,11 +291,13 @@ def q_normalize_name(m):
 @query(
     f"""SELECT a.item_id, d.doc_id, round({sql_similarity('a.g', 'd.g')}, 6) AS score
     FROM (SELECT item_id, {sql_trigrams('text')} AS g FROM benchmark) a
-    JOIN (SELECT doc_id, {sql_trigrams('text')} AS g FROM labels JOIN documents USING (doc_id)) d ON a.item_id = d.doc_id"""
+    JOIN (SELECT doc_id, {sql_trigrams('text')} AS g FROM documents) d ON a.item_id = d.doc_id % (SELECT count(*) FROM benchmark)"""
 )
 def q_trigram_similarity(m):
-    docs = m.table("labels").join(m.table("documents"), "doc_id").select("doc_id", F.col("text").alias("t"))
-    joined = m.table("benchmark").join(docs, F.col("item_id") == F.col("doc_id"))
+    """Every document with one of the benchmark items."""
+    items = m.table("benchmark")
+    docs = m.table("documents").select("doc_id", F.col("text").alias("t"), (F.col("doc_id") % items.count()).alias("item_id"))
+    joined = items.join(docs, "item_id")
     return joined.select("item_id", "doc_id", F.round(trigram_similarity(F.col("text"), F.col("t")), 6).alias("score"))
 
 
@@ -399,15 +434,31 @@ placed AS MATERIALIZED (SELECT id, min(root) AS cluster FROM reach GROUP BY 1)
 """
 
 
+_CANONICAL = """canonical AS MATERIALIZED (SELECT cluster, id AS canonical_id, name AS canonical_name FROM (
+    SELECT p.cluster, n.id, n.name, row_number() OVER (PARTITION BY p.cluster
+    ORDER BY n_chars DESC, length(n.name) DESC, n.name, n.id) AS rn FROM placed p JOIN names n USING (id)) WHERE rn = 1)
+"""
+
+
+def _clusters(m):
+    names = m.titled.select("id", F.col("canonical_name").alias("name"), F.col("n_chars").alias("mentions"))
+    return aliases.cluster_aliases(names)
+
+
 @query(
-    ", " + _CLUSTER_NAMES + """SELECT p.id, p.cluster, c.name AS canonical_name FROM placed p JOIN (
-    SELECT cluster, name FROM (SELECT p.cluster, n.name, row_number() OVER (PARTITION BY p.cluster
-    ORDER BY n_chars DESC, length(n.name) DESC, n.name, n.id) AS rn FROM placed p JOIN names n USING (id)) WHERE rn = 1) c
-    ON c.cluster = p.cluster""", ("titled", "alike"),
+    ", " + _CLUSTER_NAMES + ", " + _CANONICAL
+    + "SELECT p.id, p.cluster, canonical_id, canonical_name FROM placed p JOIN canonical USING (cluster)", ("titled", "alike"),
 )
 def q_alias_clusters(m):
-    names = m.titled.select("id", F.col("canonical_name").alias("name"), F.col("n_chars").alias("mentions"))
-    return aliases.cluster_aliases(names).select("id", "cluster", "canonical_name")
+    return _clusters(m).select("id", "cluster", "canonical_id", "canonical_name")
+
+
+@query(
+    ", " + _CLUSTER_NAMES + ", " + _CANONICAL + """SELECT name AS original_name, canonical_id AS entity_id, 1.0::DOUBLE AS confidence
+    FROM placed p JOIN names n USING (id) JOIN canonical USING (cluster) WHERE name <> canonical_name""", ("titled", "alike"),
+)
+def q_alias_table(m):
+    return aliases.alias_table(_clusters(m)).select("original_name", "entity_id", "confidence")
 
 
 # --- text -----------------------------------------------------------------------------------
@@ -428,14 +479,11 @@ _TOKENS = f"""tokens AS MATERIALIZED (SELECT id, unnest(w) AS term, generate_sub
     FROM (SELECT doc_id AS id, {sql_words('text')} AS w FROM documents)),
 asked AS MATERIALIZED (SELECT DISTINCT query_id, unnest(w) AS term FROM (SELECT item_id AS query_id, {sql_words('text')} AS w FROM benchmark)),
 wanted AS MATERIALIZED (SELECT query_id, count(*) AS n FROM asked GROUP BY 1),
-hits AS MATERIALIZED (SELECT query_id, id, term, position FROM (SELECT DISTINCT id, term, least(position, 16383) AS position FROM tokens)
-    JOIN asked USING (term)
-    QUALIFY row_number() OVER (PARTITION BY query_id, id, term ORDER BY position) <= 256),
+hits AS MATERIALIZED (SELECT query_id, id, term, position FROM tokens JOIN asked USING (term)),
 matched AS MATERIALIZED (SELECT query_id, id FROM (SELECT query_id, id, count(DISTINCT term) AS k FROM hits GROUP BY ALL) JOIN wanted USING (query_id) WHERE k = n),
-near AS (SELECT query_id, id, 1 - exp(sum(ln(1 - sqrt(0.01 * CASE WHEN abs(a.position - b.position) > 100 THEN 1e-30
-    ELSE 1 / (1.005 + 0.05 * exp(abs(a.position - b.position) / 1.5 - 2)) END)))) AS score
+near AS (SELECT query_id, id, 1 - exp(sum(ln(1 - sqrt(0.01 * 1 / (1.005 + 0.05 * exp(abs(a.position - b.position) / 1.5 - 2)))))) AS score
     FROM hits a JOIN hits b USING (query_id, id) JOIN matched USING (query_id, id)
-    WHERE a.term < b.term AND a.position <> b.position GROUP BY ALL)
+    WHERE a.term < b.term AND a.position <> b.position AND abs(a.position - b.position) <= 100 GROUP BY ALL)
 """
 
 
@@ -450,36 +498,57 @@ def q_full_text_search(m):
     return search.full_text_search(postings, queries, 100, "simple").select("query_id", "id", _r("rank"))
 
 
-@query()  # Needs the stemmer, which SQL lacks.
+@query(
+    "WITH " + _TOKENS + r""", best AS MATERIALIZED (SELECT query_id, id, rank, place FROM (
+    SELECT query_id, id, coalesce(score, 0) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(score, 0), 9) DESC, id) AS place
+    FROM matched LEFT JOIN near USING (query_id, id)) WHERE place <= 20),
+    cut AS (SELECT best.*, string_split_regex(text, '\s+') AS t,
+        list_transform(string_split_regex(text, '\s+'), lambda x: list_has_any(list_transform(regexp_extract_all(x, '[\p{L}\p{N}]+'), lambda y: lower(y)), terms)) AS hit
+        FROM best JOIN documents ON doc_id = id JOIN (SELECT query_id, list(term) AS terms FROM asked GROUP BY 1) USING (query_id)),
+    part AS (SELECT *, greatest(1, list_position(hit, true) - 10) AS s FROM cut)
+    SELECT query_id, id, round(rank, 6) AS rank, place::INT AS place, array_to_string(list_transform(list_zip(t[s:s + 49], hit[s:s + 49]),
+        lambda x: CASE WHEN x[2] THEN regexp_replace(x[1], '([\p{L}\p{N}]+)', '<mark>\1</mark>', 'g') ELSE x[1] END), ' ') AS snippet
+    FROM part"""
+)
 def q_snippets(m):
     queries = m.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    postings = search.build_postings(m.texts, only=search.query_terms(queries))
-    best = stored(search.full_text_search(postings, queries, 20), "best")
-    return search.snippets(best, m.texts, queries).select("query_id", "id", _r("rank"), "place", "snippet")
+    postings = search.build_postings(m.texts, config="simple", only=search.query_terms(queries, "simple"))
+    best = stored(search.full_text_search(postings, queries, 20, "simple"), "best")
+    found = search.snippets(best, m.texts, queries, config="simple")
+    return found.select("query_id", "id", _r("rank"), "place", "snippet")
 
 
 def _mention_sql(kind: str, pattern: str) -> str:
-    return f"""SELECT doc_id AS document_id, name, '{kind}' AS entity_type, count(*)::INT AS mention_count,
-    (instr(any_value(text), name) - 1)::INT AS first_mention
-    FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '{pattern}', 0)) AS name FROM documents) GROUP BY doc_id, name"""
+    """Matches in order, each behind all matches and gaps before it."""
+    return f"""SELECT document_id, name, '{kind}' AS entity_type, count(*)::INT AS mention_count, min(pos)::INT AS first_mention,
+    arg_min(around, pos) AS context_snippet FROM (
+    SELECT document_id, m[i] AS name, length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS pos,
+    right(g[i], 40) || m[i] || left(g[i + 1], 40) AS around
+    FROM (SELECT doc_id AS document_id, regexp_extract_all(text, '{pattern}', 0) AS m, string_split_regex(text, '{pattern}') AS g FROM documents),
+    LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i)) GROUP BY document_id, name"""
+
+
+_RUN = r"[\p{L}\p{N}]+"
 
 
 @query(
     " UNION ALL ".join(_mention_sql(k, p) for k, p in extraction.PATTERNS.items())
-    + f""" UNION ALL SELECT doc_id, name, 'reference', count(*)::INT, min(pos)::INT FROM (
-    SELECT doc_id, g.name, s.i AS pos FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents) d,
+    + f""" UNION ALL SELECT doc_id, name, 'reference', count(*)::INT, min(pos)::INT, arg_min(around, pos) FROM (
+    SELECT doc_id, name, pos, substring(text, greatest(pos - 40, 0) + 1, least(pos, 40) + size + 40) AS around FROM (
+    SELECT doc_id, text, g.name, length(array_to_string(d.gap[1 : s.i + 1], '')) + length(array_to_string(d.t[1 : s.i], '')) AS pos,
+    length(array_to_string(d.t[s.i + 1 : s.i + g.n], '')) + length(array_to_string(d.gap[s.i + 2 : s.i + g.n], '')) AS size
+    FROM (SELECT *, array_to_string(w, ' ') AS line FROM (SELECT doc_id, text, regexp_extract_all(text, '{_RUN}') AS t,
+        string_split_regex(text, '{_RUN}') AS gap, list_transform(regexp_extract_all(text, '{_RUN}'), lambda x: lower(x)) AS w FROM documents)) d,
     (SELECT array_to_string(w, ' ') AS run, any_value(len(w)) AS n, min(name) AS name FROM (
         SELECT name, {sql_words('name')} AS w FROM (SELECT DISTINCT trim(unnest(string_split(text, '.'))) AS name FROM benchmark))
-        WHERE len(w) BETWEEN 3 AND 8 GROUP BY 1) g,
+        WHERE len(w) > 0 GROUP BY 1) g,
     LATERAL (SELECT unnest(range(0, len(d.w) - g.n + 1)) AS i) s
-    WHERE contains(array_to_string(d.w, ' '), g.run) AND array_to_string(d.w[s.i + 1 : s.i + g.n], ' ') = g.run) GROUP BY doc_id, name"""
+    WHERE contains(d.line, g.run) AND array_to_string(d.w[s.i + 1 : s.i + g.n], ' ') = g.run)) GROUP BY doc_id, name"""
 )
 def q_extract_mentions(m):
     sentences = m.table("benchmark").select(F.explode(F.split("text", r"\.")).alias("name"))
-    known = sentences.select(F.trim("name").alias("name"), F.lit("reference").alias("entity_type")).where(
-        F.size(extraction.words(F.col("name"))) >= 3)
-    found = extraction.extract_mentions(m.texts, None, known, 8)
-    return found.select("document_id", "name", "entity_type", "mention_count", "first_mention")
+    known = sentences.select(F.trim("name").alias("name"), F.lit("reference").alias("entity_type"))
+    return extraction.extract_mentions(m.texts, None, known)
 
 
 # --- loading --------------------------------------------------------------------------------
@@ -571,12 +640,11 @@ def q_save_findings(m):
     return rows.select("id", F.array_join(F.col("entity_ids").cast("array<string>"), ",").alias("entity_ids"))
 
 
-@query("""SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'old' ELSE 'new' END AS v FROM orders
-    WHERE o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'""")
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'old' ELSE 'new' END AS v FROM orders")
 def q_insert_new(m):
     orders = m.table("orders")
     stored = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.lit("old").alias("v"))
-    batch = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("k"), F.lit("new").alias("v"))
+    batch = orders.select(F.col("o_orderkey").alias("k"), F.lit("new").alias("v"))
     return filters.insert_new(stored, batch, "k")
 
 
@@ -642,24 +710,24 @@ _SEEDS = "SELECT id FROM stats WHERE entity_type = 'person' ORDER BY connection_
 
 
 @query(
-    f""", h1 AS (SELECT DISTINCT s.id AS seed, target AS id, 1 AS hops FROM ({_SEEDS}) s JOIN gboth ON source = s.id),
-    h2 AS (SELECT DISTINCT seed, target AS id, 2 AS hops FROM h1 JOIN gboth ON source = h1.id),
-    h3 AS (SELECT DISTINCT seed, target AS id, 3 AS hops FROM h2 JOIN gboth ON source = h2.id)
+    f""", h1 AS (SELECT DISTINCT s.id AS seed, target AS id, 1 AS hops FROM ({_SEEDS}) s JOIN sym ON source = s.id),
+    h2 AS (SELECT DISTINCT seed, target AS id, 2 AS hops FROM h1 JOIN sym ON source = h1.id),
+    h3 AS (SELECT DISTINCT seed, target AS id, 3 AS hops FROM h2 JOIN sym ON source = h2.id)
     SELECT seed, id, min(hops) AS hops FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)
-    WHERE id <> seed GROUP BY ALL""", ("gboth", "stats"),
+    WHERE id <> seed GROUP BY ALL""", ("sym", "stats"),
 )
 def q_khop(m):
     people = filters.of_types(m.entities, ["person"])
     seeds = people.orderBy(F.desc("connection_count"), "id").limit(3).select("id")
-    return traversal.khop(m.graph_edges, seeds, 3)
+    return traversal.khop(m.every_edge, seeds, 3)
 
 
 @query(
-    f""", walk(id, hops) AS (SELECT {ROOT}::BIGINT, 0 UNION SELECT target, hops + 1 FROM walk JOIN gboth ON source = walk.id WHERE hops < 8)
-    SELECT ent.id, coalesce(min(hops), -1) AS hops FROM ent LEFT JOIN walk ON walk.id = ent.id GROUP BY ent.id""", ("gboth", "ent"),
+    f""", walk(id, hops) AS (SELECT {ROOT}::BIGINT, 0 UNION SELECT target, hops + 1 FROM walk JOIN sym ON source = walk.id WHERE hops < 8)
+    SELECT ent.id, coalesce(min(hops), -1) AS hops FROM ent LEFT JOIN walk ON walk.id = ent.id GROUP BY ent.id""", ("sym", "ent"),
 )
 def q_hop_distance(m):
-    rows = traversal.hop_distance(m.names, m.graph_edges, ROOT)
+    rows = traversal.hop_distance(m.names, m.every_edge, ROOT)
     return rows.select("id", F.coalesce("hops", F.lit(-1)).alias("hops"))
 
 
@@ -744,15 +812,15 @@ def q_pattern_features(m):
 
 
 @query(
-    """, heavy AS MATERIALIZED (SELECT source, target FROM gboth WHERE weight >= 2),
+    """, heavy AS MATERIALIZED (SELECT source, target FROM sym WHERE weight >= 2),
     degree AS (SELECT source, count(*) AS d FROM heavy GROUP BY 1)
     SELECT p.source, p.target, shared, round(shared / (x.d + y.d - shared), 6) AS jaccard FROM (
     SELECT a.target AS source, b.target AS target, count(*) AS shared FROM heavy a JOIN heavy b ON a.source = b.source
     AND a.target < b.target GROUP BY ALL HAVING count(*) >= 2) p JOIN degree x ON x.source = p.source
-    JOIN degree y ON y.source = p.target ANTI JOIN heavy h ON h.source = p.source AND h.target = p.target""", ("gboth",),
+    JOIN degree y ON y.source = p.target ANTI JOIN heavy h ON h.source = p.source AND h.target = p.target""", ("sym",),
 )
 def q_indirect_pairs(m):
-    rows = patterns.indirect_pairs(m.graph_edges.where("weight >= 2"))
+    rows = patterns.indirect_pairs(m.every_edge.where("weight >= 2"))
     return rows.select("source", "target", "shared", _r("jaccard"))
 
 
@@ -840,16 +908,16 @@ def q_density_outliers(m):
 
 @query(
     f""", fdoc AS (SELECT id FROM doc WHERE date_latest >= DATE '1996-01-01' AND date_earliest <= DATE '1998-12-31' AND document_type = '1-URGENT'),
-    fmen AS MATERIALIZED (SELECT * FROM gmen WHERE document_id IN (SELECT id FROM fdoc)),
+    fmen AS MATERIALIZED (SELECT * FROM men WHERE document_id IN (SELECT id FROM fdoc)),
     fpairs AS MATERIALIZED (SELECT a.entity_id AS source, b.entity_id AS target, count(*) AS weight FROM fmen a JOIN fmen b
         ON a.document_id = b.document_id AND a.entity_id < b.entity_id GROUP BY ALL),
     best AS (SELECT entity_id FROM fmen GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
     members AS (SELECT unnest([source, target]) AS id FROM fpairs, best WHERE source = entity_id OR target = entity_id)
     SELECT source, target, weight FROM fpairs WHERE source IN (SELECT id FROM members) AND target IN (SELECT id FROM members)""",
-    ("doc", "gmen"),
+    ("doc", "men"),
 )
 def q_focus_subgraph(m):
-    kept = patterns.focus_mentions(m.graph_mentions, m.documents, "1996-01-01", "1998-12-31", "1-URGENT")
+    kept = patterns.focus_mentions(m.mentions, m.documents, "1996-01-01", "1998-12-31", "1-URGENT")
     best = kept.groupBy("entity_id").count().orderBy(F.desc("count"), "entity_id").first()
     return patterns.focus_subgraph(co.cooccurrence(kept), best["entity_id"] if best else 0)
 
@@ -891,13 +959,28 @@ def q_stats_stream(m):
     return stats.current_stats(m.spark, out)
 
 
-@query(", " + _LISTED + """, texted AS (SELECT document_id, name, entity_type FROM listed WHERE document_id IN (SELECT doc_id FROM documents))
-    SELECT entity_type, count(*) AS mentions FROM (SELECT DISTINCT document_id, name, entity_type FROM texted) GROUP BY 1""", ("good",))
+@query(", " + _LISTED + """, ids AS MATERIALIZED (SELECT name, entity_type, row_number() OVER (ORDER BY name, entity_type) AS id
+        FROM (SELECT name, entity_type FROM listed UNION SELECT name, entity_type FROM places)),
+    pm AS MATERIALIZED (SELECT DISTINCT document_id, id FROM listed JOIN ids USING (name, entity_type)),
+    pp AS MATERIALIZED (SELECT a.id AS source, b.id AS target, count(*) AS weight FROM pm a JOIN pm b ON a.document_id = b.document_id AND a.id <> b.id GROUP BY ALL),
+    pn AS (SELECT target AS id FROM pp JOIN ids ON ids.id = source WHERE name = 'Customer#000000000'),
+    pl AS MATERIALIZED (SELECT id, CASE WHEN name = 'Customer#000000000' THEN 0 WHEN id IN (SELECT id FROM pn) THEN 1
+        WHEN id IN (SELECT target FROM pp WHERE source IN (SELECT id FROM pn)) THEN 2 ELSE 3 END AS layer FROM ids),
+    pd AS (SELECT id, count(*) AS n FROM pm GROUP BY 1), pc AS (SELECT source AS id, count(*) AS n FROM pp GROUP BY 1)
+    SELECT name, entity_type, layer, coalesce(pd.n, 0) AS documents, coalesce(pc.n, 0) AS connections,
+        coalesce((SELECT sum(weight) FROM pp JOIN ids o ON o.id = target WHERE source = ids.id AND weight >= 2
+            AND entity_type IN ('person', 'organization') AND ids.entity_type IN ('person', 'organization')
+            AND (SELECT n FROM pc WHERE pc.id = target) >= 2 AND pc.n >= 2), 0)::BIGINT AS edge_weight
+    FROM ids JOIN pl USING (id) LEFT JOIN pd USING (id) LEFT JOIN pc USING (id)""", ("good",))
 def q_run_pipeline(m):
+    """Entities with layers, counts and the weight of their edges; only equal names merge here."""
     from casegraph.plans.pipeline import run_pipeline
 
     answers = m.answers.select("doc_id", "response")
     root = ("Customer#000000000", "person")
-    tables = run_pipeline(m.spark, m.dump, answers, MARKER, root, scratch_dir(m.spark, "pipeline"))
-    kinds = tables["entities"].select(F.col("id").alias("entity_id"), "entity_type")
-    return tables["mentions"].join(kinds, "entity_id").groupBy("entity_type").agg(F.count(F.lit(1)).alias("mentions"))
+    tables = run_pipeline(m.spark, m.order_dump, answers, MARKER, root, scratch_dir(m.spark, "pipeline"), (1, 1))
+    both = tables["edges"].select(F.explode(F.array("source", "target")).alias("id"), "weight")
+    weights = both.groupBy("id").agg(F.sum("weight").alias("edge_weight"))
+    return tables["entities"].join(weights, "id", "left").select(
+        F.col("canonical_name").alias("name"), "entity_type", "layer", F.col("document_count").alias("documents"),
+        F.col("connection_count").alias("connections"), F.coalesce("edge_weight", F.lit(0)).alias("edge_weight"))

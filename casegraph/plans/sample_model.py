@@ -87,18 +87,14 @@ class SampleModel:
         return stored(with_stats(self.names, self.mentions), "entities")
 
     @cached_property
-    def graph_mentions(self) -> DataFrame:
-        """Mentions of persons and references only: a graph with three real layers."""
-        return self.mentions.where(F.col("entity_id") % 10 != 2)
-
-    @cached_property
-    def graph_edges(self) -> DataFrame:
-        return cooccurrence(self.graph_mentions, 1)
+    def every_edge(self) -> DataFrame:
+        """Pairs of entities that share a document."""
+        return cooccurrence(self.mentions, 1)
 
     @cached_property
     def layered(self) -> DataFrame:
-        """Entities with counts and layers; organizations take part in counts only."""
-        return with_layers(self.entities, self.graph_mentions, ROOT)
+        """Entities with counts and layers."""
+        return with_layers(self.entities, self.mentions, ROOT)
 
     @cached_property
     def network(self) -> DataFrame:
@@ -152,9 +148,10 @@ class SampleModel:
 
     @cached_property
     def hypotheses(self) -> DataFrame:
-        """One hypothesis per order whose number is a customer's: its suppliers, that customer, nobody."""
-        claimed = self.table("orders").join(
-            self.table("customer").select("c_custkey", "c_name"), F.col("o_orderkey") == F.col("c_custkey"))
+        """One hypothesis per order: its suppliers, a customer who need not be its own, nobody."""
+        customers = self.table("customer").select("c_custkey", "c_name")
+        guess = F.col("o_orderkey") % customers.count()
+        claimed = self.table("orders").join(customers, guess == F.col("c_custkey"))
         suppliers = (
             self.table("lineitem").select("l_orderkey", "l_suppkey").distinct()
             .join(self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
@@ -235,6 +232,14 @@ class SampleModel:
         docs.where("quality = 0").select(F.concat(marker, F.lit("\nREPEATED\n"))).write.text(f"{folder}/b")
         return f"{folder}/*"
 
+    @cached_property
+    def order_dump(self) -> str:
+        """Folder with a line dump that has a document for every order."""
+        folder = scratch_dir(self.spark, "order-dump")
+        key = F.col("o_orderkey").cast("string")
+        self.table("orders").select(F.concat(F.lit("DOC"), F.lpad(key, 8, "0"), F.lit("\nOrder "), key)).write.text(folder)
+        return folder
+
     @cached_property
     def activity(self) -> DataFrame:
         return self.table("events").select(F.col("user_id").alias("entity_id"), "ts")
@@ -290,13 +295,9 @@ SQL = {
     "stats": """SELECT ent.*, coalesce(d.n, 0) AS document_count, coalesce(c.n, 0) AS connection_count FROM ent
         LEFT JOIN (SELECT entity_id, count(DISTINCT document_id) AS n FROM men GROUP BY 1) d ON d.entity_id = ent.id
         LEFT JOIN (SELECT source, count(*) AS n FROM sym GROUP BY 1) c ON c.source = ent.id""",
-    "gmen": "SELECT * FROM men WHERE entity_id % 10 <> 2",
-    "gpairs": """SELECT a.entity_id AS source, b.entity_id AS target, count(DISTINCT a.document_id) AS weight
-        FROM gmen a JOIN gmen b ON a.document_id = b.document_id AND a.entity_id < b.entity_id GROUP BY ALL""",
-    "gboth": "SELECT source, target, weight FROM gpairs UNION ALL SELECT target, source, weight FROM gpairs",
-    "near": f"SELECT DISTINCT target AS id FROM gboth WHERE source = {ROOT}",
+    "near": f"SELECT DISTINCT target AS id FROM sym WHERE source = {ROOT}",
     "layers": f"""SELECT id, CASE WHEN id = {ROOT} THEN 0 WHEN id IN (SELECT id FROM near) THEN 1
-        WHEN id IN (SELECT target FROM gboth WHERE source IN (SELECT id FROM near)) THEN 2 ELSE 3 END AS layer FROM ent""",
+        WHEN id IN (SELECT target FROM sym WHERE source IN (SELECT id FROM near)) THEN 2 ELSE 3 END AS layer FROM ent""",
     "layered": "SELECT stats.*, layer FROM stats JOIN layers USING (id)",
     "eligible": "SELECT id FROM stats WHERE entity_type IN ('person', 'organization') AND connection_count >= 2",
     "net": """SELECT source, target, weight FROM pairs WHERE weight >= 2
@@ -322,10 +323,10 @@ SQL = {
         l_suppkey * 10 + 2 AS object_id, s_nationkey * 10 + 4 AS location_id, l_shipdate::DATE AS timestamp,
         l_linenumber AS sequence_order
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey""",
-    "hyp": """SELECT o_orderkey AS id, o_orderpriority AS pattern_type, o_orderdate AS discovered_at,
+    "hyp": """SELECT o_orderkey AS id, c_custkey, o_orderpriority AS pattern_type, o_orderdate AS discovered_at,
         CASE o_orderstatus WHEN 'F' THEN 'validated' WHEN 'P' THEN 'rejected' ELSE 'hypothesis' END AS status
-        FROM orders JOIN customer ON o_orderkey = c_custkey""",
-    "fent": """SELECT id AS finding_id, id * 10 + 1 AS entity_id FROM hyp
+        FROM orders JOIN customer ON o_orderkey % (SELECT count(*) FROM customer) = c_custkey""",
+    "fent": """SELECT id AS finding_id, c_custkey * 10 + 1 AS entity_id FROM hyp
         UNION SELECT id, l_suppkey * 10 + 2 FROM hyp JOIN lineitem ON l_orderkey = id""",
     "good": """SELECT o_orderkey AS document_id, o_custkey, o_orderdate, o_orderpriority, o_orderstatus,
         CASE WHEN o_orderstatus <> 'P' OR o_orderpriority LIKE '5%' THEN NULL

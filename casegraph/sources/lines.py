@@ -26,15 +26,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def running_marker(lines: DataFrame, is_marker) -> DataFrame:
-    """Lines with ``chunk``: the number of markers at or before them in the whole file.
+    """Lines with ``chunk``: the number of markers at or before them in the whole dump.
 
-    Lines are numbered inside their block; a second, tiny window over per-block marker counts
-    gives each block its offset, so no window spans a file.
+    The files of a dump follow each other in the order of their paths. Lines are numbered inside
+    their block; a second, tiny window over per-block marker counts gives each block its offset,
+    so no window spans the lines of a file.
     """
     block = ["file_path", "block_start"]
     marked = lines.withColumn("is_marker", is_marker)
     counts = marked.groupBy(*block).agg(F.sum(F.col("is_marker").cast("bigint")).alias("_markers"))
-    before = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*block, F.coalesce(F.sum("_markers").over(before), F.lit(0)).alias("_offset"))
     within = Window.partitionBy(*block).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     local = marked.withColumn("_local", F.sum(F.col("is_marker").cast("bigint")).over(within))
@@ -46,7 +47,7 @@ def running_marker(lines: DataFrame, is_marker) -> DataFrame:
 def segment_documents(lines: DataFrame, marker_regex: str) -> DataFrame:
     """(file_path, chunk, doc_id, full_text): one row per marker that has a body.
 
-    A trimmed line matching the marker opens a document. Lines before the first marker and blank
+    A trimmed line matching the marker opens a document, which may run on in the next file. Lines before the first marker and blank
     lines are dropped; other lines are kept as written and joined with newlines.
     """
     value = trim_unicode(F.col("value"))
@@ -57,9 +58,9 @@ def segment_documents(lines: DataFrame, marker_regex: str) -> DataFrame:
         F.max(F.when(F.col("is_marker"), value)).alias("doc_id"),
         F.array_sort(F.collect_list(body)).alias("body"),
     ).withColumn("body", F.array_join(F.transform("body", lambda b: b["value"]), "\n"))
-    whole = parts.groupBy("file_path", "chunk").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.array_sort(F.collect_list(F.when(F.col("body") != "", F.struct("block_start", "body")))).alias("parts"),
+    whole = parts.groupBy("chunk").agg(
+        F.min("file_path").alias("file_path"), F.max("doc_id").alias("doc_id"),
+        F.array_sort(F.collect_list(F.when(F.col("body") != "", F.struct("file_path", "block_start", "body")))).alias("parts"),
     )
     return whole.where(F.size("parts") > 0).select(
         "file_path", "chunk", "doc_id",
@@ -87,7 +88,7 @@ def assign_dataset(
 def extract_documents(spark: SparkSession, path: str, marker_regex: str, **datasets) -> DataFrame:
     """Documents of a dump, first chunk per id, with their dataset."""
     chunks = segment_documents(read_lines(spark, path), marker_regex)
-    first = first_per_key(chunks, "doc_id", ["file_path", "chunk"])
+    first = first_per_key(chunks, "doc_id", ["chunk"])
     return assign_dataset(first, **datasets).select(
         "doc_id", "dataset_id", F.col("file_path"), "full_text", F.lit(1).alias("page_count")
     )

@@ -54,15 +54,20 @@ def id_collisions(entities: DataFrame) -> DataFrame:
     return entities.groupBy("id").agg(keys.alias("keys")).where("keys > 1")
 
 
-def upsert_entities(target: DataFrame | None, batch: DataFrame, dedup: bool = False) -> DataFrame:
+def upsert_entities(
+    target: DataFrame | None, batch: DataFrame, dedup: bool = False, order: str | None = None
+) -> DataFrame:
     """(id, canonical_name, entity_type, aliases, description) keyed by exact name and type.
 
-    Alias lists are joined, existing ones first; the first description stays. The batch may have
-    many rows per key, they are combined before the shuffle.
+    Alias lists are joined, existing ones first and those of the batch by ``order`` (a column of the
+    batch); the first description stays. Equal lists of a key at one place of the order join once.
     """
+    place = [order] if order else []
+    lists = F.when(F.size("aliases") > 0, F.struct(*place, "aliases"))
+    said = F.when(F.col("description").isNotNull(), F.struct(*place, "description"))
     merged = batch.groupBy("canonical_name", "entity_type").agg(
-        F.flatten(F.collect_list(F.when(F.size("aliases") > 0, F.col("aliases")))).alias("aliases"),
-        F.min("description").alias("description"),
+        F.flatten(F.transform(F.array_sort(F.collect_set(lists)), lambda x: x["aliases"])).alias("aliases"),
+        F.min(said)["description"].alias("description"),
     )
     merged = merged.withColumn("id", entity_id(F.col("canonical_name"), F.col("entity_type")))
     if target is None:
@@ -107,11 +112,15 @@ def link_mentions(listed: DataFrame) -> DataFrame:
     )
 
 
-def merge_counts(mentions: DataFrame) -> DataFrame:
-    """Mention rows of several loads, one per document and entity; counts add up."""
+def merge_counts(mentions: DataFrame, order: str | None = None) -> DataFrame:
+    """Mention rows of several loads, one per document and entity; counts add up.
+
+    The snippet is the first one in ``order`` (a batch number), the smallest among equals.
+    """
+    snippet = F.struct(*([order] if order else []), "context_snippet")
     return mentions.groupBy("document_id", "entity_id").agg(
         F.sum("mention_count").cast("int").alias("mention_count"),
-        F.first("context_snippet", ignorenulls=True).alias("context_snippet"),
+        F.min(F.when(F.col("context_snippet").isNotNull(), snippet))["context_snippet"].alias("context_snippet"),
     )
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from casegraph.operators import extraction, search
+from casegraph.operators import aliases, extraction, search
 from casegraph.sources import analyses, lines, loading
 from casegraph.streaming import ingest, stats
 from casegraph.workspace import scratch_dir
@@ -124,15 +124,63 @@ def test_search_ranks_and_snippets(spark):
     assert got[(2, 3)] < got[(2, 4)] < got[(2, 1)]
     top = search.search_text(docs, "apache license", 1).first()
     assert top.id == 1 and top.snippet == "the <mark>apache</mark> <mark>license</mark>"
+    stemmed = {r.id: r.snippet for r in search.search_text(docs, "license", 9).collect()}
+    assert stemmed[4] == "<mark>Licenses</mark> of Apache"
     with pytest.raises(ValueError):
         search.search_text(docs, "")
 
 
 def test_extraction(spark):
-    docs = spark.createDataFrame([(1, "Pay $1,200.50 to Acme Trade on 2001-02-03. ACME trade again, acme other."), (2, "nothing")], "id long, full_text string")
+    docs = spark.createDataFrame([(1, "Pay $1,200.50 to Acme Trade on 2001-02-03. ACME trade again, acme other."), (3, "12001-02-03, then 2001-02-03"), (2, "nothing")], "id long, full_text string")
     known = spark.createDataFrame([("Acme Trade", "organization"), ("Unseen Name", "person")], "name string, entity_type string")
-    got = {r.name: (r.entity_type, r.mention_count, r.first_mention) for r in extraction.extract_mentions(docs, None, known).collect()}
-    assert got == {"$1,200.50": ("financial", 1, 4), "2001-02-03": ("date", 1, 31), "Acme Trade": ("organization", 2, 5)}
+    rows = extraction.extract_mentions(docs, None, known).collect()
+    got = {(r.document_id, r.name): (r.entity_type, r.mention_count, r.first_mention) for r in rows}
+    assert got == {(1, "$1,200.50"): ("financial", 1, 4), (1, "2001-02-03"): ("date", 1, 31), (1, "Acme Trade"): ("organization", 2, 17),
+                   (3, "2001-02-03"): ("date", 1, 18)}
+    context = {(r.document_id, r.name): r.context_snippet for r in rows}
+    assert context[1, "Acme Trade"] == "Pay $1,200.50 to Acme Trade on 2001-02-03. ACME trade again, acme o"
+    assert context[3, "2001-02-03"] == "12001-02-03, then 2001-02-03"
+    many = spark.createDataFrame([(" ".join(f"w{i}" for i in range(40)), "phrase")], "name string, entity_type string")
+    long = spark.createDataFrame([(1, "x " + " ".join(f"W{i}" for i in range(41)))], "id long, full_text string")
+    assert [(r.mention_count, r.first_mention) for r in extraction.gazetteer_mentions(long, many).collect()] == [(1, 2)]
+
+
+def test_a_document_runs_on_in_the_next_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("lost\nDOC1\none\n")
+    (tmp_path / "b.txt").write_text("two\nDOC2\nx\n")
+    (tmp_path / "c.txt").write_text("y\n")
+    rows = lines.segment_documents(lines.read_lines(spark, str(tmp_path)), r"^DOC\d+$").collect()
+    assert sorted((r.doc_id, r.full_text) for r in rows) == [("DOC1", "one\ntwo"), ("DOC2", "x\ny")]
+
+
+def test_merging_follows_the_batches(spark):
+    rows = [(1, 1, 2, None, 1), (1, 1, 3, "late", 3), (1, 1, 1, "early", 2)]
+    df = spark.createDataFrame(rows, "document_id long, entity_id long, mention_count int, context_snippet string, batch_id long")
+    assert [tuple(r) for r in loading.merge_counts(df, "batch_id").collect()] == [(1, 1, 6, "early")]
+    batch = spark.createDataFrame(
+        [("A", "person", ["x", "y"], None, 2), ("A", "person", ["z"], "second", 2), ("A", "person", ["b"], "third", 3), ("A", "person", ["c"], None, 1)],
+        "canonical_name string, entity_type string, aliases array<string>, description string, batch_id long")
+    first = loading.upsert_entities(None, batch, order="batch_id").first()
+    assert (first.aliases, first.description) == (["c", "x", "y", "z", "b"], "second")
+    target = spark.createDataFrame([(7, "A", "person", ["y", "old"], "kept")], "id long, canonical_name string, entity_type string, aliases array<string>, description string")
+    both = loading.upsert_entities(target, batch, dedup=True, order="batch_id").first()
+    assert (both.id, both.aliases, both.description) == (7, ["y", "old", "c", "x", "z", "b"], "kept")
+
+
+def test_merged_entities(spark):
+    entities = spark.createDataFrame(
+        [(1, "J. Smith", "person", []), (2, "John Smith", "person", ["JS"]), (3, "John Smith", "organization", []), (4, "Ann", "person", [])],
+        "id long, canonical_name string, entity_type string, aliases array<string>")
+    names = entities.selectExpr("id", "canonical_name as name", "if(id = 2, 9, 1) as mentions")
+    clusters = aliases.cluster_aliases(names)
+    assert {r.original_name: r.entity_id for r in aliases.alias_table(clusters).collect()} == {"J. Smith": 2}
+    merges = aliases.same_type_merges(clusters, entities)
+    assert {r.id: r.entity_id for r in merges.collect()} == {1: 2, 2: 2, 3: 3, 4: 4}
+    merged = {r.id: r.aliases for r in aliases.merge_entities(entities, merges).collect()}
+    assert merged == {2: ["JS", "J. Smith"], 3: [], 4: []}
+    triples = spark.createDataFrame([(1, 3, None), (4, 1, 2)], "subject_id long, object_id long, location_id long")
+    renamed = aliases.renamed_ids(triples, merges, triples.columns).collect()
+    assert sorted(map(tuple, renamed)) == [(2, 3, None), (4, 2, 2)]
 
 
 def test_streams_in_many_batches_equal_one(spark):

@@ -3,6 +3,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from casegraph.operators import cooccurrence as co, patterns, traversal
 from casegraph.operators.pairs import emit_pairs, hub_groups, meet_in_groups, neighbour_counts, pair_counts
@@ -126,12 +127,25 @@ def test_network_limit_comes_before_restriction(spark):
     assert co.edges(m, e, min_conn=2).count() == 0
 
 
-def test_document_lists_are_paged(spark):
+def test_pairs_with_their_documents(spark):
     m = mentions(spark, [(d, e) for d in range(30) for e in (1, 2)])
     docs = spark.createDataFrame([(d, f"D{d:02}") for d in range(30)], "id long, doc_id string")
-    rows = co.entity_connections(m, names(spark, (1, 2)), docs, page_size=10).collect()
-    assert len(rows) == 3 and all(r.shared_documents == 30 for r in rows)
-    assert sorted(x for r in rows for x in r.document_ids) == [f"D{d:02}" for d in range(30)]
+    rows = co.entity_connections(m, names(spark, (1, 2))).collect()
+    assert [(r.entity1_id, r.entity2_id, r.shared_documents) for r in rows] == [(1, 2, 30)]
+    assert sorted(r.doc_id for r in co.pair_documents(m, docs).collect()) == [f"D{d:02}" for d in range(30)]
+
+
+def test_unknown_counts_come_first(spark):
+    rows = spark.createDataFrame([(1, 1, 2), (1, 2, None), (1, 3, 5)], "document_id long, entity_id long, mention_count int")
+    placed = co.document_entities(rows, names(spark, (1, 2, 3)).withColumn("layer", F.lit(0))).collect()
+    assert {r.entity_id: r.place for r in placed} == {2: 1, 3: 2, 1: 3}
+
+
+def test_a_long_path_is_followed_to_its_end(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(12)], "source long, target long")
+    nodes = spark.createDataFrame([(i,) for i in range(14)], "id long")
+    got = {r.id: r.hops for r in traversal.hop_distance(nodes, path, 0).collect()}
+    assert got == {**{i: i for i in range(13)}, 13: None}
 
 
 def test_top_k_breaks_ties_by_given_order(spark):

@@ -18,10 +18,9 @@ from casegraph.operators.filters import (
     valid_matches,
     with_defaults,
 )
-from casegraph.operators.pairs import HUB_SIZE, mirrored, pair_counts
+from casegraph.operators.pairs import HUB_SIZE, emit_pairs, hub_groups, mirrored, pair_counts
 from casegraph.operators.ranking import PEOPLE_AND_ORGS
-from casegraph.operators.traversal import joint_documents
-from casegraph.workspace import checkpointed
+from casegraph.workspace import checkpointed, stored
 
 MATCH_LISTS = ["ppp_matches", "fec_matches", "grants_matches"]
 COUNTS = ["layer", "document_count", "connection_count"]
@@ -164,26 +163,26 @@ def activity_gaps(events: DataFrame, min_days: int = 7) -> DataFrame:
 def timeline_correlation(activity: DataFrame, pairs: DataFrame, periods: int) -> DataFrame:
     """(source, target, r): correlation of two entities' activity over ``periods`` periods.
 
-    ``activity`` has (entity_id, period, n); a missing period counts as zero, so only periods in
-    which both are active enter the product sum.
+    ``activity`` has (entity_id, period, n), one row per entity and period; a missing period counts
+    as zero. Each entity is one vector of at most ``periods`` entries, and a pair is one row with
+    two of them, so pairs are never multiplied by periods.
     """
-    totals = activity.groupBy("entity_id").agg(
-        F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q")
-    )
-    left = activity.select(F.col("entity_id").alias("source"), "period", F.col("n").alias("n1"))
-    right = activity.select(F.col("entity_id").alias("target"), "period", F.col("n").alias("n2"))
-    keys = pairs.select("source", "target")
-    products = (
-        keys.join(left, "source").join(right, ["target", "period"])
-        .groupBy("source", "target").agg(F.sum(F.col("n1") * F.col("n2")).alias("p"))
+    vectors = stored(
+        activity.where("period is not null").groupBy("entity_id").agg(
+            F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"),
+            F.map_from_entries(F.collect_list(F.struct("period", "n"))).alias("v")),
+        "vectors",
     )
     joined = (
-        keys.join(totals.selectExpr("entity_id AS source", "s AS s1", "q AS q1"), "source")
-        .join(totals.selectExpr("entity_id AS target", "s AS s2", "q AS q2"), "target")
-        .join(products, ["source", "target"], "left")
+        pairs.select("source", "target")
+        .join(vectors.selectExpr("entity_id AS source", "s AS s1", "q AS q1", "v AS v1"), "source")
+        .join(vectors.selectExpr("entity_id AS target", "s AS s2", "q AS q2", "v AS v2"), "target")
     )
+    product = F.aggregate(
+        F.map_entries("v1"), F.lit(0).cast("bigint"),
+        lambda total, x: total + x["value"] * F.coalesce(F.try_element_at("v2", x["key"]), F.lit(0)))
     n = F.lit(periods)
-    covariance = n * F.coalesce("p", F.lit(0)) - F.col("s1") * F.col("s2")
+    covariance = n * product - F.col("s1") * F.col("s2")
     spread = (n * F.col("q1") - F.col("s1") * F.col("s1")).cast("double") * (
         n * F.col("q2") - F.col("s2") * F.col("s2")
     )
@@ -302,16 +301,13 @@ def validate_findings(findings: DataFrame, mentions: DataFrame, min_share: float
     A pair of a finding's entities is supported when some document mentions both. A finding is
     validated when at least ``min_share`` of its pairs are, and rejected otherwise.
     """
-    ids = F.array_sort(F.array_distinct("entity_ids"))
-    wanted = F.flatten(
-        F.transform(
-            ids,
-            lambda a: F.transform(F.filter(ids, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))),
-        )
-    )
-    pairs = findings.select("id", F.inline(wanted))
-    joint = joint_documents(mentions, pairs.select("a", "b").distinct())
-    support = joint.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    named = stored(findings.select("id", F.explode(F.array_distinct("entity_ids")).alias("entity_id")), "named")
+    pairs = emit_pairs(named, "id", "entity_id", hub_groups(named, "id")).select(
+        "id", F.col("item1").alias("a"), F.col("item2").alias("b"))
+    # paired inside each document, among the entities that findings name
+    kept = mentions.join(named.select("entity_id").distinct(), "entity_id", "left_semi")
+    support = pair_counts(kept, "document_id", "entity_id").select(
+        F.col("item1").alias("a"), F.col("item2").alias("b"), F.col("shared").alias("n"))
     per_finding = (
         pairs.join(support, ["a", "b"], "left")
         .groupBy("id")

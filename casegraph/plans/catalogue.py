@@ -812,15 +812,15 @@ def q_pattern_features(m):
 
 
 @query(
-    """, heavy AS MATERIALIZED (SELECT source, target FROM sym WHERE weight >= 2),
+    """, heavy AS MATERIALIZED (SELECT source, target FROM netboth),
     degree AS (SELECT source, count(*) AS d FROM heavy GROUP BY 1)
     SELECT p.source, p.target, shared, round(shared / (x.d + y.d - shared), 6) AS jaccard FROM (
     SELECT a.target AS source, b.target AS target, count(*) AS shared FROM heavy a JOIN heavy b ON a.source = b.source
     AND a.target < b.target GROUP BY ALL HAVING count(*) >= 2) p JOIN degree x ON x.source = p.source
-    JOIN degree y ON y.source = p.target ANTI JOIN heavy h ON h.source = p.source AND h.target = p.target""", ("sym",),
+    JOIN degree y ON y.source = p.target ANTI JOIN heavy h ON h.source = p.source AND h.target = p.target""", ("netboth",),
 )
 def q_indirect_pairs(m):
-    rows = patterns.indirect_pairs(m.every_edge.where("weight >= 2"))
+    rows = patterns.indirect_pairs(m.network)
     return rows.select("source", "target", "shared", _r("jaccard"))
 
 
@@ -973,12 +973,12 @@ def q_stats_stream(m):
             AND (SELECT n FROM pc WHERE pc.id = target) >= 2 AND pc.n >= 2), 0)::BIGINT AS edge_weight
     FROM ids JOIN pl USING (id) LEFT JOIN pd USING (id) LEFT JOIN pc USING (id)""", ("good",))
 def q_run_pipeline(m):
-    """Entities with layers, counts and the weight of their edges; only equal names merge here."""
+    """Entities with layers, counts and the weight of their edges; the similarity rule is left out."""
     from casegraph.plans.pipeline import run_pipeline
 
     answers = m.answers.select("doc_id", "response")
     root = ("Customer#000000000", "person")
-    tables = run_pipeline(m.spark, m.order_dump, answers, MARKER, root, scratch_dir(m.spark, "pipeline"), (1, 1))
+    tables = run_pipeline(m.spark, m.order_dump, answers, MARKER, root, scratch_dir(m.spark, "pipeline"), (None, 1))
     both = tables["edges"].select(F.explode(F.array("source", "target")).alias("id"), "weight")
     weights = both.groupBy("id").agg(F.sum("weight").alias("edge_weight"))
     return tables["entities"].join(weights, "id", "left").select(

@@ -301,17 +301,17 @@ def q_trigram_similarity(m):
     return joined.select("item_id", "doc_id", F.round(trigram_similarity(F.col("text"), F.col("t")), 6).alias("score"))
 
 
-_ASKED = "And therhean is the ha"
+_ASKED = "small ring brand"
 
 
 @query(
     f"""SELECT id, canonical_name, entity_type, n_chars, round(score, 6) AS score FROM (
-    SELECT titled.*, {sql_similarity('g', sql_trigrams(f"'{_ASKED}'"))} AS score FROM titled JOIN grams USING (canonical_name))
+    SELECT named.*, {sql_similarity('g', sql_trigrams(f"'{_ASKED}'"))} AS score FROM named JOIN grams USING (canonical_name))
     WHERE (canonical_name ILIKE '%{_ASKED}%' OR score >= 0.3) AND entity_type = 'person'
-    ORDER BY score DESC, n_chars DESC NULLS FIRST, id LIMIT 100""", ("titled", "grams"),
+    ORDER BY score DESC, n_chars DESC NULLS FIRST, id LIMIT 100""", ("named", "grams"),
 )
 def q_search_entities(m):
-    named = m.titled.withColumn("document_count", F.col("n_chars"))
+    named = m.named.withColumn("document_count", F.col("n_chars"))
     found = ranking.search_entities(named, _ASKED, entity_type="person", k=100)
     return found.select("id", "canonical_name", "entity_type", "n_chars", _r("score"))
 
@@ -324,8 +324,8 @@ def _registry_search_sql(table: str, name: str, amount: str, extra: str = "TRUE"
 
 @query(
     "SELECT * FROM (" + _registry_search_sql("ppp", "borrower_name", "loan_amount") + ") UNION ALL SELECT * FROM ("
-    + _registry_search_sql("fec", "contributor_name", "amount", "candidate_name ILIKE '%src1%'") + ") UNION ALL SELECT * FROM ("
-    + _registry_search_sql("grants", "recipient_name", "award_amount", "awarding_agency ILIKE '%src1%'") + ")",
+    + _registry_search_sql("fec", "contributor_name", "amount", "candidate_name ILIKE '%brand#1%'") + ") UNION ALL SELECT * FROM ("
+    + _registry_search_sql("grants", "recipient_name", "award_amount", "awarding_agency ILIKE '%brand#1%'") + ")",
     ("ppp", "fec", "grants", "grams"),
 )
 def q_search_registry(m):
@@ -333,7 +333,7 @@ def q_search_registry(m):
     parts = []
     for source, label in asked.items():
         spec = crossref.REGISTRIES[source]
-        found = ranking.search_registry(m.registries[source], spec.name_col, spec.amount_col, _ASKED, label, "src1")
+        found = ranking.search_registry(m.registries[source], spec.name_col, spec.amount_col, _ASKED, label, "brand#1")
         parts.append(found.select(
             F.lit(source).alias("registry"), "id", F.col(spec.name_col).alias("name"),
             F.col(spec.amount_col).cast("double").alias("amount"), _r("score")))
@@ -343,7 +343,7 @@ def q_search_registry(m):
 def _match_sql(source: str, name: str, types: str) -> str:
     return f"""SELECT e.id AS entity_id, '{source}' AS source, r.id AS source_id, score AS match_score,
     row_number() OVER (PARTITION BY e.id ORDER BY score DESC, r.id) AS place
-    FROM titled e JOIN alike s ON s.name1 = e.canonical_name JOIN {source} r ON r.{name} = s.name2
+    FROM named e JOIN alike s ON s.name1 = e.canonical_name JOIN {source} r ON r.{name} = s.name2
     WHERE e.entity_type IN ({types})"""
 
 
@@ -353,29 +353,29 @@ _MATCHES = (
     + _match_sql("fec", "contributor_name", "'person'") + " UNION ALL "
     + _match_sql("grants", "recipient_name", "'person', 'organization'") + ") WHERE place <= 5"
 )
-_MATCH_TABLES = ("titled", "alike", "ppp", "fec", "grants")
+_MATCH_TABLES = ("named", "alike", "ppp", "fec", "grants")
 
 
 @query(f"SELECT entity_id, source, source_id, round(match_score, 6) AS match_score FROM ({_MATCHES})", _MATCH_TABLES)
 def q_fuzzy_match(m):
-    return crossref.match_all(m.titled, m.registries).select("entity_id", "source", "source_id", _r("match_score"))
+    return crossref.match_all(m.named, m.registries).select("entity_id", "source", "source_id", _r("match_score"))
 
 
 def _reviewed(m):
-    """The matches of q_fuzzy_match; a reviewer marked entities whose title is longer than 60 as wrong."""
-    long_titles = m.titled.where(F.length("canonical_name") > 60).select(F.col("id").alias("entity_id"), F.lit(True).alias("wrong"))
-    found = crossref.match_all(m.titled, m.registries).join(long_titles, "entity_id", "left")
+    """The matches of q_fuzzy_match; a reviewer marked entities whose name is longer than 24 as wrong."""
+    long_names = m.named.where(F.length("canonical_name") > 24).select(F.col("id").alias("entity_id"), F.lit(True).alias("wrong"))
+    found = crossref.match_all(m.named, m.registries).join(long_names, "entity_id", "left")
     return checkpointed(found.withColumn("false_positive", F.coalesce("wrong", F.lit(False))).drop("wrong"))
 
 
 @query(
-    f"""SELECT e.id, CASE WHEN x.n IS NULL THEN 'none' WHEN length(e.canonical_name) > 60 THEN 'rejected' ELSE 'matched' END AS state,
-    CASE WHEN x.n IS NULL OR length(e.canonical_name) > 60 THEN '' ELSE x.ids END AS ids
-    FROM titled e LEFT JOIN (SELECT entity_id, count(*) AS n, string_agg(source_id, ',' ORDER BY match_score DESC, source_id) AS ids
+    f"""SELECT e.id, CASE WHEN x.n IS NULL THEN 'none' WHEN length(e.canonical_name) > 24 THEN 'rejected' ELSE 'matched' END AS state,
+    CASE WHEN x.n IS NULL OR length(e.canonical_name) > 24 THEN '' ELSE x.ids END AS ids
+    FROM named e LEFT JOIN (SELECT entity_id, count(*) AS n, string_agg(source_id, ',' ORDER BY match_score DESC, source_id) AS ids
     FROM ({_MATCHES}) WHERE source = 'ppp' GROUP BY 1) x ON x.entity_id = e.id""", _MATCH_TABLES,
 )
 def q_crossref_summary(m):
-    rows = crossref.crossref_summary(m.titled, _reviewed(m), m.registries["ppp"], "ppp")
+    rows = crossref.crossref_summary(m.named, _reviewed(m), m.registries["ppp"], "ppp")
     found = F.col("ppp_matches")
     return rows.select(
         "id",
@@ -387,40 +387,40 @@ def q_crossref_summary(m):
     f"""SELECT source, count(*) AS n FROM ({_MATCHES}) GROUP BY 1""", _MATCH_TABLES
 )
 def q_match_counts(m):
-    found = checkpointed(crossref.save_matches(None, crossref.match_all(m.titled, m.registries)))
+    found = checkpointed(crossref.save_matches(None, crossref.match_all(m.named, m.registries)))
     again = crossref.save_matches(found, found)
     return again.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    f"""SELECT e.id, canonical_name FROM titled e
+    f"""SELECT e.id, canonical_name FROM named e
     WHERE e.id IN (SELECT entity_id FROM ({_MATCHES}) WHERE source = 'fec')""", _MATCH_TABLES,
 )
 def q_has_match(m):
-    return filters.has_match(m.titled, _reviewed(m), "fec").select("id", "canonical_name")
+    return filters.has_match(m.named, _reviewed(m), "fec").select("id", "canonical_name")
 
 
 @query(
-    f"""SELECT id, canonical_name, n_chars AS connection_count FROM titled WHERE length(canonical_name) <= 60
+    f"""SELECT id, canonical_name, n_chars AS connection_count FROM named WHERE length(canonical_name) <= 24
     AND id IN (SELECT entity_id FROM ({_MATCHES})) ORDER BY n_chars DESC, id LIMIT 100""", _MATCH_TABLES,
 )
 def q_cross_referenced_sample(m):
-    counted = m.titled.select(
+    counted = m.named.select(
         "id", "canonical_name", "entity_type", F.lit(0).alias("layer"), F.lit(1).alias("document_count"),
         F.col("n_chars").alias("connection_count"))
     matched = crossref.with_crossrefs(counted, _reviewed(m), m.registries)
     return patterns.cross_referenced_sample(matched).select("id", "canonical_name", "connection_count")
 
 
-_CLUSTER_NAMES = f"""names AS MATERIALIZED (SELECT id, canonical_name AS name, n_chars,
+_CLUSTER_NAMES = f"""names AS MATERIALIZED (SELECT p_partkey AS id, p_name || ' ' || p_size AS name, p_size AS n_chars,
     array_to_string(list_filter(string_split(trim(lower(regexp_replace(regexp_replace(strip_accents(replace(
-    regexp_replace(canonical_name, '[\\s\\-]+', ' ', 'g'), 'ß', 'ss')), '[^a-zA-Z0-9 ]', '', 'g'), '\\s+', ' ', 'g'))), ' '),
-    lambda t: t NOT IN ({', '.join(f"'{s}'" for s in aliases.COMPANY_SUFFIXES)})), ' ') AS plain FROM titled),
+    regexp_replace(p_name || ' ' || p_size, '[\\s\\-]+', ' ', 'g'), 'ß', 'ss')), '[^a-zA-Z0-9 ]', '', 'g'), '\\s+', ' ', 'g'))), ' '),
+    lambda t: t NOT IN ({', '.join(f"'{s}'" for s in aliases.COMPANY_SUFFIXES)})), ' ') AS plain FROM part),
 parts AS (SELECT id, string_split(plain, ' ') AS t FROM names),
 people AS MATERIALIZED (SELECT id, t[1] AS first, t[-1] AS last, array_to_string(t[2:-2], ' ') AS middle FROM parts
     WHERE len(t) >= 2 AND length(t[-1]) > 1 AND length(array_to_string(t[2:-2], ' ')) <= 1),
 links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM names a JOIN names b ON a.plain = b.plain AND a.plain <> ''
-    UNION SELECT a.id, b.id FROM alike s JOIN names a ON a.name = s.name1 JOIN names b ON b.name = s.name2
+    UNION SELECT a.id, b.id FROM short_alike s JOIN names a ON a.name = s.name1 JOIN names b ON b.name = s.name2
     UNION SELECT f.id, p.id FROM people p JOIN people f ON p.last = f.last AND p.first = substring(f.first, 1, 1)
         WHERE length(p.first) = 1 AND length(f.first) > 1 AND (SELECT count(DISTINCT q.first) FROM people q
         WHERE q.last = p.last AND substring(q.first, 1, 1) = p.first AND length(q.first) > 1) = 1
@@ -441,13 +441,13 @@ _CANONICAL = """canonical AS MATERIALIZED (SELECT cluster, id AS canonical_id, n
 
 
 def _clusters(m):
-    names = m.titled.select("id", F.col("canonical_name").alias("name"), F.col("n_chars").alias("mentions"))
+    names = m.table("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name"), F.col("p_size").alias("mentions"))
     return aliases.cluster_aliases(names)
 
 
 @query(
     ", " + _CLUSTER_NAMES + ", " + _CANONICAL
-    + "SELECT p.id, p.cluster, canonical_id, canonical_name FROM placed p JOIN canonical USING (cluster)", ("titled", "alike"),
+    + "SELECT p.id, p.cluster, canonical_id, canonical_name FROM placed p JOIN canonical USING (cluster)", ("short_alike",),
 )
 def q_alias_clusters(m):
     return _clusters(m).select("id", "cluster", "canonical_id", "canonical_name")
@@ -455,7 +455,7 @@ def q_alias_clusters(m):
 
 @query(
     ", " + _CLUSTER_NAMES + ", " + _CANONICAL + """SELECT name AS original_name, canonical_id AS entity_id, 1.0::DOUBLE AS confidence
-    FROM placed p JOIN names n USING (id) JOIN canonical USING (cluster) WHERE name <> canonical_name""", ("titled", "alike"),
+    FROM placed p JOIN names n USING (id) JOIN canonical USING (cluster) WHERE name <> canonical_name""", ("short_alike",),
 )
 def q_alias_table(m):
     return aliases.alias_table(_clusters(m)).select("original_name", "entity_id", "confidence")
@@ -795,15 +795,15 @@ def q_pair_features(m):
 
 @query(
     f"""SELECT canonical_name AS name, entity_type AS type, n_chars AS connections,
-    length(canonical_name) <= 60 AND id IN (SELECT entity_id FROM ({_MATCHES}) WHERE source = 'ppp') AS has_ppp,
-    length(canonical_name) <= 60 AND id IN (SELECT entity_id FROM ({_MATCHES}) WHERE source = 'fec') AS has_fec,
-    length(canonical_name) <= 60 AND id IN (SELECT entity_id FROM ({_MATCHES}) WHERE source = 'grants') AS has_grants
-    FROM titled WHERE id IN (SELECT id FROM titled WHERE entity_type IN ('person', 'organization') ORDER BY n_chars DESC, id LIMIT 50)
-    OR id IN (SELECT id FROM titled WHERE length(canonical_name) <= 60 AND id IN (SELECT entity_id FROM ({_MATCHES})) ORDER BY n_chars DESC, id LIMIT 100)""",
+    length(canonical_name) <= 24 AND id IN (SELECT entity_id FROM ({_MATCHES}) WHERE source = 'ppp') AS has_ppp,
+    length(canonical_name) <= 24 AND id IN (SELECT entity_id FROM ({_MATCHES}) WHERE source = 'fec') AS has_fec,
+    length(canonical_name) <= 24 AND id IN (SELECT entity_id FROM ({_MATCHES}) WHERE source = 'grants') AS has_grants
+    FROM named WHERE id IN (SELECT id FROM named WHERE entity_type IN ('person', 'organization') ORDER BY n_chars DESC, id LIMIT 50)
+    OR id IN (SELECT id FROM named WHERE length(canonical_name) <= 24 AND id IN (SELECT entity_id FROM ({_MATCHES})) ORDER BY n_chars DESC, id LIMIT 100)""",
     _MATCH_TABLES,
 )
 def q_pattern_features(m):
-    counted = m.titled.select(
+    counted = m.named.select(
         "id", "canonical_name", "entity_type", F.lit(0).alias("layer"), F.lit(1).alias("document_count"),
         F.col("n_chars").alias("connection_count"))
     matched = crossref.with_crossrefs(counted, _reviewed(m), m.registries)

@@ -1,8 +1,8 @@
 """The data model over the sample tables, once as DataFrames and once as SQL for checking.
 
 Orders play structured documents; customers, suppliers and parts are persons, organizations and
-references; order and line rows are mentions. Texts come from ``documents``, whose first line is
-the title; titles are the names that are matched against registries.
+references; order and line rows are mentions. Texts come from ``documents``. Names that are matched
+against registries are those of all parts.
 """
 
 from __future__ import annotations
@@ -18,9 +18,6 @@ from casegraph.workspace import scratch_dir, stored
 
 ROOT = 1
 MARKER = r"^DOC\d{8}$"
-REGISTRY_OF = {"ppp": ("src0", "src1", "src2", "src3", "src4", "src5", "src6"),
-               "fec": ("src7", "src8", "src9", "src10", "src11", "src12", "src13")}
-TYPE_OF = {"en": "person", "es": "location"}
 
 
 class SampleModel:
@@ -112,20 +109,18 @@ class SampleModel:
         )
 
     @cached_property
-    def titled(self) -> DataFrame:
-        """Entities named by document titles."""
-        kind = F.when(F.col("lang") == "en", "person").when(F.col("lang") == "es", "location").otherwise("organization")
-        return self.table("documents").select(
-            F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("canonical_name"),
-            kind.alias("entity_type"), "source", "n_chars")
+    def named(self) -> DataFrame:
+        """Entities named by all parts: name, brand and type together."""
+        kind = F.when(F.col("p_type") == "ECONOMY", "location").when(F.col("p_type") == "SMALL", "organization").otherwise("person")
+        return self.table("part").select(
+            F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("canonical_name"),
+            kind.alias("entity_type"), F.col("p_brand").alias("source"), F.col("p_size").cast("bigint").alias("n_chars"))
 
     @cached_property
     def registries(self) -> dict[str, DataFrame]:
-        """Three registries of document titles, by source."""
-        rows = self.titled
-        ppp = rows.where(F.col("source").isin(*REGISTRY_OF["ppp"]))
-        fec = rows.where(F.col("source").isin(*REGISTRY_OF["fec"]))
-        grants = rows.where(~F.col("source").isin(*REGISTRY_OF["ppp"], *REGISTRY_OF["fec"]))
+        """Three registries of all parts, by size."""
+        rows, size = self.named, F.col("n_chars")
+        ppp, fec, grants = rows.where(size <= 17), rows.where((size > 17) & (size <= 34)), rows.where(size > 34)
         amount = F.col("n_chars").cast("decimal(15,2)")
         return {
             "ppp": ppp.select("id", F.col("canonical_name").alias("borrower_name"), amount.alias("loan_amount"), F.col("source").alias("lender")),
@@ -268,12 +263,9 @@ def sql_similarity(a: str, b: str) -> str:
 
 def _registry_sql(kind: str, where: str, name: str, amount: str, label: str) -> str:
     return (f"SELECT id, canonical_name AS {name}, n_chars::DECIMAL(15,2) AS {amount}, source AS {label} "
-            f"FROM titled WHERE {where}")
+            f"FROM named WHERE {where}")
 
 
-_PPP = ", ".join(f"'{s}'" for s in REGISTRY_OF["ppp"])
-_FEC = ", ".join(f"'{s}'" for s in REGISTRY_OF["fec"])
-
 # Named table expressions, in an order in which each uses only earlier ones.
 SQL = {
     "doc": f"""SELECT o_orderkey AS id, 'DOC' || lpad(o_orderkey::VARCHAR, 8, '0') AS doc_id,
@@ -306,18 +298,23 @@ SQL = {
     "texts": """SELECT d.doc_id AS id, text AS full_text, lang, source, n_chars,
         CASE quality WHEN 1 THEN 'complete' WHEN 0 THEN 'failed' ELSE 'pending' END AS analysis_status
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
-    "titled": """SELECT doc_id AS id, split_part(text, chr(10), 1) AS canonical_name,
-        CASE lang WHEN 'en' THEN 'person' WHEN 'es' THEN 'location' ELSE 'organization' END AS entity_type,
-        source, n_chars FROM documents""",
+    "named": """SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type AS canonical_name,
+        CASE p_type WHEN 'ECONOMY' THEN 'location' WHEN 'SMALL' THEN 'organization' ELSE 'person' END AS entity_type,
+        p_brand AS source, p_size::BIGINT AS n_chars FROM part""",
     "grams": f"""SELECT canonical_name, {sql_trigrams('canonical_name')} AS g
-        FROM (SELECT DISTINCT canonical_name FROM titled)""",
+        FROM (SELECT DISTINCT canonical_name FROM named)""",
     "alike": f"""SELECT a.canonical_name AS name1, b.canonical_name AS name2, {sql_similarity('a.g', 'b.g')} AS score
         FROM grams a JOIN grams b ON len(a.g) * 10 >= len(b.g) * 7 AND len(b.g) * 10 >= len(a.g) * 7
         WHERE 10 * len(list_intersect(a.g, b.g)) >= 7 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))
         AND len(a.g) > 0""",
-    "ppp": _registry_sql("ppp", f"source IN ({_PPP})", "borrower_name", "loan_amount", "lender"),
-    "fec": _registry_sql("fec", f"source IN ({_FEC})", "contributor_name", "amount", "candidate_name"),
-    "grants": _registry_sql("grants", f"source NOT IN ({_PPP}, {_FEC})", "recipient_name", "award_amount", "awarding_agency"),
+    "short_grams": f"""SELECT name AS canonical_name, {sql_trigrams('name')} AS g FROM (SELECT DISTINCT p_name || ' ' || p_size AS name FROM part)""",
+    "short_alike": f"""SELECT a.canonical_name AS name1, b.canonical_name AS name2, {sql_similarity('a.g', 'b.g')} AS score
+        FROM short_grams a JOIN short_grams b ON len(a.g) * 10 >= len(b.g) * 7 AND len(b.g) * 10 >= len(a.g) * 7
+        WHERE 10 * len(list_intersect(a.g, b.g)) >= 7 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))
+        AND len(a.g) > 0""",
+    "ppp": _registry_sql("ppp", "n_chars <= 17", "borrower_name", "loan_amount", "lender"),
+    "fec": _registry_sql("fec", "n_chars > 17 AND n_chars <= 34", "contributor_name", "amount", "candidate_name"),
+    "grants": _registry_sql("grants", "n_chars > 34", "recipient_name", "award_amount", "awarding_agency"),
     "trip": """SELECT l_orderkey AS document_id, o_custkey * 10 + 1 AS subject_id,
         CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'accepted' ELSE 'ordered' END AS predicate,
         l_suppkey * 10 + 2 AS object_id, s_nationkey * 10 + 4 AS location_id, l_shipdate::DATE AS timestamp,

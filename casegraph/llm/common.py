@@ -88,7 +88,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): every linked node with the smallest node that it reaches.
 
     Alternating large and small stars on edges that shrink to stars; aggregates are combined
-    before they are shuffled and every round is written to the shared folder.
+    before they are shuffled, a hub's edges are dealt to several tasks, and every round is written
+    to the shared folder.
     """
     spark = links.sparkSession
     rounds = Rounds(spark, "components")
@@ -106,11 +107,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
         large = (
-            both.where(F.col("root") > F.col("node")).join(lowest(both), "node")
+            salted_join(both.where(F.col("root") > F.col("node")), lowest(both), ["node"], salts=8)
             .select(F.col("root").alias("node"), F.col("low").alias("root")).where("node != root").distinct()
         )
         large = rounds.put(large)
-        small = large.join(lowest(large), "node")
+        small = salted_join(large, lowest(large), ["node"], salts=8)
         edges = rounds.put(
             small.select("node", F.col("low").alias("root"))
             .unionByName(small.select(F.col("root").alias("node"), F.col("low").alias("root")))
@@ -164,9 +165,11 @@ def segment_hash(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> n
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     first = np.cumsum(lengths) - lengths
-    within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    taken = data[within + np.repeat(starts, lengths)]
-    terms = (taken.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[within]
+    within = np.arange(int(lengths.sum()), dtype=np.int32)
+    within -= np.repeat(first.astype(np.int32), lengths)
+    terms = powers(int(lengths.max()))[within]
+    within += np.repeat(starts.astype(np.int32), lengths)
+    terms *= data[within] + np.uint64(1)
     filled = lengths > 0
     sums = np.zeros(len(starts), dtype=np.uint64)
     sums[filled] = np.add.reduceat(terms, first[filled])

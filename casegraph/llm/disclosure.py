@@ -34,7 +34,7 @@ NEAR = 12
 SUPPORT = 3
 GENERALISE = 0.95
 REMOVE = 0.99
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "removed", "generalised")

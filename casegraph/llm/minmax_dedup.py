@@ -32,7 +32,7 @@ SHINGLE = 5
 PERCENT = 80
 FUNCTIONS = 60
 BAND_ROWS = 5
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 BLOCK = 64  # members of a star per task
 TILE = 512  # members of a tile; two tiles meet in a task
 

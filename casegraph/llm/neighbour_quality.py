@@ -30,7 +30,7 @@ RANK = 64
 MOST_LABELLED = 6000
 NEIGHBOURS = 25
 THRESHOLD = 0.7
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 BLOCK = 256
 
 # Classes of bytes in word shapes: lower case, upper case, digits, beyond ASCII; others are themselves.

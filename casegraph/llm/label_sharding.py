@@ -30,27 +30,38 @@ def capacities(count: int, shards: int) -> list[int]:
     return [count // shards + (k < count % shards) for k in range(shards)]
 
 
-def votes(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(hub, votes): an array of (n, shard) per hub; at most one entry per shard."""
-    counted = members.join(labels, "node").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("hub").agg(F.collect_list(F.struct("n", "shard")).alias("votes"))
+def memberships(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, hub) of the nodes with one hub, and of those with several."""
+    each = stored(members.select("node", "hub").distinct(), "memberships")
+    several = each.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    return each.join(several, "node", "left_anti"), each.join(several, "node", "left_semi")
 
 
-def wishes(members: DataFrame, labels: DataFrame, open_shards: list[int]) -> DataFrame:
+def wishes(one: DataFrame, several: DataFrame, labels: DataFrame, open_shards: list[int]) -> DataFrame:
     """(node, shard, target, gain): documents that one of ``open_shards`` attracts more than their own.
 
-    Equal votes go by a hash of hub and shard, so that a hub's documents agree and shards fill evenly.
+    Documents of one hub in one shard wish alike, so they are decided together, one row per hub and
+    shard; only documents with several hubs sum their votes. Equal votes go by a hash of hub and
+    shard, so that a hub's documents agree and shards fill evenly.
     """
-    heard = salted_join(members, votes(members, labels), ["hub"])
+    ranked = F.struct("n", F.xxhash64("hub", "at").alias("order"), "at")
+    counted = (
+        one.unionByName(several).join(labels, "node").groupBy("hub", F.col("shard").alias("at")).agg(F.count(F.lit(1)).alias("n")))
+    best = counted.where(F.col("at").isin(open_shards)).groupBy("hub").agg(F.max(ranked).alias("best"))
+    shared = counted.join(best, "hub").where(F.col("best") > ranked).select(
+        "hub", F.col("at").alias("shard"), F.col("best.at").alias("target"), (F.col("best.n") - F.col("n")).alias("gain"))
+    alike = salted_join(one.join(labels, "node"), shared, ["hub", "shard"]).select("node", "shard", "target", "gain")
+
+    votes = counted.groupBy("hub").agg(F.collect_list(F.struct("n", "at")).alias("votes"))
     summed = (
-        heard.select("node", "hub", F.explode("votes").alias("v")).groupBy("node", F.col("v.shard").alias("at"))
-        .agg(F.sum("v.n").alias("n"), F.min("hub").alias("hub"))
+        salted_join(several, votes, ["hub"]).select("node", "hub", F.explode("votes").alias("v"))
+        .groupBy("node", F.col("v.at").alias("at")).agg(F.sum("v.n").alias("n"), F.min("hub").alias("hub"))
     )
-    ranked = F.struct("n", F.xxhash64("hub", "at").alias("order"), "at")
-    best = summed.join(labels, "node").groupBy("node", "shard").agg(
+    own = summed.join(labels, "node").groupBy("node", "shard").agg(
         F.max(F.when(F.col("at").isin(open_shards), ranked)).alias("best"), F.max(F.when(F.col("at") == F.col("shard"), ranked)).alias("own"))
-    return best.where("best > own").select(
+    mixed = own.where("best > own").select(
         "node", "shard", F.col("best.at").alias("target"), (F.col("best.n") - F.col("own.n")).alias("gain"))
+    return alike.unionByName(mixed)
 
 
 def quotas(wanted: dict[tuple[int, int], int], room: list[int]) -> list[tuple[int, int, int]]:
@@ -98,13 +109,14 @@ def propagate(members: DataFrame, start: DataFrame, room_of: list[int], rounds:
     """
     kept = Rounds(start.sparkSession, "labels")
     labels = kept.put(start.select("node", F.col("shard").cast("int").alias("shard")))
+    one, several = memberships(members)
     still = 0
     for number in range(rounds):
         taken = {r["shard"]: r["count"] for r in labels.groupBy("shard").count().collect()}
         room = [size - taken.get(k, 0) for k, size in enumerate(room_of)]
         # by turns any shard, where exchanges count, and only those with room, past a full favourite
         open_shards = [k for k, free in enumerate(room) if number % 2 == 0 or free > 0]
-        moves = stored(accepted(stored(wishes(members, labels, open_shards), "wishes"), room, number), "moves")
+        moves = stored(accepted(stored(wishes(one, several, labels, open_shards), "wishes"), room, number), "moves")
         if moves.isEmpty():
             still += 1
             if still == 2:
@@ -134,7 +146,7 @@ def shard_documents(
     members = stored(salted_join(known.where("filled"), hubs, text).select("node", "hub", "n_alike"), "members")
     begun = numbered(members.select("node"), "turn", [F.col("node")], buckets=256).select(
         "node", F.pmod("turn", F.lit(shards)).cast("int").alias("shard"))
-    placed = propagate(members.select("node", "hub"), begun, room, rounds)
+    placed = propagate(members, begun, room, rounds)
 
     # the rest fills the shards up, in the order of their numbers
     taken = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}

@@ -157,6 +157,15 @@ def test_shards(spark):
     assert sorted(r.shard for r in label_sharding.shard_documents(rows.limit(3)).collect()) == [0, 1, 2]
 
 
+def test_documents_of_several_hubs(spark):
+    """Two dense groups, joined by one document, draw together and never overfill a shard."""
+    members = spark.createDataFrame([(n, h) for g in (0, 1) for n in range(12 * g, 12 * g + 12) for h in (10 * g, 10 * g + 1)] + [(0, 10)], "node long, hub long")
+    start = spark.createDataFrame([(n, n % 4) for n in range(24)], "node long, shard int")
+    got = {r.node: r.shard for r in label_sharding.propagate(members, start, [14] * 4).collect()}
+    assert len(got) == 24 and max(Counter(got.values()).values()) <= 14
+    assert len({got[n] for n in range(12)}) <= 2 and len({got[n] for n in range(12, 24)}) <= 2
+
+
 def test_ledger(spark):
     ledger = token_ledger.Ledger(spark, scratch_dir(spark, "test-ledger"))
     kind = "change string, sequence int, doc_id long, source string, lang string, tokenizer string, tokens long, bytes long"

@@ -7,7 +7,10 @@ shards exchange as many documents as want to go either way; beyond that a shard
 room for. So no shard ever exceeds its size. Documents without links fill the shards last: counts
 of any two shards differ by one at most.
 
-Every other round asks for shards with room only, so a hub larger than a shard fills one after another.
+Every other round asks for shards with room only. A hub then deals its documents from its smallest
+parts to its largest ones, as far as each has room, so one larger than a shard fills several at once.
+Rounds go on until two in a row bring no more linked documents together. That number is a bounded
+integer, so the rounds end.
 
 Defined cases: null and empty texts have 0 bytes and link with nothing; null ids are ids; rows
 alike in id and text are separate rows of the same hub; fewer documents than shards leave shards empty.
@@ -20,7 +23,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from casegraph.llm.common import Rounds, numbered, salted_join, stored
 
 SHARDS = 40
-ROUNDS = 12
 HASH_BUCKETS = 1024
 OVERHEAD = 16
 
@@ -37,19 +39,48 @@ def memberships(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each.join(several, "node", "left_anti"), each.join(several, "node", "left_semi")
 
 
-def wishes(one: DataFrame, several: DataFrame, labels: DataFrame, open_shards: list[int]) -> DataFrame:
-    """(node, shard, target, gain): documents that one of ``open_shards`` attracts more than their own.
+def votes_of(one: DataFrame, several: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hub, at, n): how many documents of each hub are in each shard."""
+    return one.unionByName(several).join(labels, "node").groupBy("hub", F.col("shard").alias("at")).agg(F.count(F.lit(1)).alias("n"))
 
-    Documents of one hub in one shard wish alike, so they are decided together, one row per hub and
-    shard; only documents with several hubs sum their votes. Equal votes go by a hash of hub and
-    shard, so that a hub's documents agree and shards fill evenly.
+
+def dealt_parts(counted: DataFrame, room: list[int]) -> DataFrame:
+    """(hub, shard, target, gain): the parts of each hub, the smallest first, into the room of its largest ones.
+
+    A part asks for the first shard whose room the parts before it leave over; a shard that is asked
+    for asks for none itself. A hub has one row per shard at most.
+    """
+    down = Window.partitionBy("hub").orderBy(F.desc("n"), F.xxhash64("hub", "at").desc(), F.desc("at"))
+    free = F.element_at(F.array(*[F.lit(r).cast("bigint") for r in room]), F.col("at") + 1)
+    placed = (
+        counted.withColumn("rank", F.row_number().over(down))
+        .withColumn("until", F.sum(free).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+        # what the smaller parts hold
+        .withColumn("before", F.sum("n").over(Window.partitionBy("hub")) - F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    parts = placed.groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("rank", "until", "at", "n", "before"))).alias("parts"))
+    part = parts.select("hub", "parts", F.explode("parts").alias("p"))
+    asked = part.select("hub", "p", F.filter("parts", lambda x: x["until"] > F.col("p.before")).alias("fit")).where("size(fit) > 0")
+    return asked.select("hub", "p", F.col("fit")[0].alias("to")).where("to.rank < p.rank").select(
+        "hub", F.col("p.at").alias("shard"), F.col("to.at").alias("target"), (F.col("to.n") - F.col("p.n")).alias("gain"))
+
+
+def wishes(one: DataFrame, several: DataFrame, labels: DataFrame, counted: DataFrame, room: list[int] | None) -> DataFrame:
+    """(node, shard, target, gain): documents that another shard attracts more than their own.
+
+    Any shard may attract them, or only those with ``room`` if it is given. Documents of one hub in
+    one shard wish alike, so they are decided together, one row per hub and shard; only documents
+    with several hubs sum their votes. Equal votes go by a hash of hub and shard, so that a hub's
+    documents agree and shards fill evenly.
     """
     ranked = F.struct("n", F.xxhash64("hub", "at").alias("order"), "at")
-    counted = (
-        one.unionByName(several).join(labels, "node").groupBy("hub", F.col("shard").alias("at")).agg(F.count(F.lit(1)).alias("n")))
-    best = counted.where(F.col("at").isin(open_shards)).groupBy("hub").agg(F.max(ranked).alias("best"))
-    shared = counted.join(best, "hub").where(F.col("best") > ranked).select(
-        "hub", F.col("at").alias("shard"), F.col("best.at").alias("target"), (F.col("best.n") - F.col("n")).alias("gain"))
+    if room is None:
+        best = counted.groupBy("hub").agg(F.max(ranked).alias("best"))
+        shared = counted.join(best, "hub").where(F.col("best") > ranked).select(
+            "hub", F.col("at").alias("shard"), F.col("best.at").alias("target"), (F.col("best.n") - F.col("n")).alias("gain"))
+    else:
+        shared = dealt_parts(counted, room)
+    is_open = F.lit(True) if room is None else F.col("at").isin([k for k, free in enumerate(room) if free > 0])
     alike = salted_join(one.join(labels, "node"), shared, ["hub", "shard"]).select("node", "shard", "target", "gain")
 
     votes = counted.groupBy("hub").agg(F.collect_list(F.struct("n", "at")).alias("votes"))
@@ -58,7 +89,7 @@ def wishes(one: DataFrame, several: DataFrame, labels: DataFrame, open_shards: l
         .groupBy("node", F.col("v.at").alias("at")).agg(F.sum("v.n").alias("n"), F.min("hub").alias("hub"))
     )
     own = summed.join(labels, "node").groupBy("node", "shard").agg(
-        F.max(F.when(F.col("at").isin(open_shards), ranked)).alias("best"), F.max(F.when(F.col("at") == F.col("shard"), ranked)).alias("own"))
+        F.max(F.when(is_open, ranked)).alias("best"), F.max(F.when(F.col("at") == F.col("shard"), ranked)).alias("own"))
     mixed = own.where("best > own").select(
         "node", "shard", F.col("best.at").alias("target"), (F.col("best.n") - F.col("own.n")).alias("gain"))
     return alike.unionByName(mixed)
@@ -102,33 +133,37 @@ def accepted(wanted: DataFrame, room: list[int], number: int) -> DataFrame:
     return judged.where("place <= whole").select("node", "target").unionByName(some.select("node", "target"))
 
 
-def propagate(members: DataFrame, start: DataFrame, room_of: list[int], rounds: int = ROUNDS) -> DataFrame:
+def propagate(members: DataFrame, start: DataFrame, room_of: list[int]) -> DataFrame:
     """(node, shard): ``start`` after moving nodes towards the shards of the nodes they share hubs with.
 
-    ``members`` holds (node, hub). Stops when nothing moves in two rounds, or after ``rounds`` rounds.
+    ``members`` holds (node, hub). Stops when two rounds in a row bring no more linked nodes together;
+    where every node has one hub, each move does, so nothing moves any more then.
     """
     kept = Rounds(start.sparkSession, "labels")
     labels = kept.put(start.select("node", F.col("shard").cast("int").alias("shard")))
     one, several = memberships(members)
-    still = 0
-    for number in range(rounds):
+    votes = Rounds(start.sparkSession, "votes")
+    squares = F.coalesce(F.sum(F.col("n").cast("decimal(19,0)") * F.col("n")), F.lit(0))
+    number = still = 0
+    together = -1
+    while True:
+        counted = votes.put(votes_of(one, several, labels))
+        now = int(counted.agg(squares).first()[0])
+        still, together = (0, now) if now > together else (still + 1, together)
+        if still == 2:
+            return labels
         taken = {r["shard"]: r["count"] for r in labels.groupBy("shard").count().collect()}
         room = [size - taken.get(k, 0) for k, size in enumerate(room_of)]
         # by turns any shard, where exchanges count, and only those with room, past a full favourite
-        open_shards = [k for k, free in enumerate(room) if number % 2 == 0 or free > 0]
-        moves = stored(accepted(stored(wishes(one, several, labels, open_shards), "wishes"), room, number), "moves")
-        if moves.isEmpty():
-            still += 1
-            if still == 2:
-                break
-            continue
-        still = 0
-        labels = kept.put(labels.join(moves, "node", "left").select("node", F.coalesce("target", "shard").alias("shard")))
-    return labels
+        asked = wishes(one, several, labels, counted, room if number % 2 else None)
+        moves = stored(accepted(stored(asked, "wishes"), room, number), "moves")
+        if not moves.isEmpty():
+            labels = kept.put(labels.join(moves, "node", "left").select("node", F.coalesce("target", "shard").alias("shard")))
+        number += 1
 
 
 def shard_documents(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS,
 ) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, n_alike), one row per row of ``docs``."""
     bytes_of = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint")
@@ -146,7 +181,7 @@ def shard_documents(
     members = stored(salted_join(known.where("filled"), hubs, text).select("node", "hub", "n_alike"), "members")
     begun = numbered(members.select("node"), "turn", [F.col("node")], buckets=256).select(
         "node", F.pmod("turn", F.lit(shards)).cast("int").alias("shard"))
-    placed = propagate(members, begun, room, rounds)
+    placed = propagate(members, begun, room)
 
     # the rest fills the shards up, in the order of their numbers
     taken = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}

@@ -157,6 +157,14 @@ def test_shards(spark):
     assert sorted(r.shard for r in label_sharding.shard_documents(rows.limit(3)).collect()) == [0, 1, 2]
 
 
+def test_a_hub_of_many_shards_fills_them(spark):
+    """A text of a third of the rows needs 14 of 40 shards and is left in no others."""
+    docs = [(i, "hot" if i % 3 == 0 else f"own {i}") for i in range(4000)]
+    got = label_sharding.shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), shards=40).collect()
+    assert set(Counter(r.shard for r in got).values()) == {100}
+    assert len({r.shard for r in got if r.n_alike > 1}) == 14
+
+
 def test_documents_of_several_hubs(spark):
     """Two dense groups, joined by one document, draw together and never overfill a shard."""
     members = spark.createDataFrame([(n, h) for g in (0, 1) for n in range(12 * g, 12 * g + 12) for h in (10 * g, 10 * g + 1)] + [(0, 10)], "node long, hub long")

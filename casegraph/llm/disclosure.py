@@ -1,16 +1,18 @@
 """Personal data and the terms that give it away.
 
 Four kinds of personal data are found by pattern in every whole text. Their values are the
-protected entities. The corpus then says how strongly a word that stands near a mention reveals the
-entity: with document counts over all documents, the disclosure of entity e by term t is
+protected entities. The corpus then says how strongly a word of a document that mentions an entity
+reveals it: with document counts over all documents, the disclosure of entity e by term t is
 
     PMI(e, t) / IC(e) = log(N n(e,t) / (n(e) n(t))) / log(N / n(e)),
 
 1 if t never occurs without e, 0 if they are independent. A term seen with e in at least
 ``support`` documents is generalised to its class from ``generalise`` on and removed from
-``remove`` on, wherever it occurs in a document that mentions e with that term nearby. Only words
-within ``near`` words of a mention are paired with it, so the pairs grow with the mentions and
-never with all words times all entities. Entities and terms are compared as 64-bit hashes.
+``remove`` on, wherever it occurs outside the base spans of a document that mentions e. Every word
+of a document is paired with every entity of it, except terms in too many documents to reach
+``generalise`` with the entity whatever n(e,t) is: as n(e,t) <= n(e), n(t) may be N (n(e) / N) **
+``generalise`` at most. The most usual terms and entities are sent to the tasks for this; pairs of
+others are rated like all that are left. Entities and terms are compared as 64-bit hashes.
 
 Defined cases: a null text is empty and has no spans; rows alike in id and text are counted each
 and get the same result; an entity in every document reveals nothing more and protects no term;
@@ -30,11 +32,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from casegraph.llm.common import LETTERS, Words, chunks, key_columns, salted_join, stored
 
-NEAR = 12
 SUPPORT = 3
 GENERALISE = 0.95
 REMOVE = 0.99
 SHARD_BYTES = 1 << 20
+USUAL = 50_000  # terms and entities whose counts are sent to the tasks
+PAIR_ROWS = 1 << 17
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "removed", "generalised")
@@ -109,44 +112,85 @@ def placed_words(text: str, spans: list) -> tuple[np.ndarray, np.ndarray, np.nda
     return words.hashes().view(np.int64)[outside], start[outside], end[outside]
 
 
-def contexts(text: str, spans: list, near: int) -> set[tuple[int, int]]:
-    """(entity, term) of every word within ``near`` words of a mention."""
-    hashes, start, _ = placed_words(text, spans)
-    found = set()
-    for a, kind, b, value in spans:
-        own = entity(kind, value)
-        before, after = np.searchsorted(start, a), np.searchsorted(start, b)
-        found.update((own, t) for t in hashes[max(0, before - near) : before].tolist())
-        found.update((own, t) for t in hashes[after : after + near].tolist())
-    return found
+def distinct_words(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    return np.unique(Words(data, np.array([0, len(data)]), LETTERS).hashes().view(np.int64))
 
 
 SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-PAIR = pa.struct([("entity", pa.int64()), ("term", pa.int64())])
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, near: int) -> DataFrame:
-    """(doc_id, text_hash, base, entities, pairs, text): what each document holds; its text only if it mentions an entity."""
+def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, base, entities, text): what each document holds; its text only if it mentions an entity."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, entities, pairs, texts = [], [], [], []
+            base, entities, texts = [], [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text or "")
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b, _ in spans])
                 entities.append(sorted({entity(k, v) for _, k, _, v in spans}))
-                near_by = sorted(contexts(text, spans, near)) if spans else []
-                pairs.append([{"entity": e, "term": t} for e, t in near_by])
                 texts.append(text if spans else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(base, pa.list_(SPAN)), pa.array(entities, pa.list_(pa.int64())),
-                 pa.array(pairs, pa.list_(PAIR)), pa.array(texts, pa.string())],
-                names=["doc_id", "text_hash", "base", "entities", "pairs", "text"])
+                 pa.array(texts, pa.string())],
+                names=["doc_id", "text_hash", "base", "entities", "text"])
 
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, base array<struct<start:bigint,kind:int,end:bigint>>, "
-                                "entities array<bigint>, pairs array<struct<entity:bigint,term:bigint>>, text string")
+                                "entities array<bigint>, text string")
+
+
+def pairs_of(scanned: DataFrame, of_entity: DataFrame, counted: DataFrame, total: int, generalise: float, usual: int = USUAL) -> DataFrame:
+    """(doc_id, text_hash, entity, term): the entities of each document with its distinct terms, without
+    pairs that cannot reach ``generalise``."""
+
+    def most(df: DataFrame, key: str, n: str) -> tuple[np.ndarray, np.ndarray, int]:
+        """The keys with the highest counts in order, their counts, and the most that another can have."""
+        rows = df.select(key, n).orderBy(F.desc(n)).limit(usual).collect()
+        keys, counts = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(2))
+        order = np.argsort(keys)
+        return keys[order], counts[order], int(counts.min()) if len(rows) == usual else 1
+
+    sent = scanned.sparkSession.sparkContext.broadcast((most(counted, "term", "n_term"), most(of_entity, "entity", "n_entity")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (terms, n_terms, _), (entities, n_entities, other) = sent.value
+        among = dict(zip(entities.tolist(), n_entities.tolist(), strict=True))
+        for batch in batches:
+            rows, parts, size = [], [], 0
+
+            def put(batch=batch) -> pa.RecordBatch:
+                lengths = [len(t) for _, t in parts]
+                place = pa.array(np.repeat(np.array(rows, dtype=np.int64), lengths))
+                return pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(place), batch.column("text_hash").take(place),
+                     pa.array(np.repeat(np.array([e for e, _ in parts], dtype=np.int64), lengths)), pa.array(np.concatenate([t for _, t in parts]))],
+                    names=["doc_id", "text_hash", "entity", "term"])
+
+            for row, (text, own) in enumerate(zip(batch.column("text").to_pylist(), batch.column("entities").to_pylist(), strict=True)):
+                if not own:
+                    continue
+                words = distinct_words(text)
+                n = np.ones(len(words), dtype=np.int64)  # at least
+                if len(terms):
+                    at = np.minimum(np.searchsorted(terms, words), len(terms) - 1)
+                    n = np.where(terms[at] == words, n_terms[at], 1)
+                for e in own:
+                    bound = total * (among.get(e, other) / total) ** generalise * (1 + 1e-9)
+                    rows.append(row)
+                    parts.append((e, words[n <= bound]))
+                    size += len(parts[-1][1])
+                    if size >= PAIR_ROWS:
+                        yield put()
+                        rows, parts, size = [], [], 0
+            if size:
+                yield put()
+
+    kind = dict(scanned.dtypes)["doc_id"]
+    return scanned.select("doc_id", "text_hash", "entities", "text").where("size(entities) > 0").mapInArrow(
+        run, f"doc_id {kind}, text_hash bigint, entity bigint, term bigint")
 
 
 def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -169,36 +213,37 @@ def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def revealing(
-    scanned: DataFrame, counted: DataFrame, *, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE,
+    pairs: DataFrame, of_entity: DataFrame, counted: DataFrame, total: int, *, support: int = SUPPORT,
+    generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
     """(entity, term, disclosure, action): the terms that exceed a threshold; action 4 removes, 5 generalises."""
-    total = scanned.count()
-    of_entity = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    together = (
-        scanned.select(F.explode("pairs").alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_both"))
-        .where(F.col("n_both") >= support)
-    )
+    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
     rated = salted_join(together, of_entity, ["entity"]).join(counted, "term")
-    information = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    mutual = F.log(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    information = F.log(F.lit(float(total)) / F.col("n_entity"))
+    mutual = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     rated = rated.where(F.col("n_entity") < total).withColumn("disclosure", mutual / information)
     return rated.where(F.col("disclosure") >= generalise).select(
         "entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, 4).otherwise(5).alias("action"))
 
 
 def find(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, support: int = SUPPORT,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
     generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
     """(doc_id, text_hash, base, added): base spans and those of revealing terms, one row per row of ``docs``.
 
     Spans are (start, kind, end) in order; kind is a place in ``KINDS``.
     """
-    scanned = stored(scan(docs, id_col, text_col, near), "mentions")
-    risky = stored(revealing(scanned, term_counts(docs, text_col), support=support, generalise=generalise, remove=remove), "risky")
+    scanned = stored(scan(docs, id_col, text_col), "mentions")
+    total = max(scanned.count(), 1)
+    of_entity = stored(
+        scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "entities")
+    counted = stored(term_counts(docs, text_col), "terms")
+    held = pairs_of(scanned, of_entity, counted, total, generalise)
+    risky = stored(revealing(held, of_entity, counted, total, support=support, generalise=generalise, remove=remove), "risky")
     key = key_columns("doc_id", "text_hash")
     names = ["absent", "id", "hash"]
-    pairs = scanned.select(*key, F.explode("pairs").alias("p")).select(*names, "p.entity", "p.term")
+    pairs = held.select(*key, "entity", "term")
     marked = salted_join(pairs, risky.select("entity", "term", "action"), ["entity", "term"]).groupBy(*names, "term").agg(
         F.min("action").alias("action"))
     by_document = marked.groupBy(*names).agg(F.collect_list(F.struct("term", "action")).alias("terms"))

@@ -92,6 +92,15 @@ def test_disclosure(spark):
     assert disclosure.find(rows.limit(0)).count() == 0
 
 
+def test_disclosure_far_from_the_mention(spark):
+    """A name at the head of documents whose address stands at the end, near it in half of them."""
+    far = " ".join(["plain"] * 40)
+    docs = [(i, f"Zorblax {'' if i % 2 else far} bob@example.com") for i in range(8)] + [(100 + i, f"{far} text") for i in range(40)]
+    texts = dict(docs)
+    for r in disclosure.find(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert [(texts[r.doc_id][s.start : s.end], s.kind) for s in r.added] == ([("Zorblax", 4)] if r.doc_id < 100 else [])
+
+
 def test_disclosure_query(spark):
     got = {r.doc_id: r for r in QUERIES["op2_disclosure"](spark, FOLDER).collect()}
     for d in spark.read.parquet(f"{FOLDER}/documents.parquet").collect():

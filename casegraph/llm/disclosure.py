@@ -6,9 +6,8 @@ reveals it: with document counts over all documents, the disclosure of entity e
 
     PMI(e, t) / IC(e) = log(N n(e,t) / (n(e) n(t))) / log(N / n(e)),
 
-1 if t never occurs without e, 0 if they are independent. A term seen with e in at least
-``support`` documents is generalised to its class from ``generalise`` on and removed from
-``remove`` on, wherever it occurs outside the base spans of a document that mentions e. Every word
+1 if t never occurs without e, 0 if they are independent. Every pair is rated, however few documents
+hold it. A term is generalised to its class from ``generalise`` on and removed from ``remove`` on, wherever it occurs outside the base spans of a document that mentions e. Every word
 of a document is paired with every entity of it, except terms in too many documents to reach
 ``generalise`` with the entity whatever n(e,t) is: as n(e,t) <= n(e), n(t) may be N (n(e) / N) **
 ``generalise`` at most. The most usual terms and entities are sent to the tasks for this; pairs of
@@ -32,7 +31,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from casegraph.llm.common import LETTERS, Words, chunks, key_columns, salted_join, stored
 
-SUPPORT = 3
 GENERALISE = 0.95
 REMOVE = 0.99
 SHARD_BYTES = 1 << 20
@@ -213,11 +211,11 @@ def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def revealing(
-    pairs: DataFrame, of_entity: DataFrame, counted: DataFrame, total: int, *, support: int = SUPPORT,
+    pairs: DataFrame, of_entity: DataFrame, counted: DataFrame, total: int, *,
     generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
     """(entity, term, disclosure, action): the terms that exceed a threshold; action 4 removes, 5 generalises."""
-    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     rated = salted_join(together, of_entity, ["entity"]).join(counted, "term")
     information = F.log(F.lit(float(total)) / F.col("n_entity"))
     mutual = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
@@ -227,7 +225,7 @@ def revealing(
 
 
 def find(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
     """(doc_id, text_hash, base, added): base spans and those of revealing terms, one row per row of ``docs``.
@@ -240,7 +238,7 @@ def find(
         scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "entities")
     counted = stored(term_counts(docs, text_col), "terms")
     held = pairs_of(scanned, of_entity, counted, total, generalise)
-    risky = stored(revealing(held, of_entity, counted, total, support=support, generalise=generalise, remove=remove), "risky")
+    risky = stored(revealing(held, of_entity, counted, total, generalise=generalise, remove=remove), "risky")
     key = key_columns("doc_id", "text_hash")
     names = ["absent", "id", "hash"]
     pairs = held.select(*key, "entity", "term")

@@ -101,6 +101,31 @@ def test_disclosure_far_from_the_mention(spark):
         assert [(texts[r.doc_id][s.start : s.end], s.kind) for s in r.added] == ([("Zorblax", 4)] if r.doc_id < 100 else [])
 
 
+def test_disclosure_of_an_address_in_one_document(spark):
+    """Every pair is rated, also with counts of 1 and 2; unlisted counts change nothing."""
+    docs = [(0, "Zorblax plain ann@example.com"), (1, "Quuxly plain 10.0.0.1"), (2, "plain Quuxly 10.0.0.1")] + [(100 + i, "plain text") for i in range(40)]
+    rows, texts = spark.createDataFrame(docs, "doc_id long, text string"), dict(docs)
+    for r in disclosure.find(rows).collect():
+        want = {0: [("Zorblax", 4)], 1: [("Quuxly", 4)], 2: [("Quuxly", 4)]}.get(r.doc_id, [])
+        assert [(texts[r.doc_id][s.start : s.end], s.kind) for s in r.added] == want
+
+
+def test_pairs_left_out_cannot_reach_the_threshold(spark):
+    chance = random.Random(3)
+    docs = [(i, " ".join(chance.choice(["aa", "bb", "cc", "dd", "ee", f"r{i // 3}", "x@y.zz", "1.2.3.4", "q"]) for _ in range(6))) for i in range(120)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    scanned, counted, total = disclosure.scan(rows, "doc_id", "text").cache(), disclosure.term_counts(rows, "text").cache(), len(docs)
+    of_entity = scanned.selectExpr("explode(entities) as entity").groupBy("entity").agg({"*": "count"}).toDF("entity", "n_entity")
+
+    def rated(generalise, usual, least=0.5):
+        held = disclosure.pairs_of(scanned, of_entity, counted, total, generalise, usual)
+        found = disclosure.revealing(held, of_entity, counted, total, generalise=least).collect()
+        return {(r.entity, r.term): round(r.disclosure, 9) for r in found if r.disclosure >= least}
+
+    every = rated(-1.0, 1000)
+    assert every and rated(0.5, 1000) == every == rated(0.5, 2)
+
+
 def test_disclosure_query(spark):
     got = {r.doc_id: r for r in QUERIES["op2_disclosure"](spark, FOLDER).collect()}
     for d in spark.read.parquet(f"{FOLDER}/documents.parquet").collect():

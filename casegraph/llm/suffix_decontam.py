@@ -27,7 +27,7 @@ from casegraph.llm.common import LETTERS, Words, chunks
 WINDOW = 10
 SHARD_BYTES = 2 << 20
 BLOCK_WORDS = 2_000_000
-WORD_BITS = 21  # three words make one sort key
+WORD_BITS = 21  # three words make one sort key; a block with more distinct words takes more bits
 
 MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())])
 FOUND = {"n_words": pa.int64(), "n_hit": pa.int64(), "item_ids": pa.list_(pa.string()), "matches": pa.list_(MATCH)}
@@ -35,9 +35,13 @@ FOUND_DDL = ("n_words bigint, n_hit bigint, item_ids array<string>, "
              "matches array<struct<item_id:string,item_start:bigint,doc_start:bigint,n_words:bigint>>")
 
 
-def word_numbers(words: Words) -> np.ndarray:
-    """Short word hashes, never zero; a chance equality is found by spelling when a match uses it."""
-    return (words.hashes() >> np.uint64(65 - WORD_BITS)).astype(np.int64) + 1
+def word_numbers(words: Words, vocabulary: np.ndarray) -> np.ndarray:
+    """The place from 1 on of each word's hash in the sorted ``vocabulary``; one number beyond it for all others."""
+    hashes = words.hashes()
+    if not len(vocabulary):
+        return np.ones(len(hashes), dtype=np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == hashes, at, len(vocabulary)) + 1
 
 
 class Queries:
@@ -48,7 +52,9 @@ class Queries:
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in encoded])]).astype(np.int64)
         words = Words(np.frombuffer(b"".join(encoded), dtype=np.uint8), offsets, LETTERS)
         self.ids = ids
-        self.hash = word_numbers(words)
+        self.vocabulary = np.unique(words.hashes())
+        self.hash = word_numbers(words, self.vocabulary)
+        self.bits = max(WORD_BITS, (len(self.vocabulary) + 1).bit_length())
         self.spelling = [words.word(i) for i in range(len(self.hash))]
         count = np.diff(words.bounds)
         self.item = np.repeat(np.arange(len(ids)), count)
@@ -59,12 +65,12 @@ class Queries:
         self.starts = np.flatnonzero(self.left >= self.need)
 
 
-def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``words`` in the order of their suffixes, told apart up to ``depth`` words."""
-    n, taken = len(words), 63 // WORD_BITS
+def suffix_array(words: np.ndarray, depth: int, bits: int = WORD_BITS) -> np.ndarray:
+    """Places of ``words``, numbers of ``bits`` bits, in the order of their suffixes, told apart up to ``depth`` words."""
+    n, taken = len(words), 63 // bits
     key, padded = words.copy(), np.concatenate([words, np.zeros(taken, dtype=np.int64)])
     for k in range(1, taken):
-        key = (key << WORD_BITS) | padded[k : k + n]
+        key = (key << bits) | padded[k : k + n]
     order = np.argsort(key)
 
     def regroup(places: np.ndarray, keys: np.ndarray, base: np.ndarray, into: np.ndarray) -> np.ndarray:
@@ -123,7 +129,7 @@ def search(words: np.ndarray, queries: Queries) -> tuple[np.ndarray, np.ndarray,
 
     ``words`` ends each document with a zero, which no word's number is.
     """
-    order = suffix_array(words, queries.longest)
+    order = suffix_array(words, queries.longest, queries.bits)
     padded = np.concatenate([words, np.zeros(queries.longest + 1, dtype=np.int64)])
     active = queries.starts
     low, high = np.zeros(len(active), dtype=np.int64), np.full(len(active), len(words), dtype=np.int64)
@@ -170,17 +176,17 @@ def scan_shard(data: np.ndarray, offsets: np.ndarray, queries: Queries) -> dict[
     # one zero after each document
     slot = np.arange(len(found.start)) + np.repeat(np.arange(docs), count)
     words = np.zeros(len(found.start) + docs, dtype=np.int64)
-    words[slot] = word_numbers(found)
+    words[slot] = word_numbers(found, queries.vocabulary)
     owner = np.repeat(np.arange(docs), count + 1)
     first = found.bounds[:-1] + np.arange(docs)
     while True:
         place, suffix, length = search(words, queries)
-        # matches are held against the spelling; a word that is equal by chance only is told apart
+        # matches are held against the spelling; a word with the 64-bit hash of another is no word of the benchmark
         wrong = {p + k for p, s, n in zip(place.tolist(), suffix.tolist(), length.tolist(), strict=True) for k in range(n)
                  if found.word(p + k - owner[p]) != queries.spelling[s + k]}
         if not wrong:
             break
-        words[list(wrong)] = 1 << (WORD_BITS - 1) | 1
+        words[list(wrong)] = len(queries.vocabulary) + 1
     hit = covered(len(words), place, length)
     n_hit = np.bincount(owner[hit], minlength=docs)
     result: dict[str, list] = {"n_words": count.tolist(), "n_hit": n_hit.tolist(),

@@ -65,6 +65,21 @@ def test_matches_are_longest_and_placed(spark):
     assert [tuple(m) for m in row.matches] == [("5", 1, 2, 12)]
 
 
+def test_words_with_like_hashes_do_not_hide_a_match(spark):
+    """A one-word item whose word shares 20 bits of its hash with a word of a true passage of another item."""
+    names = [f"n{i}" for i in range(8000)]
+    data = np.frombuffer(" ".join(names).encode(), dtype=np.uint8)
+    short = suffix_decontam.Words(data, np.array([0, len(data)]), suffix_decontam.LETTERS).hashes() >> np.uint64(44)
+    order = np.argsort(short, kind="stable")
+    k = int(np.flatnonzero(np.diff(short[order].astype(np.int64)) == 0)[0])
+    one, other = names[order[k]], names[order[k + 1]]
+    passage = " ".join([*"abcde", other, *"fghi"])
+    docs = spark.createDataFrame([(1, f"x {passage} y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, one), (2, passage)], "item_id long, text string")
+    row = suffix_decontam.find_matches(docs, bench).first()
+    assert (row.n_hit, row.item_ids) == (10, ["2"])
+
+
 def test_decontamination_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -11,15 +11,18 @@ from casegraph.llm import (
     best_fit_packing,
     chat_rotation,
     disclosure,
+    frame_fim,
     label_sharding,
     minmax_dedup,
     neighbour_quality,
     pca_dedup,
+    rule_forest,
     suffix_decontam,
     token_ledger,
+    trie_codes,
     window_dedup,
 )
-from casegraph.llm.common import scratch_dir, table
+from casegraph.llm.common import scratch_dir, stored, table
 
 QUERIES = {}
 ORACLES = {}
@@ -155,3 +158,65 @@ def op9_token_ledger(spark: SparkSession, folder: str) -> DataFrame:
 def op10_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = minmax_dedup.near_duplicates(table(spark, folder, "documents"), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op11_rule_forest(spark: SparkSession, folder: str) -> DataFrame:
+    stats = stored(rule_forest.rule_statistics(table(spark, folder, "documents")), "rules")
+    model = rule_forest.fit(stats, table(spark, folder, "labels"))
+    return rule_forest.judged(stats, model).select(
+        F.col("id").alias("doc_id"), *rule_forest.COUNTS, "base_failed", "kept", "score")
+
+
+@query
+def op12_frame_fim(spark: SparkSession, folder: str) -> DataFrame:
+    frames = stored(frame_fim.framed(table(spark, folder, "documents").select("doc_id", "text")), "frames")
+    return frame_fim.digested(frame_fim.fill_in_middle(frames)).select(
+        "doc_id", F.col("fim.units").alias("n"), "fim.form", "fim.prefix_chars", "fim.middle_chars", "digest.output_sha256",
+        "digest.restored_sha256")
+
+
+ORACLES["op12_frame_fim"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+u AS (SELECT *, string_split(t, chr(10)) AS l, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(s, i, 8))::BIGINT) AS h FROM d),
+n AS (SELECT *, len(l) - (l[-1] = '')::INT AS n,
+  t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 AS plain FROM u),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM n),
+p AS (SELECT *, CASE WHEN a = n THEN length(t) ELSE length(array_to_string(l[1 : a], chr(10))) + (a > 0)::INT END AS x,
+  CASE WHEN b = n THEN length(t) ELSE length(array_to_string(l[1 : b], chr(10))) + (b > 0)::INT END AS y FROM c),
+o AS (SELECT *, CASE WHEN plain THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  t[1 : x] AS pre, t[x + 1 : y] AS mid, t[y + 1 :] AS suf FROM p)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN NOT plain THEN x::BIGINT END AS prefix_chars,
+  CASE WHEN NOT plain THEN (y - x)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+         ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o"""
+
+
+@query
+def op13_trie_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return trie_codes.compressed(table(spark, folder, "embeddings"))
+
+
+def _rounds(rounds: int) -> str:
+    """SQL of the vector codes: every round assigns distinct parts and replaces the entries that were used."""
+    steps = [r"""WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+f AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS e, v FROM k ORDER BY vec_id LIMIT 16),
+p AS MATERIALIZED (SELECT q, v[q * len(v) // 8 + 1 : (q + 1) * len(v) // 8] AS x, count(*) AS c FROM k, range(8) r(q) GROUP BY ALL),
+b0 AS MATERIALIZED (SELECT q, e, v[q * len(v) // 8 + 1 : (q + 1) * len(v) // 8] AS y FROM f, range(8) r(q))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT q, x, any_value(c) AS c, min({{'d': list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) ** 2))::BIGINT, 'e': e}}) AS m
+  FROM p JOIN b{i} USING (q) GROUP BY q, x)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT q, e, list(floor(t / n)::BIGINT ORDER BY j) AS y FROM (
+  SELECT q, m.e AS e, j, sum(x[j] * c) AS t, sum(c) AS n FROM a{i}, range(1, 65) r(j) WHERE j <= len(x) GROUP BY ALL) GROUP BY q, e)""")
+            steps.append(f"""b{i + 1} AS MATERIALIZED (SELECT q, e, coalesce(s{i}.y, b{i}.y) AS y FROM b{i} LEFT JOIN s{i} USING (q, e))""")
+    steps.append(f"""g AS (SELECT vec_id, label, string_agg(printf('%02x', m.e), '' ORDER BY q) AS code, sum(m.d)::BIGINT AS error
+  FROM (SELECT vec_id, label, q, v[q * len(v) // 8 + 1 : (q + 1) * len(v) // 8] AS x FROM k, range(8) r(q)) JOIN a{rounds} USING (q, x) GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY q, e)) FROM b{rounds}) AS codebooks_sha256 FROM g""")
+    return ",\n".join(steps)
+
+
+ORACLES["op13_trie_codes"] = _rounds(trie_codes.ROUNDS)

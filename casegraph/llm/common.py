@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from casegraph.workspace import scratch_dir, stored
 
-__all__ = ["Rounds", "components", "fresh", "numbered", "salted_join", "scratch_dir", "stored", "table"]
+__all__ = ["Rounds", "components", "fields", "fresh", "numbered", "place_of", "salted_join", "scratch_dir", "stored", "table", "unnamed"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column: the name itself, or else the first that differs in case only."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def unnamed(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1 and so on by place.
+
+    Names that clash with helper columns, differ in case only or hold dots then cannot disturb;
+    ``toDF`` gives them back at the end.
+    """
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def fields(df: DataFrame) -> list[str]:
+    """The columns of ``df`` as parts of a schema string."""
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+
+
 class Rounds:
     """Durable rounds of an iteration in two folders by turns; a round removes the last but one."""
 

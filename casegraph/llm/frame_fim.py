@@ -27,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from casegraph.llm.common import fresh
+from casegraph.llm.common import fields, place_of, unnamed
 
 FRAME_BYTES = 1 << 15
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
@@ -39,23 +39,26 @@ DIGESTS = "struct<output_sha256 string, restored_sha256 string>"
 
 def _mapped(df: DataFrame, column: str, name: str, kind: str, each, also: str | None = None) -> DataFrame:
     """``df`` with ``column`` replaced by ``name`` of type ``kind``: ``each(value, row id)`` of every row."""
-    names = [c.lower() for c in df.columns]
-    at, id_at = names.index(column.lower()), names.index(also.lower()) if also else None
-    kept = [i for i in range(len(names)) if i != at]
-    taken = df.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if i != at])
-    name = fresh(taken, name)
-    target = pa.field(name, _arrow_type(kind))
+    at, id_at = place_of(df, column), place_of(df, also) if also else None
+    kept, plain = [i for i in range(len(df.columns)) if i != at], unnamed(df)
+    taken = plain.drop(f"c{at}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
                 ids = part.column(id_at).cast(pa.string()).to_pylist() if also else [None] * len(part)
                 out = [each(value, row) for value, row in zip(part.column(at).to_pylist(), ids, strict=True)]
-                columns = [part.column(i) for i in kept] + [pa.array(out, target.type)]
-                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*[part.schema.field(i) for i in kept], target]))
+                columns = [*[part.column(i) for i in kept], pa.array(out, _arrow_type(kind))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*[f"c{i}" for i in kept], "each"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema]
-    return df.mapInArrow(run, ", ".join([*fields, f"`{name}` {kind}"]))
+    names = [df.columns[i] for i in kept]
+    return plain.mapInArrow(run, ", ".join([*fields(taken), f"each {kind}"])).toDF(*names, _other(names, name))
+
+
+def _other(taken: list[str], name: str) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def _arrow_type(kind: str) -> pa.DataType:
@@ -216,7 +219,8 @@ def fill_in_middle(
 def digested(outputs: DataFrame, *, column: str | None = None) -> DataFrame:
     """A result of ``fill_in_middle`` with one more column ``digest`` (output_sha256, restored_sha256)."""
     column = column or outputs.columns[-1]
-    both = outputs.withColumn(fresh(outputs, "digest"), F.col(f"`{column}`"))
+    at = place_of(outputs, column)
+    both = unnamed(outputs).select("*", F.col(f"c{at}").alias("again")).toDF(*outputs.columns, _other(outputs.columns, "digest"))
     return _mapped(both, both.columns[-1], both.columns[-1], DIGESTS, _digested)
 
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from casegraph.llm.common import VISIBLE, Words, chunks, fresh, mix, segment_hash
+from casegraph.llm.common import VISIBLE, Words, chunks, fields, mix, place_of, segment_hash, unnamed
 from casegraph.llm.neighbour_quality import held_out
 
 LEAST_WORDS = 20
@@ -130,7 +130,7 @@ def failed(count: np.ndarray) -> np.ndarray:
 
 def rule_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the counts, base_failed and the features of every text."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = unnamed(docs).select(F.col(f"c{place_of(docs, id_col)}").alias("id"), F.col(f"c{place_of(docs, text_col)}").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,15 +251,13 @@ def judged(stats: DataFrame, model: Model) -> DataFrame:
 
 def keep_normal(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """The documents that ``model`` keeps, with the columns of ``docs``; no text is shuffled."""
-    sent, flag = docs.sparkSession.sparkContext.broadcast(model), fresh(docs, "kept")
-    at = [c.lower() for c in docs.columns].index(text_col.lower())
+    sent, at, plain = docs.sparkSession.sparkContext.broadcast(model), place_of(docs, text_col), unnamed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, data, offsets in chunks(batch.column(at), SHARD_BYTES):
                 count, feature = statistics(data, offsets)
                 kept = ~failed(count) & (sent.value.forest.score(feature) < sent.value.threshold)
-                yield batch.slice(begin, end - begin).append_column(flag, pa.array(kept))
+                yield batch.slice(begin, end - begin).append_column("kept", pa.array(kept))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{flag}` boolean"
-    return docs.mapInArrow(run, schema).where(F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return plain.mapInArrow(run, ", ".join([*fields(plain), "kept boolean"])).where("kept").drop("kept").toDF(*docs.columns)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from casegraph.llm.common import salted_join, stored
+from casegraph.llm.common import place_of, salted_join, stored, unnamed
 
 PARTS = 8
 ENTRIES = 16
@@ -106,7 +106,7 @@ def bounds(width: int) -> list[tuple[int, int]]:
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """id, label, width and v of the vectors without null or non-finite components."""
-    vector = F.col(f"`{vector_col}`")
+    row, label, vector = (F.col(f"c{place_of(vectors, c)}") for c in (id_col, label_col, vector_col))
 
     def finite(x: Column) -> Column:
         return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
@@ -114,8 +114,8 @@ def integers(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
     def whole(x: Column) -> Column:
         return F.greatest(F.least(F.floor(x.cast("double") * F.lit(float(SCALE))).cast("bigint"), F.lit(LARGEST)), F.lit(-LARGEST))
 
-    return vectors.where(vector.isNotNull() & F.forall(vector, finite)).select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"), F.size(vector).alias("width"), F.transform(vector, whole).alias("v"))
+    return unnamed(vectors).where(vector.isNotNull() & F.forall(vector, finite)).select(
+        row.alias("id"), label.alias("label"), F.size(vector).alias("width"), F.transform(vector, whole).alias("v"))
 
 
 def first_entries(kept: DataFrame, entries: int) -> Books:

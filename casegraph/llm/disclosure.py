@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from casegraph.llm.common import LETTERS, Words, chunks, key_columns, salted_join, stored
+from casegraph.llm.common import LETTERS, Words, chunks, key_columns, place_of, salted_join, stored, unnamed
 
 GENERALISE = 0.95
 REMOVE = 0.99
@@ -284,12 +284,13 @@ def rewrite(text: str, spans: list) -> str:
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with sanitised texts; everything else as it is."""
-    found = find(docs, id_col=id_col, text_col=text_col, **options)
-    names = {n: f"__pii_{n}" for n in ("absent", "id", "hash")}
+    """``docs`` with sanitised texts; everything else as it is, whatever the columns' names."""
+    plain, id_at, text = unnamed(docs), f"c{place_of(docs, id_col)}", f"c{place_of(docs, text_col)}"
+    found = find(plain, id_col=id_at, text_col=text, **options)
+    names = ["absent", "id", "hash"]
     spans = (
-        found.where("size(base) > 0").select(*key_columns("doc_id", "text_hash"), F.concat("base", "added").alias("__pii_spans"))
-        .dropDuplicates(["absent", "id", "hash"]).withColumnsRenamed(names)
+        found.where("size(base) > 0").select(*key_columns("doc_id", "text_hash"), F.concat("base", "added").alias("spans"))
+        .dropDuplicates(names)
     )
 
     @F.pandas_udf("string")
@@ -297,7 +298,6 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series([t if s is None else rewrite(t, [(x["start"], x["kind"], x["end"]) for x in s])
                           for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    keyed = docs.withColumn("__pii_text_hash", F.xxhash64(text_col))
-    keys = [c.alias(n) for c, n in zip(key_columns(id_col, "__pii_text_hash"), names.values(), strict=True)]
-    joined = keyed.select("*", *keys).join(spans, list(names.values()), "left")
-    return joined.select(*[cleaned(text_col, "__pii_spans").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    keyed = plain.withColumn("text_hash", F.xxhash64(text))
+    joined = keyed.select("*", *key_columns(id_at, "text_hash")).join(spans, names, "left")
+    return joined.select(*[cleaned(text, "spans").alias(c) if c == text else F.col(c) for c in plain.columns]).toDF(*docs.columns)

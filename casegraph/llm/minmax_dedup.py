@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from casegraph.llm.common import VISIBLE, Words, chunks, components, key_columns, mix, salted_join, stored
+from casegraph.llm.common import VISIBLE, Words, chunks, components, key_columns, mix, place_of, salted_join, stored, unnamed
 
 SHINGLE = 5
 PERCENT = 80
@@ -250,12 +250,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one document of each group of near duplicates, and every document without words.
 
     The document with the smallest id stays; of rows without any id in their component, all stay,
-    and rows alike in id and text stay as one.
+    and rows alike in id and text stay as one. Columns of any name are kept as they are.
     """
-    decided = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    plain, id_at, text = unnamed(docs), f"c{place_of(docs, id_col)}", f"c{place_of(docs, text_col)}"
+    decided = near_duplicates(plain, id_col=id_at, text_col=text, **options)
     kept = decided.where("kept or component_id is null").select(*key_columns("doc_id", "text_hash")).distinct()
-    names = {k: f"__keep_{k}" for k in ("absent", "id", "hash")}
-    keyed = docs.withColumn("__keep_hash_", F.xxhash64(text_col))
-    keys = [c.alias(names[n]) for n, c in zip(names, key_columns(id_col, "__keep_hash_"), strict=True)]
-    joined = keyed.select("*", *keys).join(kept.withColumnsRenamed(names), list(names.values()), "left_semi")
-    return joined.dropDuplicates(list(names.values())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = plain.withColumn("text_hash", F.xxhash64(text))
+    names = ["absent", "id", "hash"]
+    joined = keyed.select("*", *key_columns(id_at, "text_hash")).join(kept, names, "left_semi")
+    return joined.dropDuplicates(names).select(*plain.columns).toDF(*docs.columns)

@@ -11,7 +11,8 @@ language, source and id are no input of a score.
 
 Defined cases: a null or empty text has no words, so its vector is zero and its score is the share
 of label 1 among the labelled sample; unlabelled corpora score 0.5; null labels are left out and
-an id labelled twice takes its lower label; repeated documents score alike.
+an id labelled twice takes its lower label; of several texts of a labelled id the one with the least
+hash is learnt; repeated documents score alike; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casegraph.llm.common import VISIBLE, Words, chunks, segment_hash
+from casegraph.llm.common import VISIBLE, Words, chunks, fields, place_of, segment_hash, unnamed
 
 FEATURES = 4096
 SHAPES = 1024  # of the features, those for word shapes; the last one counts words that repeat the one before
@@ -145,7 +146,7 @@ def fit(
         .groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
         .orderBy(F.xxhash64("id"), "id").limit(most_labelled)
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash")).join(F.broadcast(sample), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,12 +159,13 @@ def fit(
                         amounts.append(row[at].astype(np.int32))
                 part = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("label"), pa.array(features, pa.list_(pa.int32())), pa.array(amounts, pa.list_(pa.int32()))],
-                    names=["id", "label", "features", "amounts"])
+                    [part.column("id"), part.column("label"), part.column("hash"), pa.array(features, pa.list_(pa.int32())), pa.array(amounts, pa.list_(pa.int32()))],
+                    names=["id", "label", "hash", "features", "amounts"])
 
     kind = dict(texts.dtypes)["id"]
-    rows = texts.mapInArrow(run, f"id {kind}, label int, features array<int>, amounts array<int>").dropDuplicates(["id"])
-    found = rows.orderBy("id").toArrow()
+    rows = texts.mapInArrow(run, f"id {kind}, label int, hash bigint, features array<int>, amounts array<int>")
+    least = rows.groupBy("id").agg(F.min(F.struct("hash", "label", "features", "amounts")).alias("r"))
+    found = least.select("id", "r.*").orderBy("id").toArrow()
     labelled = np.array(found["label"].to_pylist(), dtype=np.float64)
     matrix = np.zeros((len(labelled), FEATURES), dtype=np.float32)
     for i, (at, amount) in enumerate(zip(found["features"], found["amounts"], strict=True)):
@@ -177,26 +179,26 @@ def fit(
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the model's score of each text in column ``name`` (an input column of that name is replaced)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != name]
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes) + f", `{name}` double"
+    """``docs`` with the model's score of each text in a last column ``name``, which replaces one of that name in any case."""
+    sent, text = docs.sparkSession.sparkContext.broadcast(model), f"c{place_of(docs, text_col)}"
+    names = [c for c in docs.columns if c.lower() != name.lower()]
+    kept, plain = [f"c{place_of(docs, c)}" for c in names], unnamed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            for begin, end, data, offsets in chunks(rows[text_col], SHARD_BYTES):
+            for begin, end, data, offsets in chunks(rows[text], SHARD_BYTES):
                 found = np.concatenate([sent.value.score(block) for block in counts(data, offsets)])
-                out = rows.slice(begin, end - begin).select(kept).append_column(name, pa.array(np.clip(found, 0, 1)))
+                out = rows.slice(begin, end - begin).select(kept).append_column("score", pa.array(np.clip(found, 0, 1)))
                 yield from out.combine_chunks().to_batches()
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in kept or c == text_col]).mapInArrow(run, schema)
+    sought = kept if text in kept else [*kept, text]
+    return plain.select(*sought).mapInArrow(run, ", ".join([*fields(plain.select(*kept)), "score double"])).toDF(*names, name)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents that score at least ``threshold``, with the columns of ``docs``."""
-    model = fit(docs, labels, text_col=text_col, **options)
-    score = "score"
-    while score in docs.columns:
-        score += "_"
-    return scored(docs, model, text_col=text_col, name=score).where(F.col(score) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The documents that score at least ``threshold``, with the columns of ``docs``, whatever their names."""
+    plain, text = unnamed(docs), f"c{place_of(docs, text_col)}"
+    known = plain.select(F.col(f"c{place_of(docs, id_col)}").alias(id_col), F.col(text).alias("text"))
+    model = fit(known, labels, id_col=id_col, **options)
+    return scored(plain, model, text_col=text).where(F.col("score") >= threshold).drop("score").toDF(*docs.columns)

@@ -11,7 +11,7 @@ The benchmark is the stated query set. It is passed to the tasks in blocks of at
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item is never
 found; repeated items count once per id, a null id is the empty string; repeated documents give the
 same result each; a match never spans two documents. Result columns replace input columns of the
-same name.
+same name in any case; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from casegraph.llm.common import LETTERS, Words, chunks
+from casegraph.llm.common import LETTERS, Words, chunks, fields, place_of, unnamed
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
@@ -221,10 +221,16 @@ def find_matches(
     item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside a match), item_ids, and matches: the longest verbatim
-    matches as (item_id, item_start, doc_start, n_words), counted in words."""
+    matches as (item_id, item_start, doc_start, n_words), counted in words.
+
+    Columns of ``docs`` that bear one of these names, in any case, are replaced.
+    """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in FOUND]
-    searched = docs
+    names = [c for c in docs.columns if c.lower() not in FOUND]
+    shown, text = [f"c{place_of(docs, c)}" for c in names], f"c{place_of(docs, text_col)}"
+    kept = shown if text in shown else [*shown, text]
+    typed = unnamed(docs)
+    searched = typed
     parts = list(blocks(benchmark, item_id_col, item_text_col, block_words)) or [([], [])]
     for number, (ids, texts) in enumerate(parts):
         sent = spark.sparkContext.broadcast((ids, texts))
@@ -233,7 +239,7 @@ def find_matches(
             queries = Queries(*sent.value, window)
             for batch in batches:
                 rows = pa.Table.from_batches([batch])
-                for begin, end, data, offsets in chunks(rows[text_col], shard_bytes):
+                for begin, end, data, offsets in chunks(rows[text], shard_bytes):
                     part = rows.slice(begin, end - begin)
                     found = scan_shard(data, offsets, queries)
                     if again:
@@ -243,10 +249,9 @@ def find_matches(
                         out = out.append_column(name, pa.array(found[name], type=kind))
                     yield from out.combine_chunks().to_batches()
 
-        plain = searched.select(*[c for c in kept], *([] if number == 0 else FOUND))
-        schema = ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in docs.select(*kept).dtypes)
-        searched = plain.mapInArrow(run, f"{schema}, {FOUND_DDL}")
-    return searched
+        plain = searched.select(*kept, *([] if number == 0 else FOUND))
+        searched = plain.mapInArrow(run, ", ".join([*fields(typed.select(*kept)), FOUND_DDL]))
+    return searched.select(*shown, *FOUND).toDF(*names, *FOUND)
 
 
 def merged(now: dict[str, list], before: dict[str, list]) -> dict[str, list]:
@@ -265,8 +270,9 @@ def merged(now: dict[str, list], before: dict[str, list]) -> dict[str, list]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a verbatim match, with the columns of ``docs``.
 
-    A column of ``docs`` that bears the name of a result column is kept as it is.
+    Columns of any name are kept as they are.
     """
-    clash = {c: f"__kept_{c}" for c in docs.columns if c in FOUND}
-    found = find_matches(docs.withColumnsRenamed(clash), benchmark, **options)
-    return found.where("n_hit = 0").select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
+    plain = unnamed(docs)
+    text = f"c{place_of(docs, options.pop('text_col', 'text'))}"
+    found = find_matches(plain, benchmark, text_col=text, **options)
+    return found.where("n_hit = 0").select(*plain.columns).toDF(*docs.columns)

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from casegraph.llm.common import salted_join
+from casegraph.llm.common import place_of, salted_join, unnamed
 
 LINES = 3
 
@@ -64,27 +64,29 @@ def without(texts: pd.Series, starts: pd.Series, lines: int) -> pd.Series:
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES) -> DataFrame:
     """``docs`` with the remaining text, n_lines and n_removed; a text that lost all its lines is empty.
 
-    Columns n_lines and n_removed of the input are replaced.
+    Columns n_lines and n_removed of the input, in any case, are replaced; others stay, whatever their names.
     """
-    removed = removals(docs, id_col=id_col, text_col=text_col, lines=lines).select(
-        F.col("given").alias("__given"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__id"),
-        F.col("hash").alias("__hash"), F.col("starts").alias("__starts"))
+    plain, text = unnamed(docs), f"c{place_of(docs, text_col)}"
+    id_at = f"c{place_of(docs, id_col)}"
+    removed = removals(plain, id_col=id_at, text_col=text, lines=lines).select(
+        "given", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "hash", "starts")
 
     @F.pandas_udf("string")
     def rest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, starts in batches:
             yield without(texts, starts, lines)
 
-    keyed = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.col(id_col).isNotNull().cast("int").alias("__given"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"),
-        F.xxhash64(text_col).alias("__hash"))
-    joined = keyed.join(removed, ["__given", "__id", "__hash"], "left").withColumn("__rest", rest(text_col, "__starts"))
+    keyed = plain.select(
+        "*", F.col(id_at).isNotNull().cast("int").alias("given"), F.coalesce(F.col(id_at).cast("string"), F.lit("")).alias("id"),
+        F.xxhash64(text).alias("hash"))
+    joined = keyed.join(removed, ["given", "id", "hash"], "left").withColumn("rest", rest(text, "starts"))
 
-    def size(text):
-        return F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("bigint")
+    def size(column):
+        return F.when(F.col(column).isNull(), F.lit(0)).otherwise(F.size(F.split(column, "\n"))).cast("bigint")
 
-    left = F.when(F.col("__rest").isNull() & F.col(text_col).isNotNull(), "").otherwise(F.col("__rest"))
+    left = F.when(F.col("rest").isNull() & F.col(text).isNotNull(), "").otherwise(F.col("rest"))
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    places = [f"c{place_of(docs, c)}" for c in kept]
     return joined.select(
-        *[left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")],
-        size(text_col).alias("n_lines"), (size(text_col) - size("__rest")).alias("n_removed"))
+        *[left.alias(c) if c == text else F.col(c) for c in places], size(text).alias("n_lines"),
+        (size(text) - size("rest")).alias("n_removed")).toDF(*kept, "n_lines", "n_removed")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casegraph.llm import best_fit_packing, minmax_dedup, neighbour_quality, suffix_decontam, window_dedup
-from casegraph.llm.common import stored, table
+from casegraph.llm.common import place_of, stored, table, unnamed
 
 
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -28,10 +28,12 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    cut = window_dedup.dedup_lines(docs)
+    plain = unnamed(docs)
+    text, chars = f"c{place_of(docs, 'text')}", f"c{place_of(docs, 'n_chars')}"
+    cut = window_dedup.dedup_lines(plain, id_col=f"c{place_of(docs, 'doc_id')}", text_col=text)
     left = cut.where("n_removed = 0 or n_removed < n_lines")
-    shorter = F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", shorter).select(*[F.col(f"`{c}`") for c in docs.columns])
+    shorter = F.when(F.col("n_removed") > 0, F.char_length(text).cast("bigint")).otherwise(F.col(chars))
+    return left.withColumn(chars, shorter).select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

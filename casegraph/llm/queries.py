@@ -147,9 +147,9 @@ def op9_token_ledger(spark: SparkSession, folder: str) -> DataFrame:
         none.cast("string").alias("lang"), none.cast("bigint").alias("tokens"), none.cast("bigint").alias("bytes"),
         F.lit(version).alias("tokenizer"))
     ledger.commit(2, toxic)
-    poor = rows.join(labels.where("quality = 0 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
-    ledger.commit(3, token_ledger.counted(poor.withColumn("text", F.lower("text")), version).select(
-        F.lit("revise").alias("change"), F.lit(0).alias("sequence"), "*"))
+    poor = labels.where("quality = 0 and toxic = 0").select("doc_id")
+    recounted = token_ledger.counted(rows.withColumn("text", F.lower("text")), version, only=(poor, "doc_id"))
+    ledger.commit(3, recounted.select(F.lit("revise").alias("change"), F.lit(0).alias("sequence"), "*"))
     ledger.commit(2, toxic)
     return ledger.totals()
 

@@ -1,13 +1,16 @@
 """Dialogues, personal data, scores, shards, ledgers and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from casegraph.llm import chat_rotation, disclosure, label_sharding, neighbour_quality, token_ledger
@@ -110,6 +113,45 @@ def test_disclosure_of_an_address_in_one_document(spark):
         assert [(texts[r.doc_id][s.start : s.end], s.kind) for s in r.added] == want
 
 
+def test_disclosure_equals_brute_force(spark):
+    """Counts, ratings and added spans from dictionaries."""
+    chance = random.Random(12)
+    words = ["aa", "bb", "Cc", "dd9", "éé", "rare", "x1", "zz"]
+    values = ["ann@x.yz", "bo@q.org", "1.2.3.4", "+49 30 1234567"]
+    texts = [" ".join(chance.choice(words + [f"only{i // 4}"] + values * (i % 3 > 0)) for _ in range(chance.randint(0, 9))) for i in range(150)]
+    docs = [(i % 140, t) for i, t in enumerate(texts)] + [(None, None), (5, "")]
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    total, of_term, of_entity, both = len(docs), Counter(), Counter(), Counter()
+    held = []
+    for _, text in docs:
+        spans = brute_spans(text)
+        entities = {(k, (text[a:b].lower() if k == 0 else text[a:b] if k == 1 else re.sub("[^0-9]", "", text[a:b]))) for a, k, b in spans}
+        terms = set(word.findall(lower(text or "")))
+        of_term.update(terms)
+        of_entity.update(entities)
+        both.update((e, t) for e in entities for t in terms)
+        held.append((spans, entities))
+    action = {}
+    for (e, t), n in both.items():
+        rated = math.log(total * n / (of_entity[e] * of_term[t])) / math.log(total / of_entity[e])
+        if rated >= 0.6:
+            action[e, t] = 4 if rated >= 0.8 else 5
+    want = Counter()
+    for (doc, text), (spans, entities) in zip(docs, held, strict=True):
+        added = []
+        for m in word.finditer(lower(text or "")):
+            kinds = [action[e, m[0]] for e in entities if (e, m[0]) in action]
+            if kinds and not any(a < m.end() and m.start() < b for a, _, b in spans):
+                added.append((m.start(), min(kinds), m.end()))
+        want[doc, tuple(spans), tuple(added)] += 1
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = disclosure.find(rows, generalise=0.6, remove=0.8).collect()
+    spans_of = lambda spans: tuple((s.start, s.kind, s.end) for s in spans)
+    assert any(k == 5 for key in want for _, k, _ in key[2]) and any(k == 4 for key in want for _, k, _ in key[2])
+    assert Counter((r.doc_id, spans_of(r.base), spans_of(r.added)) for r in found) == want
+
+
 def test_pairs_left_out_cannot_reach_the_threshold(spark):
     chance = random.Random(3)
     docs = [(i, " ".join(chance.choice(["aa", "bb", "cc", "dd", "ee", f"r{i // 3}", "x@y.zz", "1.2.3.4", "q"]) for _ in range(6))) for i in range(120)]
@@ -146,6 +188,46 @@ def test_quality_of_held_out_labels(spark):
     assert sum(got[r.doc_id].predicted == r.quality for r in labels) / len(labels) > 0.95
 
 
+def test_votes_equal_brute_force(spark):
+    """Every feature, weight, latent vector, cosine and vote again, one document at a time; only the axes are the model's."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = neighbour_quality.fit(docs, labels)
+    features = {}
+    for doc, text in texts.items():
+        data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+        features[doc] = next(neighbour_quality.counts(data, np.array([0, len(data)])))[0]
+    seen = sum((f > 0).astype(int) for f in features.values())
+    idf = np.log((1 + len(texts)) / (1 + seen)) + 0.1
+
+    def vector(f):
+        v = np.sqrt(f) * idf
+        v = v / max(np.linalg.norm(v), 1e-12)
+        w = v @ model.axes.astype(float)
+        return w / max(np.linalg.norm(w), 1e-12)
+
+    known = sorted((r.doc_id, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in texts)
+    assert [q for _, q in known] == model.labels.tolist()
+    vectors = np.array([vector(features[d]) for d, _ in known])
+    got = {r.doc_id: r.score for r in QUERIES["op4_neighbour_quality"](spark, FOLDER).collect()}
+    close = 0
+    for doc, f in features.items():
+        near = vectors @ vector(f)
+        best = sorted(range(len(near)), key=lambda i: -near[i])[: model.neighbours]
+        weights = [max(near[i], 0) ** 2 for i in best]
+        want = sum(w * known[i][1] for w, i in zip(weights, best, strict=True)) / sum(weights)
+        close += abs(got[doc] - want) < 1e-3
+    assert close >= 0.99 * len(features)  # equal similarities may be told apart by rounding
+
+
+def test_repeated_ids_learn_one_text(spark):
+    docs = spark.createDataFrame([(i // 2, f"words of text {i} " + "q " * i) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    models = [neighbour_quality.fit(docs.orderBy(F.rand(k)).repartition(k + 1), labels) for k in range(3)]
+    assert all((m.vectors == models[0].vectors).all() and (m.labels == models[0].labels).all() for m in models)
+
+
 def test_quality_ignores_held_out_labels(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
@@ -226,6 +308,60 @@ def test_ledger(spark):
     ledger.commit(4, batch(("insert", 0, 1, "c", "en", "t1", 12, 51)))
     assert {tuple(r)[:3]: tuple(r)[3:] for r in ledger.totals().collect()} == want
     assert ledger.current().count() == 4
+    before = {tuple(r) for r in ledger.current().collect()}
+    ledger.compact()
+    assert {tuple(r) for r in ledger.current().collect()} == before
+    # a committed number is final, an older one is refused
+    ledger.commit(4, batch(("insert", 0, 1, "c", "en", "t1", 100, 100)))
+    with pytest.raises(ValueError):
+        ledger.commit(0, batch())
+    # a try that is lost between its data and its mark leaves nothing behind
+    ledger.prepare(5, batch(("delete", 0, 1, None, None, "t1", None, None)))
+    again = token_ledger.Ledger(spark, ledger.folder)
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in again.totals().collect()} == want and {tuple(r) for r in again.current().collect()} == before
+    again.commit(5, batch(("delete", 0, 1, None, None, "t1", None, None)))
+    del want["c", "en", "t1"]
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in ledger.totals().collect()} == want
+    assert {(r.source, r.lang, r.tokenizer) for r in ledger.current().collect()} == set(want)
+
+
+def test_ledger_at_random(spark):
+    """Random batches, ids as text, ties in sequence and a base in between, against a dictionary."""
+    chance, state = random.Random(4), {}
+    ledger = token_ledger.Ledger(spark, scratch_dir(spark, "test-ledger"), id_type="string", buckets=5)
+    kind = "sequence int, change string, doc_id string, source string, lang string, tokenizer string, tokens long, bytes long"
+    for number in range(1, 6):
+        rows = {}
+        for sequence in range(40):
+            change = chance.choice(["insert", "revise", "delete"])
+            row = (sequence, change, f"d{chance.randint(0, 30)}", chance.choice("ab"), chance.choice(["en", None]), chance.choice(["t1", "t2"]), chance.randint(0, 9), 3)
+            rows[row[2], row[5]] = row  # the last sequence of a key holds
+            rows[sequence] = row
+        batch = spark.createDataFrame([r for k, r in rows.items() if isinstance(k, int)], kind)
+        ledger.commit(number, batch.repartition(3))
+        for key, row in rows.items():
+            if not isinstance(key, int):
+                state.pop(key, None)
+                if row[1] != "delete":
+                    state[key] = row[3:5] + (row[5],) + (1, row[6], row[7])
+        if number == 3:
+            ledger.compact()
+        want = defaultdict(lambda: [0, 0, 0])
+        for value in state.values():
+            want[value[:3]] = [a + b for a, b in zip(want[value[:3]], value[3:], strict=True)]
+        assert {tuple(r)[:3]: list(r)[3:] for r in ledger.totals().collect()} == dict(want)
+        assert Counter(tuple(r) for r in ledger.current().collect()) == Counter((k[0], *v) for k, v in state.items())
+    plan = ledger._entries([1])._jdf.queryExecution().toString()
+    assert plan.count("PartitionFilters: [isnotnull(bucket") == 3  # the base and the two batches behind it
+
+
+def test_counting_of_some_ids_only(spark):
+    docs = spark.createDataFrame([(i, "plain text " * (i % 4), 1, 2) for i in range(300)] + [(None, "x", 1, 2)], "doc_id long, text string, `a.b` int, Tokens int")
+    ids = spark.createDataFrame([(i,) for i in range(0, 300, 7)] + [(7,), (None,), (9999,)], "id long").withColumnRenamed("id", "doc_id")
+    got = token_ledger.counted(docs, "v", only=(ids, "doc_id"))
+    assert got.columns == ["doc_id", "a.b", "tokens", "bytes", "tokenizer"]
+    every = {tuple(r) for r in token_ledger.counted(docs, "v").collect()}
+    assert {tuple(r) for r in got.collect()} == {r for r in every if r[0] is not None and r[0] % 7 == 0} and got.count() == 43
 
 
 def test_ledger_query(spark):

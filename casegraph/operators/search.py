@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from casegraph.functions.covers import best_cover
 from casegraph.functions.stemming import stem_terms
 from casegraph.functions.text import words
 from casegraph.operators.ranking import top_k_per_group
@@ -122,14 +123,18 @@ def _rank_near(hits: Column) -> Column:
     return 1.0 - F.exp(F.element_at(F.transform(F.array(placed), after), 1))
 
 
+def rank_order() -> list[Column]:
+    """Best rank first. Ranks that agree to nine decimals are equal, and the lower id comes first."""
+    return [F.desc(F.round("rank", 9)), F.asc("id")]
+
+
 def full_text_search(postings: DataFrame, queries: DataFrame, k: int = 20, config: str = "english") -> DataFrame:
     """(query_id, id, rank, place): best ``k`` documents of every query.
 
     ``config`` must be the one the postings were built with.
     """
     found = match_all_terms(postings, query_terms(queries, config)).withColumn("rank", rank(F.col("hits")))
-    order = [F.desc("rank"), F.asc("id")]
-    return top_k_per_group(found.select("query_id", "id", "rank"), ["query_id"], order, k, "place")
+    return top_k_per_group(found.select("query_id", "id", "rank"), ["query_id"], rank_order(), k, "place")
 
 
 def search_text(documents: DataFrame, query: str, k: int = 20, config: str = "english") -> DataFrame:
@@ -143,38 +148,45 @@ def search_text(documents: DataFrame, query: str, k: int = 20, config: str = "en
 
 
 def _asked_words(results: DataFrame, documents: DataFrame, queries: DataFrame, config: str) -> DataFrame:
-    """(query_id, id, _asked): the words of each result that its query asks for."""
+    """(query_id, id, _asked): for each result the words that its query asks for, with their terms."""
     terms = query_terms(queries, config).select("query_id", "term")
     if config != "english":
-        asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("_asked"))
+        asked = terms.groupBy("query_id").agg(F.map_from_entries(F.collect_set(F.struct("term", F.col("term").alias("t")))).alias("_asked"))
         return results.select("query_id", "id").join(asked, "query_id")
     held = results.select("query_id", "id").join(documents.select("id", "full_text"), "id").select(
         "query_id", "id", F.explode(F.array_distinct(words(F.col("full_text")))).alias("term"))
     stems = _stems_of(held.select("term"))
     wanted = terms.withColumnRenamed("term", "stem")
     return held.join(stems, "term").join(wanted, ["query_id", "stem"]).groupBy("query_id", "id").agg(
-        F.collect_set("term").alias("_asked"))
+        F.map_from_entries(F.collect_set(F.struct("term", "stem"))).alias("_asked"))
 
 
 def snippets(
-    results: DataFrame, documents: DataFrame, queries: DataFrame, length: int = 50, lead: int = 10, config: str = "english",
+    results: DataFrame, documents: DataFrame, queries: DataFrame, longest: int = 50, shortest: int = 20, config: str = "english",
 ) -> DataFrame:
-    """Results with a stretch of text around the first hit, words that the query asks for marked.
+    """Results with the best fragment of their text, words that the query asks for marked.
 
-    The stretch has ``length`` words and starts at most ``lead`` words before the first such word.
-    With ``english`` every word of an asked stem counts. Only result rows are processed.
+    Tokens are parted by white space. Among the windows of ``longest`` tokens the one with most of
+    the query's terms counts, of these the one that covers them in fewest tokens, then the first.
+    The fragment is that cover; a shorter one grows to ``shortest`` tokens on both sides, the extra
+    one behind, as far as the text goes. With ``english`` every word of an asked stem counts. Only
+    result rows are processed.
     """
     asked = _asked_words(results, documents, queries, config)
     rows = results.join(documents.select("id", "full_text"), "id").join(asked, ["query_id", "id"])
     rows = rows.withColumn("_tokens", F.split("full_text", r"\s+"))
-    hit = F.transform("_tokens", lambda t: F.arrays_overlap(words(t), F.col("_asked")))
-    first = F.array_position(hit, True)
-    start = F.greatest(F.lit(1), first - lead)
+    held = F.transform("_tokens", lambda t, i: F.struct(
+        i.alias("at"), F.array_distinct(F.filter(F.transform(words(t), lambda w: F.try_element_at(F.col("_asked"), w)), lambda x: x.isNotNull())).alias("terms")))
+    rows = rows.withColumn("_hits", F.filter(held, lambda h: F.size(h["terms"]) > 0))
+    rows = rows.withColumn("_cover", best_cover("_hits.at", "_hits.terms", F.lit(longest)))
+    n, size = F.size("_tokens"), F.greatest(F.col("_cover.length"), F.lit(shortest))
+    before = F.floor((size - F.col("_cover.length")) / 2).cast("int")
+    start = F.greatest(F.lit(0), F.least(F.col("_cover.start") - before, n - size))
     marked = F.transform(
-        F.slice("_tokens", start, F.lit(length)),
+        F.slice("_tokens", start + 1, size),
         lambda t: F.when(
-            F.arrays_overlap(words(t), F.col("_asked")),
+            F.arrays_overlap(words(t), F.map_keys("_asked")),
             F.regexp_replace(t, r"([\p{L}\p{N}]+)", "<mark>$1</mark>"),
         ).otherwise(t),
     )
-    return rows.withColumn("snippet", F.array_join(marked, " ")).drop("_tokens", "_asked", "full_text")
+    return rows.withColumn("snippet", F.array_join(marked, " ")).drop("_tokens", "_asked", "_hits", "_cover", "full_text")

@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casegraph.functions.text import normalize_name, parse_date, trigram_similarity, truncate_text
+from casegraph.functions.text import normalize_name, parse_date, trigram_similarity, truncate_text, words as filter_words
 from casegraph.operators import aliases, cooccurrence as co, crossref, extraction, filters, patterns, ranking, search, traversal
+from casegraph.operators.search_index import SearchIndex
 from casegraph.plans.sample_model import MARKER, ROOT, SampleModel, sql_similarity, sql_trigrams, sql_words, with_sql
 from casegraph.sources import analyses, lines, loading
 from casegraph.sources.lines import extract_documents
@@ -488,27 +489,33 @@ near AS (SELECT query_id, id, 1 - exp(sum(ln(1 - sqrt(0.01 * 1 / (1.005 + 0.05 *
 
 
 @query(
-    "WITH " + _TOKENS + """SELECT query_id, id, round(rank, 6) AS rank FROM (
+    "WITH " + _TOKENS + """SELECT query_id, id, round(rank, 6) AS rank, place::INT AS place FROM (
     SELECT query_id, id, coalesce(score, 0) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(score, 0), 9) DESC, id) AS place
     FROM matched LEFT JOIN near USING (query_id, id)) WHERE place <= 100"""
 )
 def q_full_text_search(m):
     queries = m.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     postings = search.build_postings(m.texts, config="simple", only=search.query_terms(queries, "simple"))
-    return search.full_text_search(postings, queries, 100, "simple").select("query_id", "id", _r("rank"))
+    return search.full_text_search(postings, queries, 100, "simple").select("query_id", "id", _r("rank"), "place")
 
 
 @query(
     "WITH " + _TOKENS + r""", best AS MATERIALIZED (SELECT query_id, id, rank, place FROM (
     SELECT query_id, id, coalesce(score, 0) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(score, 0), 9) DESC, id) AS place
     FROM matched LEFT JOIN near USING (query_id, id)) WHERE place <= 20),
-    cut AS (SELECT best.*, string_split_regex(text, '\s+') AS t,
-        list_transform(string_split_regex(text, '\s+'), lambda x: list_has_any(list_transform(regexp_extract_all(x, '[\p{L}\p{N}]+'), lambda y: lower(y)), terms)) AS hit
-        FROM best JOIN documents ON doc_id = id JOIN (SELECT query_id, list(term) AS terms FROM asked GROUP BY 1) USING (query_id)),
-    part AS (SELECT *, greatest(1, list_position(hit, true) - 10) AS s FROM cut)
-    SELECT query_id, id, round(rank, 6) AS rank, place::INT AS place, array_to_string(list_transform(list_zip(t[s:s + 49], hit[s:s + 49]),
-        lambda x: CASE WHEN x[2] THEN regexp_replace(x[1], '([\p{L}\p{N}]+)', '<mark>\1</mark>', 'g') ELSE x[1] END), ' ') AS snippet
-    FROM part"""
+    cut AS MATERIALIZED (SELECT best.*, string_split_regex(text, '\s+') AS t FROM best JOIN documents ON doc_id = id),
+    held AS MATERIALIZED (SELECT DISTINCT query_id, id, p, term FROM (SELECT query_id, id, p, unnest(list_distinct(list_transform(regexp_extract_all(t[p], '[\p{L}\p{N}]+'), lambda y: lower(y)))) AS term
+        FROM cut, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS p)) JOIN asked USING (query_id, term)),
+    firsts AS (SELECT a.query_id, a.id, a.p, b.term, min(b.p) AS f FROM (SELECT DISTINCT query_id, id, p FROM held) a
+        JOIN held b ON a.query_id = b.query_id AND a.id = b.id AND b.p BETWEEN a.p AND a.p + 49 GROUP BY ALL),
+    covers AS (SELECT query_id, id, p, count(*) AS n, max(f) - p + 1 AS size FROM firsts GROUP BY query_id, id, p),
+    cover AS MATERIALIZED (SELECT query_id, id, p, size FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY n DESC, size, p) AS rn FROM covers) WHERE rn = 1),
+    part AS (SELECT cut.*, greatest(size, 20) AS len, greatest(1, least(p - (greatest(size, 20) - size) // 2, len(t) - greatest(size, 20) + 1)) AS s FROM cut JOIN cover USING (query_id, id)),
+    shown AS (SELECT query_id, id, rank, place, unnest(t[s : s + len - 1]) AS w, unnest(range(s, s + len(t[s : s + len - 1]))) AS p FROM part),
+    marked AS (SELECT DISTINCT query_id, id, p, true AS hit FROM held)
+    SELECT query_id, id, round(any_value(rank), 6) AS rank, any_value(place)::INT AS place,
+        string_agg(CASE WHEN hit THEN regexp_replace(w, '([\p{L}\p{N}]+)', '<mark>\1</mark>', 'g') ELSE w END, ' ' ORDER BY p) AS snippet
+    FROM shown LEFT JOIN marked USING (query_id, id, p) GROUP BY query_id, id"""
 )
 def q_snippets(m):
     queries = m.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
@@ -518,6 +525,66 @@ def q_snippets(m):
     return found.select("query_id", "id", _r("rank"), "place", "snippet")
 
 
+#: Index folders by session, sample folder and configuration; an index is written once and read by its queries.
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _index(m, config):
+    key = (m.spark.sparkContext.applicationId, m.folder, config)
+    if key not in _INDEXES:
+        folder = scratch_dir(m.spark, "index")
+        SearchIndex.build(m.texts, folder, config, buckets=8)
+        _INDEXES[key] = folder
+    return SearchIndex(m.spark, _INDEXES[key])
+
+
+def _short_queries(m):
+    """Two words of every benchmark passage: its longest and its first."""
+    w = filter_words(F.col("text"))
+    longest = F.array_max(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
+    return m.table("benchmark").where(F.size(w) > 0).select(F.col("item_id").alias("query_id"), F.concat_ws(" ", w[0], longest).alias("q"))
+
+
+@query(
+    f"""WITH tokens AS MATERIALIZED (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) AS position
+    FROM (SELECT doc_id AS id, {sql_words('text')} AS w FROM documents)),
+    asked AS MATERIALIZED (SELECT DISTINCT query_id, unnest([w[1], list_sort(list_transform(w, lambda x: [lpad(length(x)::VARCHAR, 9, '0'), x]))[-1][2]]) AS term
+        FROM (SELECT item_id AS query_id, {sql_words('text')} AS w FROM benchmark) WHERE len(w) > 0),
+    wanted AS MATERIALIZED (SELECT query_id, count(*) AS n FROM asked GROUP BY 1),
+    hits AS MATERIALIZED (SELECT query_id, id, term, position FROM tokens JOIN asked USING (term)),
+    counted AS (SELECT query_id, id, count(DISTINCT term) AS k, count(*) AS c FROM hits GROUP BY ALL),
+    matched AS MATERIALIZED (SELECT query_id, id, k, c FROM counted JOIN wanted USING (query_id) WHERE k = n),
+    near AS (SELECT query_id, id, 1 - exp(sum(ln(1 - sqrt(0.01 * 1 / (1.005 + 0.05 * exp(abs(a.position - b.position) / 1.5 - 2)))))) AS score
+        FROM hits a JOIN hits b USING (query_id, id) JOIN matched USING (query_id, id)
+        WHERE a.term < b.term AND abs(a.position - b.position) <= 100 GROUP BY ALL),
+    ranked AS (SELECT query_id, id, CASE WHEN k = 1 THEN list_sum(list_transform(range(1, c + 1), lambda j: 0.1 / (j * j)::DOUBLE)) / 1.64493406685
+        ELSE coalesce(score, 0) END AS rank FROM matched LEFT JOIN near USING (query_id, id))
+    SELECT query_id, id, round(rank, 6) AS rank, place::INT AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9) DESC, id) AS place FROM ranked) WHERE place <= 20"""
+)
+def q_index_search(m):
+    """Short queries of the stored index without stems, block by block."""
+    return _index(m, "simple").search(_short_queries(m), 20).select("query_id", "id", _r("rank"), "place")
+
+
+@query()  # Stems are beyond SQL; tests hold the index against the ranking of every document.
+def q_stemmed_search(m):
+    queries = m.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    return _index(m, "english").search(queries, 100).select("query_id", "id", _r("rank"), "place")
+
+
+@query()
+def q_stemmed_short_search(m):
+    return _index(m, "english").search(_short_queries(m), 20).select("query_id", "id", _r("rank"), "place")
+
+
+@query()
+def q_stemmed_snippets(m):
+    queries = _short_queries(m)
+    best = _index(m, "english").search(queries, 5)
+    return search.snippets(best, m.texts, queries).select("query_id", "id", "place", "snippet")
+
+
 def _mention_sql(kind: str, pattern: str) -> str:
     """Matches in order, each behind all matches and gaps before it."""
     return f"""SELECT document_id, name, '{kind}' AS entity_type, count(*)::INT AS mention_count, min(pos)::INT AS first_mention,
@@ -632,6 +699,55 @@ def q_load_triples(m):
     return rows.select("document_id", "subject", "predicate", "object", "location", _day("timestamp"))
 
 
+@query(
+    """SELECT 'DOC' || o_orderkey AS doc_id, CASE WHEN o_orderpriority <> '1-URGENT' THEN 'stored' ELSE 'new' END AS document_type,
+    coalesce(CASE WHEN o_orderpriority <> '5-LOW' AND o_orderstatus <> 'F' THEN 'new ' || o_orderpriority END,
+        CASE WHEN o_orderpriority <> '1-URGENT' THEN 'old ' || o_orderstatus END) AS full_text
+    FROM orders"""
+)
+def q_merge_documents(m):
+    """The upsert of ``upsert_documents`` into a stored table, in two loads and batches, one of them repeated."""
+    orders = m.table("orders")
+    key = F.concat(F.lit("DOC"), F.col("o_orderkey").cast("string")).alias("doc_id")
+    first = orders.where("o_orderpriority <> '1-URGENT'").select(
+        key, F.lit("stored").alias("document_type"), F.concat(F.lit("old "), "o_orderstatus").alias("full_text"))
+    second = orders.where("o_orderpriority <> '5-LOW'").select(
+        key, F.lit("new").alias("document_type"),
+        F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("new "), "o_orderpriority")).alias("full_text"))
+    store = loading.document_store(m.spark, scratch_dir(m.spark, "documents"), "doc_id string, document_type string, full_text string", 16)
+    for name, batch in (("load", first), ("urgent", second.where("full_text LIKE '%1-URGENT'")), ("update", second), ("update", second)):
+        loading.merge_documents(store, batch, name)
+    return store.read()
+
+
+@query(", " + _LISTED + """, held AS (SELECT DISTINCT name, entity_type FROM listed UNION SELECT name, entity_type FROM places)
+    SELECT name AS canonical_name, entity_type, CASE entity_type WHEN 'person' THEN 'also ' || name END AS alias,
+        NULL::VARCHAR AS description,
+        coalesce(n, 0)::BIGINT AS mention_count, coalesce(documents, 0)::BIGINT AS documents
+    FROM held LEFT JOIN (SELECT name, entity_type, 2 * count(*) AS n, count(DISTINCT document_id) AS documents FROM listed GROUP BY ALL)
+    USING (name, entity_type)""", ("good",))
+def q_merge_entities(m):
+    """Stored entities and mentions after two loads each; the second mentions everything again.
+
+    A description that comes later does not replace the one, even if there is none, of a known entity.
+    """
+    parsed, resolved = _loaded(m)
+    batch, mentions = loading.entity_batch(parsed, resolved), loading.link_mentions(analyses.listed_entities(parsed))
+    store = loading.entity_store(m.spark, scratch_dir(m.spark, "entities"), 16)
+    loading.merge_entities_into(store, batch, "answers")
+    people = batch.where("entity_type = 'person'").withColumns(
+        {"aliases": F.array(F.concat(F.lit("also "), "canonical_name")), "description": F.lit("known")})
+    loading.merge_entities_into(store, people, "people")
+    held = loading.mention_store(m.spark, scratch_dir(m.spark, "mentions"), 16)
+    for name in ("one", "two", "two"):
+        loading.merge_mentions(held, mentions, name)
+    counts = held.read().groupBy(F.col("entity_id").alias("id")).agg(
+        F.sum("mention_count").alias("mention_count"), F.count(F.lit(1)).alias("documents"))
+    return store.read().join(counts, "id", "left").select(
+        "canonical_name", "entity_type", F.try_element_at("aliases", F.lit(1)).alias("alias"), "description",
+        F.coalesce("mention_count", F.lit(0)).alias("mention_count"), F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
 @query(
     """SELECT finding_id AS id, string_agg(entity_id, ',' ORDER BY entity_id) AS entity_ids FROM fent GROUP BY 1""", ("fent",)
 )

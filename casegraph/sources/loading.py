@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from casegraph.functions.text import name_key, parse_date
 from casegraph.operators.filters import concat_aliases
 from casegraph.sources.analyses import listed_entities, listed_triples
+from casegraph.sources.bucketed import BucketedTable
+
+ENTITY_ROWS = "id BIGINT, canonical_name STRING, entity_type STRING, aliases ARRAY<STRING>, description STRING"
+MENTION_ROWS = "document_id BIGINT, entity_id BIGINT, mention_count INT, context_snippet STRING"
 
 
 def upsert_documents(target: DataFrame, batch: DataFrame) -> DataFrame:
@@ -180,6 +184,40 @@ def load_triples(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
     )
 
 
+def document_store(spark: SparkSession, folder: str, schema: str, buckets: int = 64) -> BucketedTable:
+    """A stored document table that ``upsert_documents`` changes by batches, keyed by doc_id."""
+    return BucketedTable(spark, folder, schema, ["doc_id"], buckets)
+
+
+def merge_documents(store: BucketedTable, batch: DataFrame, name: str) -> list[int]:
+    """Upsert a batch of documents into a store; only the buckets of its doc_ids are rewritten."""
+    return store.merge(batch, upsert_documents, name)
+
+
+def entity_store(spark: SparkSession, folder: str, buckets: int = 64) -> BucketedTable:
+    """A stored entity table, keyed by exact name and type."""
+    return BucketedTable(spark, folder, ENTITY_ROWS, ["canonical_name", "entity_type"], buckets)
+
+
+def merge_entities_into(store: BucketedTable, batch: DataFrame, name: str, dedup: bool = False) -> list[int]:
+    """Upsert a batch of entities into a store; only the buckets of its keys are rewritten."""
+    return store.merge(batch, lambda held, new: upsert_entities(held, new, dedup), name)
+
+
+def mention_store(spark: SparkSession, folder: str, buckets: int = 64) -> BucketedTable:
+    """A stored mention table, kept by document."""
+    return BucketedTable(spark, folder, MENTION_ROWS, ["document_id"], buckets)
+
+
+def merge_mentions(store: BucketedTable, batch: DataFrame, name: str) -> list[int]:
+    """Add a batch of mention counts to a store; the snippet that was there first stays."""
+
+    def combine(held: DataFrame, new: DataFrame) -> DataFrame:
+        return merge_counts(held.withColumn("load", F.lit(0)).unionByName(new.withColumn("load", F.lit(1))), "load")
+
+    return store.merge(batch, combine, name)
+
+
 def save_findings(hypotheses: DataFrame, entities: DataFrame, key: str = "id") -> DataFrame:
     """Findings with entity ids by exact name: every type of a name, nothing for unknown names."""
     names = hypotheses.select(key, F.explode(F.array_distinct("entity_names")).alias("canonical_name"))

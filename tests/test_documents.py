@@ -1,10 +1,14 @@
+import itertools
 import json
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from casegraph.operators import aliases, extraction, search
+from casegraph.functions.stemming import stem_terms
+from casegraph.operators import aliases, extraction, search, search_index
 from casegraph.sources import analyses, lines, loading
 from casegraph.streaming import ingest, stats
 from casegraph.workspace import scratch_dir
@@ -145,6 +149,100 @@ def test_extraction(spark):
     assert [(r.mention_count, r.first_mention) for r in extraction.gazetteer_mentions(long, many).collect()] == [(1, 2)]
 
 
+def test_typed_names_without_a_list(spark):
+    text = "Mr. John Q. Doe met Judge Ann and Mary B. Poe at 12 Main Street, Springfield, IL 62704 for Acme Trade Corp."
+    rows = extraction.extract_mentions(spark.createDataFrame([(1, text)], "id long, full_text string")).collect()
+    found = {(r.entity_type, r.name) for r in rows if r.entity_type in ("person", "organization", "location")}
+    assert found == {("person", "Mr. John Q. Doe"), ("person", "Judge Ann"), ("person", "Mary B. Poe"), ("location", "12 Main Street"),
+                     ("location", "Springfield, IL 62704"), ("organization", "Acme Trade Corp")}
+
+
+def test_gazetteer_equals_brute_force(spark):
+    chance = random.Random(2)
+    vocabulary = ["a", "B", "cc", "Ünï", "x9", "the"]
+    text = lambda n: "".join(chance.choice(vocabulary) + chance.choice([" ", ", ", "\n", "--"]) for _ in range(n))
+    docs = [(i, text(chance.randint(0, 700))) for i in range(12)] + [(50, ""), (51, None), (52, "!?")]
+    names = [(text(n), kind) for n in (1, 1, 2, 2, 3, 3, 4, 5, 6, 7, 8, 9) for kind in ("person", "organization")] + [("the", "person"), ("...", "person")]
+    split = lambda t: [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t or "")]
+    want = {}
+    runs = {}
+    for name, kind in names:
+        key = (tuple(w for w, _, _ in split(name)), kind)
+        runs[key] = min(runs.get(key, name), name)
+    for doc, body in docs:
+        found = split(body)
+        for (run, kind), name in runs.items():
+            at = [i for i in range(len(found) - len(run) + 1) if run and tuple(w for w, _, _ in found[i : i + len(run)]) == run]
+            if at:
+                begin, end = found[at[0]][1], found[at[0] + len(run) - 1][2]
+                want[doc, name, kind] = (len(at), begin, body[max(begin - 40, 0) : end + 40])
+    rows = extraction.gazetteer_mentions(spark.createDataFrame(docs, "id long, full_text string"), spark.createDataFrame(names, "name string, entity_type string")).collect()
+    assert {(r.document_id, r.name, r.entity_type): (r.mention_count, r.first_mention, r.context_snippet) for r in rows} == want and len(want) > 50
+    none = extraction.gazetteer_mentions(spark.createDataFrame(docs, "id long, full_text string"), spark.createDataFrame([], "name string, entity_type string"))
+    assert none.count() == 0
+
+
+def brute_rank(text, asked, stem):
+    """Rank of one text by the published formulas, or None if a term is missing."""
+    found = {}
+    for i, w in enumerate(re.findall(r"[^\W_]+", text.lower())):
+        if w not in search.STOP_WORDS and stem[w] in asked:
+            found.setdefault(stem[w], []).append(i)
+    if not asked or set(found) != asked:
+        return None
+    if len(found) == 1:
+        (at,) = found.values()
+        return sum(0.1 / j**2 for j in range(1, len(at) + 1)) / 1.64493406685
+    log = sum(math.log(1 - 0.1 / math.sqrt(1.005 + 0.05 * math.exp(abs(p - q) / 1.5 - 2)))
+              for a, b in itertools.combinations(found, 2) for p in found[a] for q in found[b] if abs(p - q) <= 100)
+    return 1 - math.exp(log)
+
+
+@pytest.mark.parametrize("k", [3, 1000])
+def test_stored_index_equals_full_ranking(spark, k):
+    """Stemmed queries of one to three words, block by block, against brute force; fewer blocks are read for a small k."""
+    chance = random.Random(k)
+    vocabulary = ["running", "runs", "licenses", "license", "connected", "connection", "apache", "the", "of", "banks", "quick", "ties"] + [f"word{i}" for i in range(60)]
+    texts = [" ".join(chance.choices(vocabulary, k=chance.choice([5, 20, 60, 300]))) for _ in range(400)] + ["quick ties"] * 7 + ["", "the of"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9999, None)], "id long, full_text string")
+    asked = ["run", "licenses", "connecting banks", "quick ties", "the", "absent", "license runs quick", "Quick, quick ties!"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, q string")
+    index = search_index.SearchIndex.build(docs, scratch_dir(spark, "index"), block_documents=20, buckets=3)
+    again = search_index.SearchIndex(spark, index.folder)
+    got = {}
+    for r in again.search(queries, k).collect():
+        got.setdefault(r.query_id, []).append((r.place, r.id, r["rank"]))
+    forms = sorted({w for t in [*texts, *asked] for w in re.findall(r"[^\W_]+", t.lower())})
+    stems = {r.term: r.stem for r in stem_terms(spark.createDataFrame([(w,) for w in forms], "term string")).collect()}
+    for number, q in enumerate(asked):
+        terms = {stems[w] for w in re.findall(r"[^\W_]+", q.lower()) if w not in search.STOP_WORDS}
+        ranks = [(i, brute_rank(t, terms, stems)) for i, t in enumerate(texts)]
+        want = sorted(((-round(r, 9), i) for i, r in ranks if r is not None))[:k]
+        mine = sorted(got.get(number, []))
+        assert [i for _, i, _ in mine] == [i for _, i in want], q
+        assert all(abs(x[2] + y[0]) < 2e-9 for x, y in zip(mine, want, strict=True))
+    assert again.blocks_read <= again.blocks_met and (k == 1000 or again.blocks_read < 0.8 * again.blocks_met)
+    postings = search.build_postings(docs)
+    plain = {(r.query_id, r.place, r.id) for r in search.full_text_search(postings, queries, k).collect()}
+    assert plain == {(n, p, i) for n, rows in got.items() for p, i, _ in rows}
+
+
+def test_best_fragment(spark):
+    far = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"alpha {far} beta alpha x x x beta {far} alpha y beta {far}"), (2, "beta alpha"), (3, f"{far} alpha {far} beta")], "id long, full_text string")
+    queries = spark.createDataFrame([(1, "alpha beta")], "query_id long, q string")
+    results = spark.createDataFrame([(1, 1, 0.5, 1), (1, 2, 0.4, 2), (1, 3, 0.3, 3)], "query_id long, id long, rank double, place int")
+    got = {r.id: r.snippet.split(" ") for r in search.snippets(results, docs, queries, config="simple").collect()}
+    assert got[2] == ["<mark>beta</mark>", "<mark>alpha</mark>"]
+    assert len(got[1]) == len(got[3]) == 20 and got[1][9:13] == ["<mark>beta</mark>", "<mark>alpha</mark>", "x", "x"] and got[3][9] == "<mark>alpha</mark>"
+    wide = spark.createDataFrame([(1, "alpha " + " ".join(["z"] * 30) + " beta " + "tail " * 30)], "id long, full_text string")
+    snippet = search.snippets(results.where("id = 1"), wide, queries, config="simple").first().snippet.split(" ")
+    assert len(snippet) == 32 and snippet[0] == "<mark>alpha</mark>" and snippet[-1] == "<mark>beta</mark>"
+    tie = spark.createDataFrame([(8, "alpha beta"), (5, "alpha beta"), (7, "alpha beta")], "id long, full_text string")
+    best = search.full_text_search(search.build_postings(tie, config="simple"), queries, 2, "simple").collect()
+    assert sorted((r.place, r.id) for r in best) == [(1, 5), (2, 7)]
+
+
 def test_a_document_runs_on_in_the_next_file(spark, tmp_path):
     (tmp_path / "a.txt").write_text("lost\nDOC1\none\n")
     (tmp_path / "b.txt").write_text("two\nDOC2\nx\n")

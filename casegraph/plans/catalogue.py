@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from casegraph.functions.text import normalize_name, parse_date, trigram_similarity, truncate_text, words as filter_words
 from casegraph.operators import aliases, cooccurrence as co, crossref, extraction, filters, patterns, ranking, search, traversal
 from casegraph.operators.search_index import SearchIndex
-from casegraph.plans.sample_model import MARKER, ROOT, SampleModel, sql_similarity, sql_trigrams, sql_words, with_sql
+from casegraph.plans.sample_model import (
+    CUSTOMER, MARKER, ROOT, SampleModel, spelled, sql_customer, sql_part, sql_similarity, sql_supplier, sql_trigrams, sql_words, with_sql,
+)
 from casegraph.sources import analyses, lines, loading
 from casegraph.sources.lines import extract_documents
 from casegraph.streaming import ingest, stats
@@ -302,7 +304,7 @@ def q_trigram_similarity(m):
     return joined.select("item_id", "doc_id", F.round(trigram_similarity(F.col("text"), F.col("t")), 6).alias("score"))
 
 
-_ASKED = "small ring brand"
+_ASKED = "household trading small brand"
 
 
 @query(
@@ -325,8 +327,8 @@ def _registry_search_sql(table: str, name: str, amount: str, extra: str = "TRUE"
 
 @query(
     "SELECT * FROM (" + _registry_search_sql("ppp", "borrower_name", "loan_amount") + ") UNION ALL SELECT * FROM ("
-    + _registry_search_sql("fec", "contributor_name", "amount", "candidate_name ILIKE '%brand#1%'") + ") UNION ALL SELECT * FROM ("
-    + _registry_search_sql("grants", "recipient_name", "award_amount", "awarding_agency ILIKE '%brand#1%'") + ")",
+    + _registry_search_sql("fec", "contributor_name", "amount", "candidate_name ILIKE '%urgent%'") + ") UNION ALL SELECT * FROM ("
+    + _registry_search_sql("grants", "recipient_name", "award_amount", "awarding_agency ILIKE '%urgent%'") + ")",
     ("ppp", "fec", "grants", "grams"),
 )
 def q_search_registry(m):
@@ -334,7 +336,7 @@ def q_search_registry(m):
     parts = []
     for source, label in asked.items():
         spec = crossref.REGISTRIES[source]
-        found = ranking.search_registry(m.registries[source], spec.name_col, spec.amount_col, _ASKED, label, "brand#1")
+        found = ranking.search_registry(m.registries[source], spec.name_col, spec.amount_col, _ASKED, label, "urgent")
         parts.append(found.select(
             F.lit(source).alias("registry"), "id", F.col(spec.name_col).alias("name"),
             F.col(spec.amount_col).cast("double").alias("amount"), _r("score")))
@@ -344,7 +346,7 @@ def q_search_registry(m):
 def _match_sql(source: str, name: str, types: str) -> str:
     return f"""SELECT e.id AS entity_id, '{source}' AS source, r.id AS source_id, score AS match_score,
     row_number() OVER (PARTITION BY e.id ORDER BY score DESC, r.id) AS place
-    FROM named e JOIN alike s ON s.name1 = e.canonical_name JOIN {source} r ON r.{name} = s.name2
+    FROM named e JOIN alike s ON s.name1 = lower(e.canonical_name) JOIN {source} r ON lower(r.{name}) = s.name2
     WHERE e.entity_type IN ({types})"""
 
 
@@ -363,15 +365,15 @@ def q_fuzzy_match(m):
 
 
 def _reviewed(m):
-    """The matches of q_fuzzy_match; a reviewer marked entities whose name is longer than 24 as wrong."""
-    long_names = m.named.where(F.length("canonical_name") > 24).select(F.col("id").alias("entity_id"), F.lit(True).alias("wrong"))
+    """The matches of q_fuzzy_match; a reviewer marked entities whose name is longer than 22 as wrong."""
+    long_names = m.named.where(F.length("canonical_name") > 22).select(F.col("id").alias("entity_id"), F.lit(True).alias("wrong"))
     found = crossref.match_all(m.named, m.registries).join(long_names, "entity_id", "left")
     return checkpointed(found.withColumn("false_positive", F.coalesce("wrong", F.lit(False))).drop("wrong"))
 
 
 @query(
-    f"""SELECT e.id, CASE WHEN x.n IS NULL THEN 'none' WHEN length(e.canonical_name) > 24 THEN 'rejected' ELSE 'matched' END AS state,
-    CASE WHEN x.n IS NULL OR length(e.canonical_name) > 24 THEN '' ELSE x.ids END AS ids
+    f"""SELECT e.id, CASE WHEN x.n IS NULL THEN 'none' WHEN length(e.canonical_name) > 22 THEN 'rejected' ELSE 'matched' END AS state,
+    CASE WHEN x.n IS NULL OR length(e.canonical_name) > 22 THEN '' ELSE x.ids END AS ids
     FROM named e LEFT JOIN (SELECT entity_id, count(*) AS n, string_agg(source_id, ',' ORDER BY match_score DESC, source_id) AS ids
     FROM ({_MATCHES}) WHERE source = 'ppp' GROUP BY 1) x ON x.entity_id = e.id""", _MATCH_TABLES,
 )
@@ -402,7 +404,7 @@ def q_has_match(m):
 
 
 @query(
-    f"""SELECT id, canonical_name, n_chars AS connection_count FROM named WHERE length(canonical_name) <= 24
+    f"""SELECT id, canonical_name, n_chars AS connection_count FROM named WHERE length(canonical_name) <= 22
     AND id IN (SELECT entity_id FROM ({_MATCHES})) ORDER BY n_chars DESC, id LIMIT 100""", _MATCH_TABLES,
 )
 def q_cross_referenced_sample(m):
@@ -413,15 +415,15 @@ def q_cross_referenced_sample(m):
     return patterns.cross_referenced_sample(matched).select("id", "canonical_name", "connection_count")
 
 
-_CLUSTER_NAMES = f"""names AS MATERIALIZED (SELECT p_partkey AS id, p_name || ' ' || p_size AS name, p_size AS n_chars,
+_CLUSTER_NAMES = f"""names AS MATERIALIZED (SELECT id, name, n_chars,
     array_to_string(list_filter(string_split(trim(lower(regexp_replace(regexp_replace(strip_accents(replace(
-    regexp_replace(p_name || ' ' || p_size, '[\\s\\-]+', ' ', 'g'), 'ß', 'ss')), '[^a-zA-Z0-9 ]', '', 'g'), '\\s+', ' ', 'g'))), ' '),
-    lambda t: t NOT IN ({', '.join(f"'{s}'" for s in aliases.COMPANY_SUFFIXES)})), ' ') AS plain FROM part),
+    regexp_replace(name, '[\\s\\-]+', ' ', 'g'), 'ß', 'ss')), '[^a-zA-Z0-9 ]', '', 'g'), '\\s+', ' ', 'g'))), ' '),
+    lambda t: t NOT IN ({', '.join(f"'{s}'" for s in aliases.COMPANY_SUFFIXES)})), ' ') AS plain FROM spelling),
 parts AS (SELECT id, string_split(plain, ' ') AS t FROM names),
 people AS MATERIALIZED (SELECT id, t[1] AS first, t[-1] AS last, array_to_string(t[2:-2], ' ') AS middle FROM parts
     WHERE len(t) >= 2 AND length(t[-1]) > 1 AND length(array_to_string(t[2:-2], ' ')) <= 1),
 links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM names a JOIN names b ON a.plain = b.plain AND a.plain <> ''
-    UNION SELECT a.id, b.id FROM short_alike s JOIN names a ON a.name = s.name1 JOIN names b ON b.name = s.name2
+    UNION SELECT a.id, b.id FROM short_alike s JOIN names a ON lower(a.name) = s.name1 JOIN names b ON lower(b.name) = s.name2
     UNION SELECT f.id, p.id FROM people p JOIN people f ON p.last = f.last AND p.first = substring(f.first, 1, 1)
         WHERE length(p.first) = 1 AND length(f.first) > 1 AND (SELECT count(DISTINCT q.first) FROM people q
         WHERE q.last = p.last AND substring(q.first, 1, 1) = p.first AND length(q.first) > 1) = 1
@@ -442,13 +444,12 @@ _CANONICAL = """canonical AS MATERIALIZED (SELECT cluster, id AS canonical_id, n
 
 
 def _clusters(m):
-    names = m.table("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name"), F.col("p_size").alias("mentions"))
-    return aliases.cluster_aliases(names)
+    return aliases.cluster_aliases(m.spellings)
 
 
 @query(
     ", " + _CLUSTER_NAMES + ", " + _CANONICAL
-    + "SELECT p.id, p.cluster, canonical_id, canonical_name FROM placed p JOIN canonical USING (cluster)", ("short_alike",),
+    + "SELECT p.id, p.cluster, canonical_id, canonical_name FROM placed p JOIN canonical USING (cluster)", ("short_alike", "spelling"),
 )
 def q_alias_clusters(m):
     return _clusters(m).select("id", "cluster", "canonical_id", "canonical_name")
@@ -456,7 +457,7 @@ def q_alias_clusters(m):
 
 @query(
     ", " + _CLUSTER_NAMES + ", " + _CANONICAL + """SELECT name AS original_name, canonical_id AS entity_id, 1.0::DOUBLE AS confidence
-    FROM placed p JOIN names n USING (id) JOIN canonical USING (cluster) WHERE name <> canonical_name""", ("short_alike",),
+    FROM placed p JOIN names n USING (id) JOIN canonical USING (cluster) WHERE name <> canonical_name""", ("short_alike", "spelling"),
 )
 def q_alias_table(m):
     return aliases.alias_table(_clusters(m)).select("original_name", "entity_id", "confidence")
@@ -798,28 +799,22 @@ def q_graph_tables(m):
 
 # --- traversal ------------------------------------------------------------------------------
 
-_TOP = "SELECT source AS a, target AS b FROM net ORDER BY weight DESC, source, target LIMIT 50"
-
-
-def _top_pairs(m, network):
-    order = [F.desc("weight"), F.asc("source"), F.asc("target")]
-    return network.orderBy(*order).limit(50).select(F.col("source").alias("a"), F.col("target").alias("b"))
-
-
 @query(
-    f"""SELECT a, b, x.target AS id FROM ({_TOP}) p JOIN netboth x ON x.source = a
-    JOIN netboth y ON y.source = b AND y.target = x.target""", ("net", "netboth"),
+    """SELECT p.source AS a, p.target AS b, x.target AS id FROM net p JOIN netboth x ON x.source = p.source
+    JOIN netboth y ON y.source = p.target AND y.target = x.target""", ("net", "netboth"),
 )
 def q_shared_connections(m):
-    return traversal.shared_connections(m.network, _top_pairs(m, m.network))
+    """For every edge of the network."""
+    return traversal.shared_connections(m.network, m.network.select(F.col("source").alias("a"), F.col("target").alias("b")))
 
 
 @query(
-    f"""SELECT a, b, x.document_id FROM ({_TOP}) p JOIN men x ON x.entity_id = a
-    JOIN men y ON y.entity_id = b AND y.document_id = x.document_id""", ("net", "men"),
+    """SELECT p.source AS a, p.target AS b, x.document_id FROM net p JOIN men x ON x.entity_id = p.source
+    JOIN men y ON y.entity_id = p.target AND y.document_id = x.document_id""", ("net", "men"),
 )
 def q_joint_documents(m):
-    return traversal.joint_documents(m.mentions, _top_pairs(m, m.network))
+    """For every edge of the network."""
+    return traversal.joint_documents(m.mentions, m.network.select(F.col("source").alias("a"), F.col("target").alias("b")))
 
 
 _SEEDS = "SELECT id FROM stats WHERE entity_type = 'person' ORDER BY connection_count DESC, id LIMIT 3"
@@ -911,11 +906,11 @@ def q_pair_features(m):
 
 @query(
     f"""SELECT canonical_name AS name, entity_type AS type, n_chars AS connections,
-    length(canonical_name) <= 24 AND id IN (SELECT entity_id FROM ({_MATCHES}) WHERE source = 'ppp') AS has_ppp,
-    length(canonical_name) <= 24 AND id IN (SELECT entity_id FROM ({_MATCHES}) WHERE source = 'fec') AS has_fec,
-    length(canonical_name) <= 24 AND id IN (SELECT entity_id FROM ({_MATCHES}) WHERE source = 'grants') AS has_grants
+    length(canonical_name) <= 22 AND id IN (SELECT entity_id FROM ({_MATCHES}) WHERE source = 'ppp') AS has_ppp,
+    length(canonical_name) <= 22 AND id IN (SELECT entity_id FROM ({_MATCHES}) WHERE source = 'fec') AS has_fec,
+    length(canonical_name) <= 22 AND id IN (SELECT entity_id FROM ({_MATCHES}) WHERE source = 'grants') AS has_grants
     FROM named WHERE id IN (SELECT id FROM named WHERE entity_type IN ('person', 'organization') ORDER BY n_chars DESC, id LIMIT 50)
-    OR id IN (SELECT id FROM named WHERE length(canonical_name) <= 24 AND id IN (SELECT entity_id FROM ({_MATCHES})) ORDER BY n_chars DESC, id LIMIT 100)""",
+    OR id IN (SELECT id FROM named WHERE length(canonical_name) <= 22 AND id IN (SELECT entity_id FROM ({_MATCHES})) ORDER BY n_chars DESC, id LIMIT 100)""",
     _MATCH_TABLES,
 )
 def q_pattern_features(m):
@@ -1075,12 +1070,25 @@ def q_stats_stream(m):
     return stats.current_stats(m.spark, out)
 
 
-@query(", " + _LISTED + """, ids AS MATERIALIZED (SELECT name, entity_type, row_number() OVER (ORDER BY name, entity_type) AS id
+_SPELLED = f"""shown AS MATERIALIZED (SELECT document_id, c_custkey, {sql_customer('(document_id % 3)')} AS name FROM good JOIN customer ON c_custkey = o_custkey WHERE error_message IS NULL),
+heads AS (SELECT c_custkey, name FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY n DESC, length(name) DESC, name) AS rn
+    FROM (SELECT c_custkey, name, count(*) AS n FROM shown GROUP BY ALL)) WHERE rn = 1),
+lined AS (SELECT * FROM good JOIN lineitem ON l_orderkey = document_id WHERE error_message IS NULL),
+listed AS (SELECT document_id, heads.name, 'person' AS entity_type FROM shown JOIN heads USING (c_custkey)
+    UNION ALL SELECT document_id, {sql_supplier('0')}, 'organization' FROM lined JOIN supplier ON s_suppkey = l_suppkey
+    UNION ALL SELECT document_id, {sql_part('0')}, 'reference' FROM lined JOIN part ON p_partkey = l_partkey),
+places AS (SELECT DISTINCT 'Port ' || substr(md5('n' || n_nationkey), 1, 12) AS name, 'location' AS entity_type FROM lined
+    JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+root AS (SELECT name FROM heads WHERE c_custkey = 0)
+"""
+
+
+@query(", " + _SPELLED + """, ids AS MATERIALIZED (SELECT name, entity_type, row_number() OVER (ORDER BY name, entity_type) AS id
         FROM (SELECT name, entity_type FROM listed UNION SELECT name, entity_type FROM places)),
     pm AS MATERIALIZED (SELECT DISTINCT document_id, id FROM listed JOIN ids USING (name, entity_type)),
     pp AS MATERIALIZED (SELECT a.id AS source, b.id AS target, count(*) AS weight FROM pm a JOIN pm b ON a.document_id = b.document_id AND a.id <> b.id GROUP BY ALL),
-    pn AS (SELECT target AS id FROM pp JOIN ids ON ids.id = source WHERE name = 'Customer#000000000'),
-    pl AS MATERIALIZED (SELECT id, CASE WHEN name = 'Customer#000000000' THEN 0 WHEN id IN (SELECT id FROM pn) THEN 1
+    pn AS (SELECT target AS id FROM pp JOIN ids ON ids.id = source WHERE name = (SELECT name FROM root)),
+    pl AS MATERIALIZED (SELECT id, CASE WHEN name = (SELECT name FROM root) THEN 0 WHEN id IN (SELECT id FROM pn) THEN 1
         WHEN id IN (SELECT target FROM pp WHERE source IN (SELECT id FROM pn)) THEN 2 ELSE 3 END AS layer FROM ids),
     pd AS (SELECT id, count(*) AS n FROM pm GROUP BY 1), pc AS (SELECT source AS id, count(*) AS n FROM pp GROUP BY 1)
     SELECT name, entity_type, layer, coalesce(pd.n, 0) AS documents, coalesce(pc.n, 0) AS connections,
@@ -1089,12 +1097,14 @@ def q_stats_stream(m):
             AND (SELECT n FROM pc WHERE pc.id = target) >= 2 AND pc.n >= 2), 0)::BIGINT AS edge_weight
     FROM ids JOIN pl USING (id) LEFT JOIN pd USING (id) LEFT JOIN pc USING (id)""", ("good",))
 def q_run_pipeline(m):
-    """Entities with layers, counts and the weight of their edges; the similarity rule is left out."""
+    """Entities with layers, counts and the weight of their edges; spellings of a customer become one by all rules."""
     from casegraph.plans.pipeline import run_pipeline
 
-    answers = m.answers.select("doc_id", "response")
-    root = ("Customer#000000000", "person")
-    tables = run_pipeline(m.spark, m.order_dump, answers, MARKER, root, scratch_dir(m.spark, "pipeline"), (None, 1))
+    answers = m.spelled_answers.select("doc_id", "response")
+    own = m.table("orders").where("o_custkey = 0 AND o_orderstatus <> 'P'").join(m.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    first = own.orderBy("o_orderkey").select(spelled(*CUSTOMER, F.pmod(F.col("o_orderkey"), F.lit(3)))).first()
+    root = (first[0] if first else "", "person")  # in any spelling
+    tables = run_pipeline(m.spark, m.order_dump, answers, MARKER, root, scratch_dir(m.spark, "pipeline"))
     both = tables["edges"].select(F.explode(F.array("source", "target")).alias("id"), "weight")
     weights = both.groupBy("id").agg(F.sum("weight").alias("edge_weight"))
     return tables["entities"].join(weights, "id", "left").select(

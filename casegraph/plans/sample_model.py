@@ -2,14 +2,15 @@
 
 Orders play structured documents; customers, suppliers and parts are persons, organizations and
 references; order and line rows are mentions. Texts come from ``documents``. Names that are matched
-against registries are those of all parts.
+against registries have a code of their own for every customer, supplier and part, so they grow with
+the tables; the registries are orders, which spell them in several ways.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casegraph.operators.cooccurrence import cooccurrence, edges, with_stats
 from casegraph.operators.traversal import with_layers
@@ -20,6 +21,43 @@ ROOT = 1
 MARKER = r"^DOC\d{8}$"
 
 
+def code(kind: str, key: str) -> Column:
+    return F.substring(F.md5(F.concat(F.lit(kind), F.col(key).cast("string"))), 1, 12)
+
+
+# Names of customers, suppliers and parts: what stands before the code of the key, the code, and what follows.
+CUSTOMER = (lambda: F.col("c_mktsegment"), lambda: code("c", "c_custkey"), lambda: F.lit(""))
+SUPPLIER = (lambda: F.lit("Trading"), lambda: code("s", "s_suppkey"), lambda: F.lit("Inc"))
+PART = (lambda: F.concat_ws(" ", "p_name", "p_brand"), lambda: code("p", "p_partkey"), lambda: F.lit(""))
+
+
+def spelled(lead, own, tail, key: Column) -> Column:
+    """A name in one of four ways, by ``key``: as it is, in capitals, with two characters or half of its code lost."""
+    way = F.pmod(key, F.lit(4))
+
+    def name(length: int) -> Column:
+        return F.trim(F.concat_ws(" ", lead(), F.substring(own(), 1, length), tail()))
+
+    return F.when(way == 1, F.upper(name(12))).when(way == 2, name(10)).when(way == 3, name(6)).otherwise(name(12))
+
+
+def sql_spelled(lead: str, kind: str, own: str, tail: str, key: str) -> str:
+    name = lambda n: f"trim({lead} || ' ' || substr(md5('{kind}' || {own}), 1, {n}) || ' {tail}')"
+    return f"(CASE {key} % 4 WHEN 1 THEN upper({name(12)}) WHEN 2 THEN {name(10)} WHEN 3 THEN {name(6)} ELSE {name(12)} END)"
+
+
+def sql_customer(key: str) -> str:
+    return sql_spelled("c_mktsegment", "c", "c_custkey", "", key)
+
+
+def sql_supplier(key: str) -> str:
+    return sql_spelled("'Trading'", "s", "s_suppkey", "Inc", key)
+
+
+def sql_part(key: str) -> str:
+    return sql_spelled("p_name || ' ' || p_brand", "p", "p_partkey", "", key)
+
+
 class SampleModel:
     """Tables of the data model for one folder of sample tables.
 
@@ -110,24 +148,45 @@ class SampleModel:
 
     @cached_property
     def named(self) -> DataFrame:
-        """Entities named by all parts: name, brand and type together."""
+        """Entities with a name of their own for every customer, supplier and part."""
+        customers = self.table("customer").select(
+            (F.col("c_custkey") * 10 + 1).alias("id"), spelled(*CUSTOMER, F.lit(0)).alias("canonical_name"), F.lit("person").alias("entity_type"),
+            F.col("c_mktsegment").alias("source"), F.floor("c_acctbal").cast("bigint").alias("n_chars"))
+        suppliers = self.table("supplier").select(
+            (F.col("s_suppkey") * 10 + 2).alias("id"), spelled(*SUPPLIER, F.lit(0)).alias("canonical_name"), F.lit("organization").alias("entity_type"),
+            F.lit("supplier").alias("source"), F.floor("s_acctbal").cast("bigint").alias("n_chars"))
         kind = F.when(F.col("p_type") == "ECONOMY", "location").when(F.col("p_type") == "SMALL", "organization").otherwise("person")
-        return self.table("part").select(
-            F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("canonical_name"),
-            kind.alias("entity_type"), F.col("p_brand").alias("source"), F.col("p_size").cast("bigint").alias("n_chars"))
+        parts = self.table("part").select(
+            (F.col("p_partkey") * 10 + 3).alias("id"), spelled(*PART, F.lit(0)).alias("canonical_name"), kind.alias("entity_type"),
+            F.col("p_brand").alias("source"), F.col("p_size").cast("bigint").alias("n_chars"))
+        return customers.unionByName(suppliers).unionByName(parts)
 
     @cached_property
     def registries(self) -> dict[str, DataFrame]:
-        """Three registries of all parts, by size."""
-        rows, size = self.named, F.col("n_chars")
-        ppp, fec, grants = rows.where(size <= 17), rows.where((size > 17) & (size <= 34)), rows.where(size > 34)
-        amount = F.col("n_chars").cast("decimal(15,2)")
+        """Three registries with a row for every order; a row spells the name of its customer, supplier or part in its own way."""
+        key, amount = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(15,2)")
+        suppliers, parts = self.table("supplier"), self.table("part")
+        orders = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        loans = orders.where("o_orderstatus <> 'F'").join(suppliers, key % suppliers.count() == F.col("s_suppkey"))
+        borrower = F.when(F.col("o_orderpriority") == "5-LOW", spelled(*SUPPLIER, key)).otherwise(spelled(*CUSTOMER, key))
+        granted = self.table("orders").join(parts, key % parts.count() == F.col("p_partkey"))
         return {
-            "ppp": ppp.select("id", F.col("canonical_name").alias("borrower_name"), amount.alias("loan_amount"), F.col("source").alias("lender")),
-            "fec": fec.select("id", F.col("canonical_name").alias("contributor_name"), amount.alias("amount"), F.col("source").alias("candidate_name")),
-            "grants": grants.select("id", F.col("canonical_name").alias("recipient_name"), amount.alias("award_amount"), F.col("source").alias("awarding_agency")),
+            "ppp": loans.select(key.alias("id"), borrower.alias("borrower_name"), amount.alias("loan_amount"), F.col("o_orderpriority").alias("lender")),
+            "fec": orders.where("o_orderstatus = 'F'").select(
+                key.alias("id"), spelled(*CUSTOMER, key).alias("contributor_name"), amount.alias("amount"), F.col("o_orderpriority").alias("candidate_name")),
+            "grants": granted.select(
+                key.alias("id"), spelled(*PART, key).alias("recipient_name"), amount.alias("award_amount"), F.col("o_orderpriority").alias("awarding_agency")),
         }
 
+    @cached_property
+    def spellings(self) -> DataFrame:
+        """(id, name, mentions): the name of every customer and the way in which each order spells it."""
+        customers = self.table("customer")
+        own = customers.select((F.col("c_custkey") * 10 + 1).alias("id"), spelled(*CUSTOMER, F.lit(0)).alias("name"), (F.col("c_custkey") % 7).alias("mentions"))
+        orders = self.table("orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        return own.unionByName(orders.select(
+            (F.col("o_orderkey") * 10 + 5).alias("id"), spelled(*CUSTOMER, F.col("o_orderkey")).alias("name"), (F.col("o_orderkey") % 7).alias("mentions")))
+
     @cached_property
     def triples(self) -> DataFrame:
         lines = self.table("lineitem").join(
@@ -172,6 +231,15 @@ class SampleModel:
     @cached_property
     def answers(self) -> DataFrame:
         """(document_id, doc_id, response): analysis answers as JSON text, some of them faulty."""
+        return self._answers(F.col("c_name"), F.col("s_name"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")), F.col("n_name"))
+
+    @cached_property
+    def spelled_answers(self) -> DataFrame:
+        """The same answers, where each order spells its customer in its own way."""
+        way = F.pmod(F.col("o_orderkey"), F.lit(3))  # half of a code is too little to be told from others
+        return self._answers(spelled(*CUSTOMER, way), spelled(*SUPPLIER, F.lit(0)), spelled(*PART, F.lit(0)), F.concat(F.lit("Port "), code("n", "n_nationkey")))
+
+    def _answers(self, person: Column, organization: Column, part: Column, place: Column) -> DataFrame:
         lines = (
             self.table("lineitem")
             .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -179,9 +247,8 @@ class SampleModel:
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .groupBy(F.col("l_orderkey").alias("o_orderkey"))
             .agg(F.array_sort(F.collect_list(F.struct(
-                "l_linenumber", "l_suppkey", "l_partkey", "s_name",
-                F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("part"),
-                "n_name", F.col("l_returnflag").alias("flag"),
+                "l_linenumber", "l_suppkey", "l_partkey", organization.alias("s_name"), part.alias("part"),
+                place.alias("n_name"), F.col("l_returnflag").alias("flag"),
                 F.to_date("l_shipdate").cast("string").alias("day")))).alias("lines"))
         )
         o = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(lines, "o_orderkey", "left")
@@ -189,13 +256,13 @@ class SampleModel:
         lines_col = F.coalesce("lines", F.expr(f"cast(array() as {dict(lines.dtypes)['lines']})"))
         day = F.to_date("o_orderdate").cast("string")
         customer = F.struct(
-            F.col("c_name").alias("name"),
+            person.alias("name"),
             F.when(faulty("1"), "alien").otherwise("person").alias("type"), F.lit("buyer").alias("context"))
         listed = F.flatten(F.transform(lines_col, lambda x: F.array(
             F.struct(x["s_name"].alias("name"), F.lit("organization").alias("type"), F.concat(F.lit("line "), x["l_linenumber"].cast("string")).alias("context")),
             F.struct(x["part"].alias("name"), F.lit("reference").alias("type"), F.concat(F.lit("line "), x["l_linenumber"].cast("string")).alias("context")))))
         triples = F.transform(lines_col, lambda x: F.struct(
-            F.upper("c_name").alias("subject"), F.lit("person").alias("subjectType"), x["flag"].alias("predicate"),
+            F.upper(person).alias("subject"), F.lit("person").alias("subjectType"), x["flag"].alias("predicate"),
             x["s_name"].alias("object"), F.lit("organization").alias("objectType"),
             x["n_name"].alias("location"), x["day"].alias("timestamp"), F.array(F.lit("trade")).alias("tags")))
         body = F.to_json(F.struct(
@@ -261,11 +328,6 @@ def sql_similarity(a: str, b: str) -> str:
     return f"(CASE WHEN len({a}) + len({b}) = 0 THEN 0 ELSE {shared}::DOUBLE / (len({a}) + len({b}) - {shared}) END)"
 
 
-def _registry_sql(kind: str, where: str, name: str, amount: str, label: str) -> str:
-    return (f"SELECT id, canonical_name AS {name}, n_chars::DECIMAL(15,2) AS {amount}, source AS {label} "
-            f"FROM named WHERE {where}")
-
-
 # Named table expressions, in an order in which each uses only earlier ones.
 SQL = {
     "doc": f"""SELECT o_orderkey AS id, 'DOC' || lpad(o_orderkey::VARCHAR, 8, '0') AS doc_id,
@@ -298,23 +360,32 @@ SQL = {
     "texts": """SELECT d.doc_id AS id, text AS full_text, lang, source, n_chars,
         CASE quality WHEN 1 THEN 'complete' WHEN 0 THEN 'failed' ELSE 'pending' END AS analysis_status
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
-    "named": """SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type AS canonical_name,
-        CASE p_type WHEN 'ECONOMY' THEN 'location' WHEN 'SMALL' THEN 'organization' ELSE 'person' END AS entity_type,
-        p_brand AS source, p_size::BIGINT AS n_chars FROM part""",
-    "grams": f"""SELECT canonical_name, {sql_trigrams('canonical_name')} AS g
-        FROM (SELECT DISTINCT canonical_name FROM named)""",
-    "alike": f"""SELECT a.canonical_name AS name1, b.canonical_name AS name2, {sql_similarity('a.g', 'b.g')} AS score
-        FROM grams a JOIN grams b ON len(a.g) * 10 >= len(b.g) * 7 AND len(b.g) * 10 >= len(a.g) * 7
-        WHERE 10 * len(list_intersect(a.g, b.g)) >= 7 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))
-        AND len(a.g) > 0""",
-    "short_grams": f"""SELECT name AS canonical_name, {sql_trigrams('name')} AS g FROM (SELECT DISTINCT p_name || ' ' || p_size AS name FROM part)""",
-    "short_alike": f"""SELECT a.canonical_name AS name1, b.canonical_name AS name2, {sql_similarity('a.g', 'b.g')} AS score
-        FROM short_grams a JOIN short_grams b ON len(a.g) * 10 >= len(b.g) * 7 AND len(b.g) * 10 >= len(a.g) * 7
-        WHERE 10 * len(list_intersect(a.g, b.g)) >= 7 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))
-        AND len(a.g) > 0""",
-    "ppp": _registry_sql("ppp", "n_chars <= 17", "borrower_name", "loan_amount", "lender"),
-    "fec": _registry_sql("fec", "n_chars > 17 AND n_chars <= 34", "contributor_name", "amount", "candidate_name"),
-    "grants": _registry_sql("grants", "n_chars > 34", "recipient_name", "award_amount", "awarding_agency"),
+    "named": f"""SELECT c_custkey * 10 + 1 AS id, {sql_customer('0')} AS canonical_name, 'person' AS entity_type, c_mktsegment AS source,
+            floor(c_acctbal)::BIGINT AS n_chars FROM customer
+        UNION ALL SELECT s_suppkey * 10 + 2, {sql_supplier('0')}, 'organization', 'supplier', floor(s_acctbal)::BIGINT FROM supplier
+        UNION ALL SELECT p_partkey * 10 + 3, {sql_part('0')}, CASE p_type WHEN 'ECONOMY' THEN 'location' WHEN 'SMALL' THEN 'organization' ELSE 'person' END,
+            p_brand, p_size::BIGINT FROM part""",
+    "ppp": f"""SELECT o_orderkey AS id, CASE o_orderpriority WHEN '5-LOW' THEN {sql_supplier('o_orderkey')} ELSE {sql_customer('o_orderkey')} END AS borrower_name,
+        o_totalprice::DECIMAL(15,2) AS loan_amount, o_orderpriority AS lender FROM orders JOIN customer ON o_custkey = c_custkey
+        JOIN supplier ON o_orderkey % (SELECT count(*) FROM supplier) = s_suppkey WHERE o_orderstatus <> 'F'""",
+    "fec": f"""SELECT o_orderkey AS id, {sql_customer('o_orderkey')} AS contributor_name, o_totalprice::DECIMAL(15,2) AS amount,
+        o_orderpriority AS candidate_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'""",
+    "grants": f"""SELECT o_orderkey AS id, {sql_part('o_orderkey')} AS recipient_name, o_totalprice::DECIMAL(15,2) AS award_amount,
+        o_orderpriority AS awarding_agency FROM orders JOIN part ON o_orderkey % (SELECT count(*) FROM part) = p_partkey""",
+    "grams": f"""SELECT canonical_name, {sql_trigrams('canonical_name')} AS g FROM (SELECT canonical_name FROM named
+        UNION SELECT borrower_name FROM ppp UNION SELECT contributor_name FROM fec UNION SELECT recipient_name FROM grants)""",
+    "own_grams": f"""SELECT n, {sql_trigrams('n')} AS g FROM (SELECT DISTINCT lower(canonical_name) AS n FROM named)""",
+    "listed_grams": f"""SELECT n, {sql_trigrams('n')} AS g FROM (SELECT lower(borrower_name) AS n FROM ppp
+        UNION SELECT lower(contributor_name) FROM fec UNION SELECT lower(recipient_name) FROM grants)""",
+    "alike": f"""SELECT a.n AS name1, b.n AS name2, {sql_similarity('a.g', 'b.g')} AS score FROM own_grams a JOIN listed_grams b
+        ON len(a.g) * 10 >= len(b.g) * 7 AND len(b.g) * 10 >= len(a.g) * 7
+        WHERE 17 * len(list_intersect(a.g, b.g)) >= 7 * (len(a.g) + len(b.g)) AND len(a.g) > 0""",
+    "spelling": f"""SELECT c_custkey * 10 + 1 AS id, {sql_customer('0')} AS name, c_custkey % 7 AS n_chars FROM customer
+        UNION ALL SELECT o_orderkey * 10 + 5, {sql_customer('o_orderkey')}, o_orderkey % 7 FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "short_grams": f"""SELECT n AS canonical_name, {sql_trigrams('n')} AS g FROM (SELECT DISTINCT lower(name) AS n FROM spelling)""",
+    "short_alike": """SELECT a.canonical_name AS name1, b.canonical_name AS name2 FROM short_grams a JOIN short_grams b
+        ON len(a.g) * 10 >= len(b.g) * 7 AND len(b.g) * 10 >= len(a.g) * 7
+        WHERE 17 * len(list_intersect(a.g, b.g)) >= 7 * (len(a.g) + len(b.g)) AND len(a.g) > 0""",
     "trip": """SELECT l_orderkey AS document_id, o_custkey * 10 + 1 AS subject_id,
         CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'accepted' ELSE 'ordered' END AS predicate,
         l_suppkey * 10 + 2 AS object_id, s_nationkey * 10 + 4 AS location_id, l_shipdate::DATE AS timestamp,

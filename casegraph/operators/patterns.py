@@ -222,6 +222,70 @@ def amount_clusters(
     )
 
 
+def money_flows(payments: DataFrame, window: int = 7, least_share: float = 0.5, steps: int = 4) -> DataFrame:
+    """(source, target, steps, path, amount, first_day, last_day, returns): money passed on, in 2 to ``steps`` payments.
+
+    ``payments`` is (payment, payer, payee, day, amount) with distinct payment ids. Who receives a
+    payment passes it on by one of at least ``least_share`` of its amount and not more than it, on a
+    later day within ``window`` days. ``amount`` is the least on the path, ``returns`` tells whether
+    it comes back to its source. Payments meet by entity and stretch of days, so a busy entity is
+    spread over time; days only go forward, so no payment is used twice.
+    """
+    stretch = F.floor(F.unix_date("day") / F.lit(window))
+    out = payments.where("payer IS NOT NULL AND payee IS NOT NULL AND amount IS NOT NULL AND day IS NOT NULL").select(
+        "payment", "payer", "payee", "day", "amount", stretch.alias("stretch"))
+    passed = out.select(
+        F.col("payer").alias("q"), "stretch", F.col("payment").alias("next"), F.col("payee").alias("to"), F.col("day").alias("on"), F.col("amount").alias("sum"))
+    paths = out.select(
+        F.col("payer").alias("source"), F.col("payee").alias("target"), F.lit(1).alias("steps"), F.array("payment").alias("path"), "amount",
+        F.col("amount").alias("last_amount"), F.col("day").alias("first_day"), F.col("day").alias("last_day"))
+    found = []
+    for _ in range(steps - 1):
+        # the next payment lies in the stretch of the last one or in the one after it
+        begin = F.floor(F.unix_date("last_day") / F.lit(window))
+        waiting = paths.withColumn("stretch", F.explode(F.array(begin, begin + 1)))
+        met = waiting.join(passed, (F.col("target") == F.col("q")) & (waiting["stretch"] == passed["stretch"])).where(
+            (F.col("on") > F.col("last_day")) & (F.datediff("on", "last_day") <= window)
+            & (F.col("sum") <= F.col("last_amount")) & (F.col("sum") >= F.col("last_amount") * least_share))
+        paths = checkpointed(met.select(
+            "source", F.col("to").alias("target"), (F.col("steps") + 1).alias("steps"), F.concat("path", F.array("next")).alias("path"),
+            F.least("amount", "sum").alias("amount"), F.col("sum").alias("last_amount"), "first_day", F.col("on").alias("last_day")))
+        found.append(paths)
+    every = found[0]
+    for longer in found[1:]:
+        every = every.unionByName(longer)
+    return every.drop("last_amount").withColumn("returns", F.col("source") == F.col("target"))
+
+
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """(id, degree, core): the largest k for which an entity lies in a group whose members have k neighbours in it.
+
+    Starting with the degree, every round takes the largest h of which h neighbours have h or more,
+    until nothing changes; that is the core number. Neighbours are counted by value, and no value
+    above one's own matters, so a hub holds at most as many counts as its own value.
+    """
+    plain = edges.where("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
+    both = checkpointed(mirrored(plain, "source", "target"))
+    degree = both.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    state = checkpointed(degree.withColumn("core", F.col("degree")))
+    below = Window.partitionBy("id").orderBy(F.desc("value"))
+    total = state.agg(F.sum("core")).first()[0]
+    while total is not None:
+        value = state.select(F.col("id").alias("target"), F.col("core").alias("theirs"))
+        counts = (
+            both.join(value, "target").select(F.col("source").alias("id"), "theirs")
+            .join(state.select("id", F.col("core").alias("own")), "id")
+            .groupBy("id", F.least("theirs", "own").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        )
+        best = counts.withColumn("reached", F.sum("n").over(below)).groupBy("id").agg(F.max(F.least("value", "reached")).alias("core"))
+        state = checkpointed(degree.join(best, "id"))
+        now = state.agg(F.sum("core")).first()[0]
+        if now == total:
+            break
+        total = now
+    return state.select("id", "degree", "core")
+
+
 def clustering(edges: DataFrame) -> DataFrame:
     """(id, degree, triangles, density): share of an entity's neighbour pairs that are connected.
 

@@ -8,16 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from casegraph.functions.text import normalize_name, parse_date, trigram_similarity, truncate_text, words as filter_words
 from casegraph.operators import aliases, cooccurrence as co, crossref, extraction, filters, patterns, ranking, search, traversal
 from casegraph.operators.search_index import SearchIndex
+from casegraph.operators.typos import typo_pairs
 from casegraph.plans.sample_model import (
     CUSTOMER, MARKER, ROOT, SampleModel, spelled, sql_customer, sql_part, sql_similarity, sql_supplier, sql_trigrams, sql_words, with_sql,
 )
 from casegraph.sources import analyses, lines, loading
+from casegraph.sources.exports import ChangeExport
 from casegraph.sources.lines import extract_documents
+from casegraph.sources.registry import load_registry
+from casegraph.sources.schemas import REGISTRIES as SCHEMAS
 from casegraph.streaming import ingest, stats
 from casegraph.workspace import checkpointed, scratch_dir, stored
 
@@ -152,9 +156,16 @@ _SHARED_DOCUMENTS = """SELECT a.entity_id AS source, b.entity_id AS target, doc_
     JOIN men b ON a.document_id = b.document_id AND a.entity_id < b.entity_id JOIN doc d ON d.id = a.document_id"""
 
 
-@query(_SHARED_DOCUMENTS, ("men", "doc"))
+@query(
+    f"""SELECT source, count(*) AS n, sum(target)::BIGINT AS targets, sum(right(doc_id, 8)::BIGINT * (target % 1009))::BIGINT AS digest,
+    min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM ({_SHARED_DOCUMENTS}) GROUP BY 1""", ("men", "doc"),
+)
 def q_connection_documents(m):
-    return co.pair_documents(m.mentions, m.documents)
+    """The shared documents of every pair, in one row for each lower end."""
+    number = F.right("doc_id", F.lit(8)).cast("bigint")
+    return co.pair_documents(m.mentions, m.documents).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("target").alias("targets"), F.sum(number * (F.col("target") % 1009)).alias("digest"),
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
 @query("SELECT id, document_count, connection_count FROM stats WHERE document_count > 0", ("stats",))
@@ -797,6 +808,52 @@ def q_graph_tables(m):
     return relations.select("src", "dst", "rel", "weight")
 
 
+@query(
+    """SELECT 'e' || e.id AS id, CASE WHEN e.entity_type = 'location' THEN 'removed' WHEN e.entity_type = 'organization' THEN 'added' ELSE 'changed' END AS change,
+    CASE WHEN e.entity_type <> 'location' THEN '1' END AS layer FROM named e WHERE e.entity_type IN ('location', 'organization') OR e.n_chars % 5 = 0""",
+    ("named",),
+)
+def q_export_changes(m):
+    """The graph's nodes exported twice: organizations come, locations go, some persons get a layer."""
+    people = m.named.select("id", "canonical_name", "entity_type", "n_chars")
+    first = people.where("entity_type <> 'organization'").withColumn("layer", F.lit(0))
+    moved = (F.col("n_chars") % 5 == 0) | (F.col("entity_type") == "organization")
+    second = people.where("entity_type <> 'location'").withColumn("layer", F.when(moved, F.lit(1)).otherwise(F.lit(0)))
+
+    export = ChangeExport(m.spark, scratch_dir(m.spark, "export"), {"id": "STRING"}, 16)
+    export.export(loading.entity_nodes(first), 1)
+    return export.export(loading.entity_nodes(second), 2).select("id", "change", F.col("props")["layer"].alias("layer"))
+
+
+@query(
+    """SELECT 'good' AS kind, o_orderkey % 7 AS fault, count(*) AS n, sum(o_totalprice::DECIMAL(15,2))::DOUBLE AS amount FROM orders WHERE o_orderkey % 7 > 4 OR o_orderkey % 7 = 0 GROUP BY ALL
+    UNION ALL SELECT CASE o_orderkey % 7 WHEN 1 THEN 'invalid loan_amount' WHEN 2 THEN 'wrong number of fields' WHEN 3 THEN 'no borrower_name'
+        ELSE 'invalid loan_amount; invalid date_approved' END, NULL, count(*), NULL FROM orders WHERE o_orderkey % 7 IN (1, 2, 3, 4) GROUP BY ALL"""
+)
+def q_load_registry(m):
+    """A loan registry written as CSV, a row for each order; four in seven rows have a fault."""
+    key = F.col("o_orderkey")
+    fault = key % 7
+    columns = T.StructType.fromDDL(SCHEMAS["ppp"]).fieldNames()
+    value = {
+        "id": key.cast("string"), "borrower_name": F.when(fault == 3, "").otherwise(F.concat(F.lit('Loan, "to" '), key.cast("string"))),
+        "loan_amount": F.when(fault == 1, "12.3x").when(fault == 4, "1.234").otherwise(F.col("o_totalprice").cast("decimal(15,2)").cast("string")),
+        "loan_number": fault.cast("string"), "date_approved": F.when(fault == 4, "1999-13-01").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")),
+    }
+    quoted = [F.concat(F.lit('"'), F.replace(value.get(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns]
+    line = F.when(fault == 2, F.concat(key.cast("string"), F.lit(",short"))).otherwise(F.concat_ws(",", *quoted))
+    folder = scratch_dir(m.spark, "registry")
+    header = m.spark.range(1).select(F.lit(",".join(columns)).alias("value"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("part"), F.lit(0).alias("n"))
+    rows = m.table("orders").select(line.alias("value"), (key % 8).cast("int").alias("part"), F.lit(1).alias("n")).unionByName(header)
+    # every file begins with the header line
+    rows.repartition(8, "part").sortWithinPartitions("part", "n").select("value", "part").write.partitionBy("part").text(f"{folder}/csv")
+    good, rejected = load_registry(m.spark, f"{folder}/csv", "ppp")
+    counted = good.groupBy(F.lit("good").alias("kind"), F.col("loan_number").cast("bigint").alias("fault")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("loan_amount").cast("double").alias("amount"))
+    return counted.unionByName(rejected.groupBy(F.array_join("reasons", "; ").alias("kind")).agg(
+        F.count(F.lit(1)).alias("n")).withColumn("fault", F.lit(None).cast("bigint")).withColumn("amount", F.lit(None).cast("double")))
+
+
 # --- traversal ------------------------------------------------------------------------------
 
 @query(
@@ -923,16 +980,20 @@ def q_pattern_features(m):
 
 
 @query(
-    """, heavy AS MATERIALIZED (SELECT source, target FROM netboth),
-    degree AS (SELECT source, count(*) AS d FROM heavy GROUP BY 1)
-    SELECT p.source, p.target, shared, round(shared / (x.d + y.d - shared), 6) AS jaccard FROM (
-    SELECT a.target AS source, b.target AS target, count(*) AS shared FROM heavy a JOIN heavy b ON a.source = b.source
-    AND a.target < b.target GROUP BY ALL HAVING count(*) >= 2) p JOIN degree x ON x.source = p.source
-    JOIN degree y ON y.source = p.target ANTI JOIN heavy h ON h.source = p.source AND h.target = p.target""", ("netboth",),
+    """, degree AS (SELECT source, count(*) AS d FROM sym GROUP BY 1),
+    met AS MATERIALIZED (SELECT a.target AS source, b.target AS target, count(*) AS shared FROM sym a JOIN sym b ON a.source = b.source
+        AND a.target < b.target GROUP BY ALL HAVING count(*) >= 2),
+    apart AS (SELECT met.*, shared / (x.d + y.d - shared) AS jaccard FROM met ANTI JOIN pairs USING (source, target)
+        JOIN degree x ON x.source = met.source JOIN degree y ON y.source = met.target)
+    SELECT source, count(*) AS n, sum(shared)::BIGINT AS shared, sum(target)::BIGINT AS targets, max(shared) AS most, round(max(jaccard), 6) AS closest
+    FROM apart GROUP BY 1""", ("sym",),
 )
 def q_indirect_pairs(m):
-    rows = patterns.indirect_pairs(m.network)
-    return rows.select("source", "target", "shared", _r("jaccard"))
+    """All pairs over every edge of all types, in one row for each lower end: they are almost as many as pairs of entities."""
+    rows = patterns.indirect_pairs(m.every_edge)
+    return rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("shared").alias("shared"), F.sum("target").alias("targets"), F.max("shared").alias("most"),
+        F.round(F.max("jaccard"), 6).alias("closest"))
 
 
 _DAILY = "daily AS MATERIALIZED (SELECT user_id AS entity_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL)"
@@ -1017,6 +1078,44 @@ def q_density_outliers(m):
     return patterns.density_outliers(m.network).select("id", "degree", "triangles", _r("density"), _r("z", 5))
 
 
+@query(
+    """, flow AS (SELECT payer AS source, payee AS target, 1 AS steps, payment AS path, amount, amount AS last_amount, day AS first_day, day AS last_day FROM pay
+    UNION ALL SELECT f.source, p.payee, f.steps + 1, f.path || ' ' || p.payment, least(f.amount, p.amount), p.amount, f.first_day, p.day
+    FROM flow f JOIN pay p ON p.payer = f.target AND p.day > f.last_day AND p.day <= f.last_day + 7
+        AND p.amount <= f.last_amount AND p.amount * 2 >= f.last_amount WHERE f.steps < 4)
+    SELECT source, target, steps, path, amount::DOUBLE AS amount, first_day::VARCHAR AS first_day, last_day::VARCHAR AS last_day, source = target AS returns
+    FROM flow WHERE steps >= 2""", ("pay",),
+)
+def q_money_flows(m):
+    return patterns.money_flows(m.payments, 7, 0.5, 4).select(
+        "source", "target", "steps", F.array_join("path", " ").alias("path"), F.col("amount").cast("double").alias("amount"), _day("first_day"), _day("last_day"), "returns")
+
+
+def _core_sql(rounds: int) -> str:
+    """Rounds of the h-index of neighbours, from the degree on; the last one must change nothing."""
+    steps = [", d AS MATERIALIZED (SELECT source AS id, count(*) AS degree FROM netboth GROUP BY 1), c0 AS MATERIALIZED (SELECT id, degree AS core FROM d)"]
+    for i in range(rounds):
+        steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT id, max(least(core, place)) AS core FROM (
+    SELECT n.source AS id, c.core, row_number() OVER (PARTITION BY n.source ORDER BY c.core DESC) AS place FROM netboth n JOIN c{i} c ON c.id = n.target) GROUP BY 1)""")
+    last = f"c{rounds}"
+    return ",\n".join(steps) + (
+        f" SELECT d.id, degree, CASE WHEN {last}.core = c{rounds - 1}.core THEN {last}.core END AS core FROM d JOIN {last} USING (id) JOIN c{rounds - 1} USING (id)")
+
+
+@query(_core_sql(24), ("netboth",))
+def q_core_numbers(m):
+    return patterns.core_numbers(m.network)
+
+
+@query(
+    """, n AS MATERIALIZED (SELECT DISTINCT lower(name) AS name FROM spelling)
+    SELECT a.name AS name1, b.name AS name2, damerau_levenshtein(a.name, b.name)::INT AS edits FROM n a JOIN n b
+    ON a.name < b.name AND abs(length(a.name) - length(b.name)) <= 2 WHERE damerau_levenshtein(a.name, b.name) <= 2""", ("spelling",),
+)
+def q_typo_pairs(m):
+    return typo_pairs(m.spellings.select(F.lower("name").alias("name")), "name", 2)
+
+
 @query(
     f""", fdoc AS (SELECT id FROM doc WHERE date_latest >= DATE '1996-01-01' AND date_earliest <= DATE '1998-12-31' AND document_type = '1-URGENT'),
     fmen AS MATERIALIZED (SELECT * FROM men WHERE document_id IN (SELECT id FROM fdoc)),

@@ -302,6 +302,19 @@ class SampleModel:
         self.table("orders").select(F.concat(F.lit("DOC"), F.lpad(key, 8, "0"), F.lit("\nOrder "), key)).write.text(folder)
         return folder
 
+    @cached_property
+    def payments(self) -> DataFrame:
+        """Customers pay the suppliers of an order on its day; suppliers pay returned lines back when they are shipped."""
+        lines = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        customer, supplier = (F.col("o_custkey") * 10 + 1).alias("customer"), (F.col("l_suppkey") * 10 + 2).alias("supplier")
+        amount = F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("decimal(15,2)").alias("amount")
+        paid = lines.groupBy("o_orderkey", customer, supplier, F.to_date("o_orderdate").alias("day")).agg(amount)
+        back = lines.where("l_returnflag = 'R'").groupBy("o_orderkey", customer, supplier, F.to_date("l_shipdate").alias("day")).agg(amount)
+        return paid.select(
+            F.concat_ws("-", F.lit("p"), "o_orderkey", "supplier").alias("payment"), F.col("customer").alias("payer"), F.col("supplier").alias("payee"), "day", "amount",
+        ).unionByName(back.select(
+            F.concat_ws("-", F.lit("r"), "o_orderkey", "supplier", "day").alias("payment"), F.col("supplier").alias("payer"), F.col("customer").alias("payee"), "day", "amount"))
+
     @cached_property
     def activity(self) -> DataFrame:
         return self.table("events").select(F.col("user_id").alias("entity_id"), "ts")
@@ -391,6 +404,10 @@ SQL = {
         l_suppkey * 10 + 2 AS object_id, s_nationkey * 10 + 4 AS location_id, l_shipdate::DATE AS timestamp,
         l_linenumber AS sequence_order
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey""",
+    "pay": """SELECT 'p-' || o_orderkey || '-' || (l_suppkey * 10 + 2) AS payment, o_custkey * 10 + 1 AS payer, l_suppkey * 10 + 2 AS payee,
+            o_orderdate::DATE AS day, sum(l_extendedprice::DECIMAL(15,2)) AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
+        UNION ALL SELECT 'r-' || o_orderkey || '-' || (l_suppkey * 10 + 2) || '-' || l_shipdate::DATE, l_suppkey * 10 + 2, o_custkey * 10 + 1,
+            l_shipdate::DATE, sum(l_extendedprice::DECIMAL(15,2)) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY ALL""",
     "hyp": """SELECT o_orderkey AS id, c_custkey, o_orderpriority AS pattern_type, o_orderdate AS discovered_at,
         CASE o_orderstatus WHEN 'F' THEN 'validated' WHEN 'P' THEN 'rejected' ELSE 'hypothesis' END AS status
         FROM orders JOIN customer ON o_orderkey % (SELECT count(*) FROM customer) = c_custkey""",

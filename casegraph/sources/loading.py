@@ -234,24 +234,31 @@ def save_findings(hypotheses: DataFrame, entities: DataFrame, key: str = "id") -
     )
 
 
+def node(prefix: str, c: str) -> Column:
+    return F.concat(F.lit(prefix), F.col(c).cast("string"))
+
+
+def props(**columns: Column) -> Column:
+    return F.map_from_arrays(
+        F.array(*map(F.lit, columns)), F.array(*[c.cast("string") for c in columns.values()])
+    )
+
+
+def entity_nodes(entities: DataFrame) -> DataFrame:
+    """Entities as (id, label, props) nodes of the graph."""
+    return entities.select(
+        node("e", "id").alias("id"), F.initcap("entity_type").alias("label"),
+        props(name=F.col("canonical_name"), layer=F.col("layer")).alias("props"),
+    )
+
+
 def graph_tables(
     entities: DataFrame, documents: DataFrame, mentions: DataFrame, edges: DataFrame,
     triples: DataFrame, matches: DataFrame,
 ) -> tuple[DataFrame, DataFrame]:
     """The graph as (id, label, props) nodes and (src, dst, rel, weight, props) edges."""
 
-    def node(prefix: str, c: str) -> Column:
-        return F.concat(F.lit(prefix), F.col(c).cast("string"))
-
-    def props(**columns: Column) -> Column:
-        return F.map_from_arrays(
-            F.array(*map(F.lit, columns)), F.array(*[c.cast("string") for c in columns.values()])
-        )
-
-    nodes = entities.select(
-        node("e", "id").alias("id"), F.initcap("entity_type").alias("label"),
-        props(name=F.col("canonical_name"), layer=F.col("layer")).alias("props"),
-    ).unionByName(
+    nodes = entity_nodes(entities).unionByName(
         documents.select(
             node("d", "id").alias("id"), F.lit("Document").alias("label"),
             props(name=F.col("doc_id"), type=F.col("document_type")).alias("props"),

@@ -1,5 +1,7 @@
+import datetime
 import random
 from collections import defaultdict
+from decimal import Decimal
 from itertools import combinations
 
 import pytest
@@ -172,3 +174,38 @@ def test_patterns(spark):
     findings = spark.createDataFrame([(1, [1, 2]), (2, [1, 9]), (3, [])], "id long, entity_ids array<long>")
     checked = {x.id: (x.pairs, x.supported, x.documents, x.status) for x in patterns.validate_findings(findings, mentions(spark, CHAIN)).collect()}
     assert checked == {1: (1, 1, 1, "validated"), 2: (1, 0, 0, "rejected"), 3: (0, 0, 0, "rejected")}
+
+
+def test_core_numbers_equal_peeling(spark):
+    chance = random.Random(6)
+    pairs = {tuple(sorted(chance.sample(range(40), 2))) for _ in range(150)} | {(a, b) for a in range(50, 57) for b in range(50, a)} | {(60, x) for x in range(30)}
+    around = {}
+    for a, b in pairs:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    left, core, k = {v: set(n) for v, n in around.items()}, {}, 0
+    while left:
+        v = min(left, key=lambda x: len(left[x]))
+        k = max(k, len(left[v]))
+        core[v] = k
+        for u in left.pop(v):
+            left[u].discard(v)
+    rows = [(a, b, 1) for a, b in pairs] + [(b, a, 1) for a, b in list(pairs)[:20]] + [(5, 5, 1)]
+    got = {r.id: (r.degree, r.core) for r in patterns.core_numbers(spark.createDataFrame(rows, "source long, target long, weight long")).collect()}
+    assert got == {v: (len(around[v]), core[v]) for v in around} and max(core.values()) >= 6
+    assert patterns.core_numbers(spark.createDataFrame([], "source long, target long")).count() == 0
+
+
+def test_money_flows_equal_brute_force(spark):
+    chance = random.Random(9)
+    day = datetime.date(2000, 1, 1)
+    rows = [(f"p{i}", chance.randint(0, 6), chance.randint(0, 6), day + datetime.timedelta(chance.randint(0, 60)), Decimal(chance.randint(50, 100))) for i in range(120)]
+    want, paths = set(), [[r] for r in rows]
+    for _ in range(3):
+        paths = [[*p, r] for p in paths for r in rows if r[1] == p[-1][2] and 0 < (r[3] - p[-1][3]).days <= 7 and p[-1][4] * Decimal("0.5") <= r[4] <= p[-1][4]]
+        want |= {(p[0][1], p[-1][2], len(p), tuple(r[0] for r in p), min(r[4] for r in p), p[0][3], p[-1][3], p[0][1] == p[-1][2]) for p in paths}
+    schema = "payment string, payer long, payee long, day date, amount decimal(15,2)"
+    nulls = [("n1", None, 1, day, Decimal(1)), ("n2", 1, None, day, Decimal(1)), ("n3", 1, 2, None, Decimal(1)), ("n4", 1, 2, day, None)]
+    got = patterns.money_flows(spark.createDataFrame(rows + nulls, schema)).collect()
+    assert {(r.source, r.target, r.steps, tuple(r.path), r.amount, r.first_day, r.last_day, r.returns) for r in got} == want
+    assert len(got) == len(want) and {w[2] for w in want} == {2, 3, 4}

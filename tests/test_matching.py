@@ -3,9 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from casegraph.functions.edits import edits
 from casegraph.functions.text import trigram_list
 from casegraph.operators import aliases, crossref
 from casegraph.operators.similarity import similarity_join
+from casegraph.operators.typos import typo_pairs
 
 
 def names(n, seed):
@@ -75,3 +77,22 @@ def test_alias_clusters(spark):
     assert canonical["Acme LLC"] == "ACME, Inc." and canonical["Robert Stone"] == "Bob Stone"
     assert canonical["M. Doe"] == "M. Doe"  # two full names compete, so it stays alone
     assert {r.original_name for r in aliases.alias_table(got).collect()} == {"J. Smith", "John Q. Smith", "Acme LLC", "Robert Stone"}
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_typo_pairs_equal_brute_force(spark, most):
+    chance = random.Random(most)
+    names = {"".join(chance.choice("abcé ") for _ in range(chance.randint(0, 7))) for _ in range(160)} | {"ca", "abc", "Jon Smith", "Jno Smith", "Jon Smiht"}
+    rows = spark.createDataFrame([(n,) for n in names] + [(None,), ("ca",)], "name string").repartition(4)
+    want = {(a, b, d) for a in names for b in names if a < b and (d := edits(a, b)) <= most}
+    for hub in (2_000, 3):
+        got = {tuple(r) for r in typo_pairs(rows, "name", most, hub_size=hub).collect()}
+        assert got == want
+    with pytest.raises(ValueError):
+        typo_pairs(rows, "name", 3)
+
+
+def test_edits_and_reading_errors(spark):
+    assert [edits(a, b) for a, b in (("ca", "abc"), ("", "ab"), ("abc", "abc"), ("abcd", "badc"), ("kitten", "sitting"))] == [2, 2, 0, 2, 3]
+    rows = spark.createDataFrame([("C0rn 81ll",), ("com bill",), ("other",)], "name string")
+    assert [tuple(r) for r in typo_pairs(rows, "name", 1, confusable=True).collect()] == [("C0rn 81ll", "com bill", 0)]

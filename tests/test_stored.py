@@ -2,13 +2,17 @@
 
 import random
 from collections import Counter
+from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from casegraph.operators.cooccurrence import entity_stats
 from casegraph.sources import loading
 from casegraph.sources.bucketed import BucketedTable
+from casegraph.sources.exports import ChangeExport
+from casegraph.sources.registry import load_registry
+from casegraph.sources.schemas import REGISTRIES as SCHEMAS
 from casegraph.streaming import ingest, stats
 from casegraph.workspace import scratch_dir
 
@@ -117,3 +121,40 @@ def test_settled_documents_are_found_by_bucket(spark):
     status = spark.read.parquet(f"{out}/status")
     assert status.count() == 50 and status.where("batch_id = 1").count() == 20
     assert ingest.settled(spark, out).read().count() == 50
+
+
+def test_registry_rows_with_faults_are_kept_apart(spark, tmp_path):
+    header = ",".join(T.StructType.fromDDL(SCHEMAS["fec"]).fieldNames())
+
+    def row(**fields):
+        return ",".join(fields.get(c, "") for c in header.split(","))
+
+    lines = [
+        row(id="1", contributor_name='"Doe, ""J"""', amount="12.50", contribution_date="2000-02-29"), row(id="2", contributor_name="Ann", amount="x"),
+        row(id="3", contributor_name="Ann", amount="1.555", contribution_date="2001-02-29"), row(id="4"), row(contributor_name="Ann"), "5,short",
+        row(id="6", contributor_name="Ann") + ",more", row(id="9999999999999999999", contributor_name="Ann"), row(id="8", contributor_name=" Zoë ", amount="12345678901.00"),
+        row(id="9", contributor_name="Bo"),
+    ]
+    (tmp_path / "a.csv").write_text("\n".join([header, *lines[:5]]))
+    (tmp_path / "b.csv").write_text("\n".join([header, *lines[5:]]))
+    good, rejected = load_registry(spark, str(tmp_path), "fec")
+    assert {(r.id, r.contributor_name, r.amount, str(r.contribution_date), r.normalized_name) for r in good.collect()} == {
+        (1, 'Doe, "J"', Decimal("12.50"), "2000-02-29", "doe j"), (9, "Bo", None, "None", "bo")}
+    assert good.select("id").count() == 2 and rejected.count() == 8
+    assert sorted(tuple(r.reasons) for r in rejected.collect()) == sorted([
+        ("invalid amount",), ("invalid amount", "invalid contribution_date"), ("no contributor_name",), ("no id",), ("wrong number of fields",),
+        ("wrong number of fields",), ("invalid id",), ("invalid amount",)])
+    assert "5,short" in {r.line for r in rejected.collect()}
+
+
+def test_exports_write_differences_only(spark):
+    export = ChangeExport(spark, scratch_dir(spark, "export"), {"id": "STRING"}, 4)
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, label string, props map<string,string>")
+    first = rows(("a", "X", {"p": "1", "q": None}), ("b", "X", None), ("c", None, {}))
+    second = rows(("a", "X", {"q": None, "p": "1"}), ("b", "Y", None), ("d", "Z", {"p": "2"}))
+    assert {(r.id, r.change) for r in export.export(first, 1).collect()} == {("a", "added"), ("b", "added"), ("c", "added")}
+    for _ in range(2):  # a repeat writes the same
+        assert {(r.id, r.change) for r in export.export(second, 2).collect()} == {("b", "changed"), ("c", "removed"), ("d", "added")}
+    assert export.export(second, 3).count() == 0
+    assert {(r.id, r.label) for r in export.replay([1, 2, 3]).collect()} == {("a", "X"), ("b", "Y"), ("d", "Z")}
+    assert {r.id: r.props for r in export.replay([1, 2]).collect()}["a"] == {"p": "1", "q": None}

@@ -13,7 +13,7 @@ from casegraph.functions.edits import edit_distance
 from casegraph.operators.pairs import meet_in_groups
 
 # Characters that scanning mixes up, and what they are taken for.
-CONFUSED, TAKEN_FOR = "015|$8", "olslsb"
+CONFUSED, TAKEN_FOR = "015|$8i", "olslsbl"
 
 
 def plain_letters(c: Column) -> Column:

@@ -5,7 +5,7 @@ position a codebook of ``ENTRIES`` entries is refined in rounds: every part goes
 entry, then an entry becomes the componentwise floor of its parts' mean. The work of a round is a
 depth-first walk of a lexicographic trie: a node holds the squared distances between the entries
 and the dimensions read so far, so parts with a common prefix share them; a leaf adds what is left
-of its part, takes the least, and adds its count and weighted sum to that entry.
+of its parts, takes the least of each, and adds their counts and weighted sums to those entries.
 
 Equal parts are one leaf with a weight, over all vectors: copies are counted before the rounds, in
 one shuffle, and each task holds its parts in lexicographic order. Only 16 entries a position and
@@ -36,6 +36,8 @@ PARTS = 8
 ENTRIES = 16
 ROUNDS = 6
 SCALE = 4096
+LEAF = 32  # parts below a trie node that are a leaf together
+CHUNK = 8192
 LARGEST = 1 << 62
 SAFE = 1 << 26  # sizes up to this keep the distances of 64-bit arithmetic exact
 
@@ -57,7 +59,8 @@ def walk(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(nearest entry, squared distance) of distinct ``parts`` in lexicographic order; ties to the lower entry.
 
     Depth first: a node stands for the rows begin..end that agree in the first ``depth`` dimensions.
-    Chains without a branch end at once: a child with a single row is a leaf.
+    A child with at most ``LEAF`` rows is a leaf, and the leaves of a node are closed together: their
+    rows start from the distances of the prefix that they share and add their other dimensions.
     """
     n, width = parts.shape
     nearest, least = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=parts.dtype)
@@ -76,11 +79,14 @@ def walk(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray
         sizes = np.diff(np.append(starts, end - begin))
         step = column[starts][:, None] - entries[:, depth][None, :]
         child = begun + step * step
-        single = sizes == 1
-        if single.any():
-            rows = begin + starts[single]
-            close(rows, _leaves(parts[rows], entries, child[single], depth + 1))
-        for i in np.flatnonzero(~single)[::-1]:
+        small = sizes <= LEAF
+        if small.any():
+            rows = begin + np.flatnonzero(np.repeat(small, sizes))
+            shared = np.repeat(np.flatnonzero(small), sizes[small])
+            for k in range(0, len(rows), CHUNK):
+                some = rows[k : k + CHUNK]
+                close(some, _leaves(parts[some], entries, child[shared[k : k + CHUNK]], depth + 1))
+        for i in np.flatnonzero(~small)[::-1]:
             stack.append((begin + starts[i], begin + starts[i] + sizes[i], depth + 1, child[i]))
     return nearest, least
 

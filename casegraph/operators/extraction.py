@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casegraph.workspace import stored
@@ -105,13 +107,12 @@ def gazetteer_mentions(documents: DataFrame, gazetteer: DataFrame) -> DataFrame:
 STRIDE = 256  # words whose lengths are added up together
 
 
-def _first_mentions(documents: DataFrame, asked: DataFrame) -> DataFrame:
-    """Offsets and contexts of the asked places (in words) of each document.
+def with_word_offsets(rows: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], tuple[Column, Column]]]:
+    """``rows`` (full_text) with helper columns, and a function of a run's place and words to its begin and end.
 
-    The characters before a word are added up by strides of words, then by words, so that no place
-    costs the text before it.
+    Both are in characters, the end exclusive. The characters before a word are added up by strides
+    of words, then by words, so that no place costs the text before it.
     """
-    rows = documents.select(F.col("id").alias("document_id"), "full_text").join(asked, "document_id")
     rows = rows.withColumn("g", F.transform(F.split("full_text", RUN, -1), F.length))
     words_ = F.regexp_extract_all("full_text", F.lit(RUN), F.lit(0))
     rows = rows.withColumn("l", F.transform(words_, lambda x, i: F.length(x) + F.get("g", i)))
@@ -126,9 +127,15 @@ def _first_mentions(documents: DataFrame, asked: DataFrame) -> DataFrame:
         stride = F.floor(place / STRIDE).cast("int")
         return total(F.slice("s", F.lit(1), stride)) + total(F.slice("l", stride * STRIDE + 1, place - stride * STRIDE))
 
+    return rows, lambda place, n: (before(place) + F.get("g", place), before(place + n))
+
+
+def _first_mentions(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """Offsets and contexts of the asked places (in words) of each document."""
+    rows, span = with_word_offsets(documents.select(F.col("id").alias("document_id"), "full_text").join(asked, "document_id"))
+
     def mention(a: Column) -> Column:
-        begin = before(a["place"]) + F.get("g", a["place"])
-        end = before(a["place"] + a["n"])
+        begin, end = span(a["place"], a["n"])
         lead = F.least(begin, F.lit(CONTEXT))
         return F.struct(a["name"].alias("name"), a["entity_type"].alias("entity_type"), a["mention_count"].alias("mention_count"), begin.alias("first_mention"),
                         F.substring("full_text", begin - lead + 1, lead + end - begin + CONTEXT).alias("context_snippet"))

@@ -368,10 +368,16 @@ def validate_findings(findings: DataFrame, mentions: DataFrame, min_share: float
     named = stored(findings.select("id", F.explode(F.array_distinct("entity_ids")).alias("entity_id")), "named")
     pairs = emit_pairs(named, "id", "entity_id", hub_groups(named, "id")).select(
         "id", F.col("item1").alias("a"), F.col("item2").alias("b"))
-    # paired inside each document, among the entities that findings name
-    kept = mentions.join(named.select("entity_id").distinct(), "entity_id", "left_semi")
-    support = pair_counts(kept, "document_id", "entity_id").select(
-        F.col("item1").alias("a"), F.col("item2").alias("b"), F.col("shared").alias("n"))
+    # only asked pairs are counted, each from its end with fewer documents
+    asked = pairs.select("a", "b").distinct()
+    held = stored(mentions.select("document_id", "entity_id").join(named.select("entity_id").distinct(), "entity_id", "left_semi").distinct(), "held")
+    size = held.groupBy("entity_id").agg(F.count(F.lit(1)).alias("size"))
+    sized = asked.join(size.select(F.col("entity_id").alias("a"), F.col("size").alias("size_a")), "a").join(
+        size.select(F.col("entity_id").alias("b"), F.col("size").alias("size_b")), "b")
+    fewer = F.col("size_a") <= F.col("size_b")
+    ends = sized.select("a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("entity_id"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    together = ends.join(held, "entity_id").join(held.withColumnRenamed("entity_id", "other"), ["document_id", "other"], "left_semi")
+    support = together.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     per_finding = (
         pairs.join(support, ["a", "b"], "left")
         .groupBy("id")

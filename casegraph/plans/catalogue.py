@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from casegraph.functions.text import normalize_name, parse_date, trigram_similarity, truncate_text, words as filter_words
 from casegraph.operators import aliases, cooccurrence as co, crossref, extraction, filters, patterns, ranking, search, traversal
+from casegraph.operators.evidence import evidence_chains, locate_quotes
 from casegraph.operators.search_index import SearchIndex
 from casegraph.operators.typos import typo_pairs
 from casegraph.plans.sample_model import (
@@ -1146,6 +1147,58 @@ def q_validate_findings(m):
     return patterns.validate_findings(m.findings, m.mentions).withColumn("confidence", F.round("confidence", 6))
 
 
+def _quotes(m):
+    """Each sentence of the benchmark, once as it is, once without its middle word, once with its words turned round."""
+    sentences = m.table("benchmark").select(F.col("item_id").alias("finding_id"), F.posexplode(F.split("text", r"[.\n]")).alias("s", "text"))
+    w = filter_words(F.col("text"))
+    half = F.floor(F.size(w) / 2).cast("int")
+    told = [w, F.concat(F.slice(w, 1, half), F.slice(w, half + 2, F.size(w))), F.reverse(w)]
+    forms = F.array(*[F.struct(F.lit(f).alias("f"), F.array_join(t, " ").alias("quote")) for f, t in enumerate(told)])
+    rows = sentences.where(F.size(w) > 0).select("finding_id", "s", F.explode(forms).alias("form"))
+    return rows.select("finding_id", (F.col("s") * 3 + F.col("form.f")).alias("quote_no"), "form.quote")
+
+
+_LOCATED = rf"""WITH RECURSIVE sentences AS MATERIALIZED (SELECT item_id, s - 1 AS s, {sql_words('parts[s]')} AS w
+        FROM (SELECT item_id, parts, unnest(range(1, len(parts) + 1)) AS s FROM (SELECT item_id, regexp_split_to_array(text, '[.\n]') AS parts FROM benchmark))),
+    told AS (SELECT item_id, s * 3 AS no, w FROM sentences WHERE len(w) > 0
+        UNION ALL SELECT item_id, s * 3 + 1, list_concat(w[1:len(w) // 2], w[len(w) // 2 + 2:]) FROM sentences WHERE len(w) > 0
+        UNION ALL SELECT item_id, s * 3 + 2, list_reverse(w) FROM sentences WHERE len(w) > 0),
+    quotes AS MATERIALIZED (SELECT item_id * 1000 + no AS q, w, len(w) AS n FROM told WHERE len(w) > 0),
+    texts AS MATERIALIZED (SELECT doc_id AS id, {sql_words('text')} AS t, text FROM documents),
+    tokens AS MATERIALIZED (SELECT id, unnest(t) AS term, generate_subscripts(t, 1) AS p FROM texts),
+    exact AS MATERIALIZED (SELECT q, id, p, p + n - 1 AS last, n FROM quotes JOIN tokens ON term = w[1] JOIN texts USING (id) WHERE t[p:p + n - 1] = w),
+    chains AS (SELECT q, id, 1 AS k, p, p AS last FROM quotes ANTI JOIN exact USING (q) JOIN tokens ON term = w[1]
+        UNION SELECT c.q, c.id, c.k + 1, c.p, tokens.p FROM chains c JOIN quotes ON quotes.q = c.q
+        JOIN tokens ON tokens.id = c.id AND term = w[k + 1] AND tokens.p > c.last AND tokens.p <= c.last + 4 WHERE k < n),
+    every AS (SELECT q, id, p, last, n FROM exact UNION ALL SELECT q, id, p, last, n FROM chains JOIN quotes USING (q) WHERE k = n),
+    best AS (SELECT q, id, min([last - p + 1 - n, p]) AS b, any_value(n) AS n FROM every GROUP BY ALL),
+    cut AS (SELECT q, id, n, b[1] AS skipped, list_sum(list_transform(string_split_regex(text, '[\p{{L}}\p{{N}}]+')[1:b[2]], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')[1:b[2] - 1], lambda x: length(x))), 0) AS start,
+        list_sum(list_transform(string_split_regex(text, '[\p{{L}}\p{{N}}]+')[1:b[2] + n + b[1] - 1], lambda x: length(x)))
+        + list_sum(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')[1:b[2] + n + b[1] - 1], lambda x: length(x))) AS "end", text
+        FROM best JOIN texts USING (id)),
+    located AS MATERIALIZED (SELECT q, id, n, skipped::INT AS skipped, start::INT AS start, "end"::INT AS "end", text[start + 1:"end"] AS passage FROM cut)"""
+
+
+@query(_LOCATED + """SELECT q AS quote_id, id AS document_id, skipped, start, "end", passage FROM located""")
+def q_quoted_evidence(m):
+    quotes = _quotes(m).select((F.col("finding_id") * 1000 + F.col("quote_no")).alias("quote_id"), "quote")
+    return locate_quotes(quotes, m.texts)
+
+
+@query(
+    _LOCATED + """, cited AS (SELECT q, any_value(n) AS n, min([skipped, id, start, "end"]) AS c FROM located GROUP BY q)
+    SELECT item_id AS finding_id, count(*) AS quotes, count(c) AS located, count(*) FILTER (c[1] = 0) AS exact,
+    round(avg(coalesce(n / (n + c[1]), 0)), 6) AS confidence, CASE WHEN avg(coalesce(n / (n + c[1]), 0)) >= 0.5 THEN 'validated' ELSE 'rejected' END AS status,
+    coalesce(string_agg(no || ':' || c[2] || ':' || c[3] || ':' || c[4], ',' ORDER BY no) FILTER (c IS NOT NULL), '') AS citations
+    FROM told LEFT JOIN cited ON q = item_id * 1000 + no GROUP BY 1"""
+)
+def q_evidence_chains(m):
+    links = F.transform("chain", lambda c: F.concat_ws(":", c["quote_no"], c["document_id"], c["start"], c["end"]))
+    return evidence_chains(_quotes(m), m.texts).select(
+        "finding_id", "quotes", "located", "exact", _r("confidence"), "status", F.array_join(links, ",").alias("citations"))
+
+
 # --- streams and the pipeline ---------------------------------------------------------------
 
 

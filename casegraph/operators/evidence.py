@@ -101,12 +101,15 @@ def _cut_out(documents: DataFrame, best: DataFrame) -> DataFrame:
         F.collect_list(F.struct("quote_id", "skipped", "place", (F.col("n") + F.col("skipped")).alias("n"))).alias("asked"))
     rows, span = with_word_offsets(documents.select(F.col("id").alias("document_id"), "full_text").join(asked, "document_id"))
 
-    def passage(a: Column) -> Column:
+    def placed(a: Column) -> Column:
         begin, end = span(a["place"], a["n"])
-        return F.struct(a["quote_id"].alias("quote_id"), a["skipped"].alias("skipped"), begin.alias("start"), end.alias("end"),
-                        F.substring("full_text", begin + 1, end - begin).alias("passage"))
+        return F.struct(a["quote_id"].alias("quote_id"), a["skipped"].alias("skipped"), begin.alias("start"), end.alias("end"))
+
+    def passage(a: Column) -> Column:
+        text = F.substring("full_text", a["start"] + 1, a["end"] - a["start"])
+        return F.struct(a["quote_id"].alias("quote_id"), a["skipped"].alias("skipped"), a["start"].alias("start"), a["end"].alias("end"), text.alias("passage"))
 
-    cut = rows.select("document_id", F.explode(F.transform("asked", passage)).alias("p"))
+    cut = rows.select("document_id", F.explode(F.transform(F.transform("asked", placed), passage)).alias("p"))
     return cut.select("p.quote_id", "document_id", "p.skipped", "p.start", "p.end", "p.passage")
 
 

@@ -134,13 +134,17 @@ def _first_mentions(documents: DataFrame, asked: DataFrame) -> DataFrame:
     """Offsets and contexts of the asked places (in words) of each document."""
     rows, span = with_word_offsets(documents.select(F.col("id").alias("document_id"), "full_text").join(asked, "document_id"))
 
-    def mention(a: Column) -> Column:
+    # offsets are bound as fields, so that each is added up once
+    def placed(a: Column) -> Column:
         begin, end = span(a["place"], a["n"])
-        lead = F.least(begin, F.lit(CONTEXT))
-        return F.struct(a["name"].alias("name"), a["entity_type"].alias("entity_type"), a["mention_count"].alias("mention_count"), begin.alias("first_mention"),
-                        F.substring("full_text", begin - lead + 1, lead + end - begin + CONTEXT).alias("context_snippet"))
+        return F.struct(a["name"].alias("name"), a["entity_type"].alias("entity_type"), a["mention_count"].alias("mention_count"), begin.alias("begin"), end.alias("end"))
+
+    def mention(a: Column) -> Column:
+        lead = F.least(a["begin"], F.lit(CONTEXT))
+        return F.struct(a["name"].alias("name"), a["entity_type"].alias("entity_type"), a["mention_count"].alias("mention_count"), a["begin"].alias("first_mention"),
+                        F.substring("full_text", a["begin"] - lead + 1, lead + a["end"] - a["begin"] + CONTEXT).alias("context_snippet"))
 
-    return rows.select("document_id", F.explode(F.transform("asked", mention)).alias("m")).select("document_id", "m.*")
+    return rows.select("document_id", F.explode(F.transform(F.transform("asked", placed), mention)).alias("m")).select("document_id", "m.*")
 
 
 def extract_mentions(

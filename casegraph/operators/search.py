@@ -63,9 +63,11 @@ def build_postings(
 
     ``only`` (term) restricts it to the terms that are asked for, before anything is shuffled.
     """
+    if only is not None:
+        only = stored(only.select("term").distinct(), "only")
     terms = _terms(documents, id_col, text_col, config, only)
     if only is not None:
-        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
+        terms = terms.join(only, "term", "left_semi")
     return terms.groupBy("term", "id").agg(F.array_sort(F.collect_set("position")).alias("positions"))
 
 
@@ -77,14 +79,26 @@ def query_terms(queries: DataFrame, config: str = "english") -> DataFrame:
 
 
 def match_all_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, id, hits): documents with every term of a query; a query without terms has none."""
-    return (
-        postings.join(terms, "term")
-        .groupBy("query_id", "id", "n_terms")
-        .agg(F.array_sort(F.collect_list(F.struct("term", "positions"))).alias("hits"))
-        .where(F.size("hits") == F.col("n_terms"))
-        .drop("n_terms")
-    )
+    """(query_id, id, hits): documents with every term of a query; a query without terms has none.
+
+    Only documents with the rarest term of a query are looked at, each with all terms it holds, so
+    postings are never multiplied by the queries that ask for them.
+    """
+    postings = stored(postings, "postings")
+    terms = stored(terms.select("query_id", "term"), "terms")
+    found_in = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    asked = stored(
+        terms.join(found_in, "term", "left").groupBy("query_id").agg(
+            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))["term"].alias("rarest"),
+            F.collect_set("term").alias("wanted")), "asked")
+    lead = asked.select("query_id", F.col("rarest").alias("term"))
+    candidates = postings.select("term", F.col("id").alias("_id")).join(lead, "term").select("query_id", "_id")
+    held = postings.groupBy("id").agg(F.collect_list(F.struct("term", "positions")).alias("held"))
+    met = held.join(candidates, F.col("id").eqNullSafe(F.col("_id"))).join(asked.select("query_id", "wanted"), "query_id")
+    complete = met.where(F.size(F.array_except("wanted", "held.term")) == 0)
+    return complete.select(
+        "query_id", "id",
+        F.array_sort(F.filter("held", lambda h: F.array_contains(F.col("wanted"), h["term"]))).alias("hits"))
 
 
 def rank(hits: Column) -> Column:

@@ -1,8 +1,8 @@
 """Names that differ by typing or reading errors, found without comparing all pairs.
 
 Two texts within ``most`` edits, swaps of neighbours included, share a text that both become by at
-most ``most`` deletions each. Names are joined on these shortened texts, hot ones dealt over several
-tasks, and only the pairs that meet are measured.
+most ``most`` deletions each. Numbers of names are joined on hashes of these shortened texts, hot ones
+dealt over several tasks, and only the pairs that meet are measured, each once.
 """
 
 from __future__ import annotations
@@ -10,10 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casegraph.functions.edits import edit_distance
-from casegraph.operators.pairs import meet_in_groups
+from casegraph.operators.pairs import distinct_pairs
+from casegraph.workspace import stored
 
 # Characters that scanning mixes up, and what they are taken for.
 CONFUSED, TAKEN_FOR = "015|$8i", "olslsbl"
+# A name makes hundreds of shortened texts, so few names are enough for a task.
+NAMES_IN_TASK = 2_000
+# Pairs are small, but measuring one takes long.
+PAIRS_IN_TASK = 1_000
 
 
 def plain_letters(c: Column) -> Column:
@@ -45,8 +50,15 @@ def typo_pairs(names: DataFrame, name_col: str, most: int = 1, confusable: bool
     name = F.col(name_col)
     rows = names.where(name.isNotNull()).select(name.alias("name")).distinct()
     rows = rows.withColumn("text", plain_letters(F.col("name")) if confusable else F.col("name"))
-    keyed = rows.select(F.explode(shortened(F.col("text"), most)).alias("key"), "name", "text")
-    met = meet_in_groups(
-        keyed.withColumnsRenamed({"name": "name1", "text": "text1"}), keyed.withColumnsRenamed({"name": "name2", "text": "text2"}), "key", hub_size)
-    pairs = met.where("name1 < name2").select("name1", "text1", "name2", "text2").distinct()
-    return pairs.withColumn("edits", edit_distance("text1", "text2")).where(F.col("edits") <= most).select("name1", "name2", "edits")
+    numbered = stored(rows.withColumn("no", F.monotonically_increasing_id()), "names")
+    # Keys are hashes and names are numbers until a pair has met; what meets by a clash is measured like the rest.
+    spread = numbered.repartition(numbered.count() // NAMES_IN_TASK + 1)
+    keyed = spread.select(F.explode(F.transform(shortened(F.col("text"), most), lambda t: F.xxhash64(t))).alias("key"), "no")
+    met = stored(distinct_pairs(keyed, "key", "no", hub_size), "met")
+    pairs = met.join(numbered.select(F.col("no").alias("item1"), F.struct("name", "text").alias("a")), "item1").join(
+        numbered.select(F.col("no").alias("item2"), F.struct("name", "text").alias("b")), "item2")
+    spread = pairs.repartition(met.count() // PAIRS_IN_TASK + 1)
+    # stored, since Spark would move a filter on the measure to before the pairs are spread
+    measured = stored(spread.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).select(
+        F.col("a.name").alias("name1"), F.col("b.name").alias("name2"), edit_distance("a.text", "b.text").alias("edits")), "measured")
+    return measured.where(F.col("edits") <= most)

@@ -1,6 +1,7 @@
 """Pair counting by lists, similarity signatures, rarest-term search and typing errors, held against brute force."""
 
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from casegraph.operators import pairs, search, similarity, traversal, typos
+from casegraph.operators import cooccurrence, pairs, search, similarity, traversal, typos
 from casegraph.workspace import stored
 
 
@@ -105,3 +106,24 @@ def test_hops_broadcast_a_small_frontier(spark):
     frontier = stored(nodes.where("id = 0"), "frontier")
     joined = frontier.join(edges, frontier["id"] == edges["source"])
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("hub_size", [2_000, 3])
+@pytest.mark.parametrize("hot", [200_000, 5])
+def test_connections_by_name_equal_brute_force(spark, monkeypatch, hub_size, hot):
+    monkeypatch.setattr(pairs, "HOT_ITEM", hot)
+    groups, rows = _membership(spark)
+    name = {x: None if x % 7 == 0 else f"n{x % 9}" for x in range(40)}
+    entities = spark.createDataFrame(list(name.items()), "id bigint, canonical_name string")
+    mentions = rows.select(F.col("g").alias("document_id"), F.col("x").alias("entity_id"))
+    shared = Counter((x, n) for items in groups.values() for x in items for n in {name[y] for y in items if y != x})
+    want = set()
+    for x in name:
+        best = sorted(((-c, n or "", n) for (y, n), c in shared.items() if y == x), key=lambda t: t[:2])[:4]
+        want |= {(x, name[x], n, -c, place) for place, (c, _, n) in enumerate(best, 1)}
+    for seeds in (None, spark.createDataFrame([(3,), (14,)], "id bigint")):
+        found = cooccurrence.connections_by_name(mentions, entities, seeds, 4, hub_size)
+        got = [(r.entity_id, r.entity1, r.entity2, r.shared_docs, r["rank"]) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == {w for w in want if seeds is None or w[0] in (3, 14)}
+    # names are not shuffled with every pair
+    assert "hashpartitioning(entity_id, entity2" not in re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString())

@@ -127,3 +127,25 @@ def test_connections_by_name_equal_brute_force(spark, monkeypatch, hub_size, hot
         assert len(got) == len(set(got)) and set(got) == {w for w in want if seeds is None or w[0] in (3, 14)}
     # names are not shuffled with every pair
     assert "hashpartitioning(entity_id, entity2" not in re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("hub_size", [2_000, 4])
+def test_joint_documents_meet_inside_documents(spark, hub_size):
+    groups, rows = _membership(spark)
+    mentions = rows.select(F.col("g").alias("document_id"), F.col("x").alias("entity_id"))
+    mentions = mentions.unionByName(mentions.where("entity_id = 5 AND document_id < 30"))  # 5 stands twice in some
+    asked = [(a, b) for a in range(0, 40, 3) for b in range(0, 40, 4)] + [(1, 5), (5, 1), (5, 1), (None, 3)]
+    table = spark.createDataFrame(asked, "a bigint, b bigint")
+    want = Counter((a, b, g) for a, b in asked for g, items in groups.items() if a in items and b in items
+                   for _ in range(2 if a == 5 and g < 30 else 1))
+    got = Counter(tuple(r) for r in traversal.joint_documents(mentions, table, hub_size).collect())
+    assert got == want
+
+
+def test_a_busy_entity_is_not_looked_up_for_each_of_its_pairs(spark):
+    """An entity of 2,000 documents and 100 pairs: what is joined follows the documents and not their product."""
+    mentions = spark.range(2_000).select(F.col("id").alias("document_id"), F.explode(F.array(F.lit(0), F.col("id") % 100 + 1)).alias("entity_id"))
+    asked = spark.range(1, 101).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
+    found = traversal.joint_documents(mentions, asked)
+    assert found.count() == 2_000
+    assert "LeftSemi, ((b" not in re.sub(r"#\d+L?", "", found._jdf.queryExecution().optimizedPlan().toString())

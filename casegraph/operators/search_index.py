@@ -8,6 +8,10 @@ Blocks are then read best first, twice as many each time, until no block left ca
 best rank found so far; folders without a block to be read are not opened again. The result is that
 of ranking every document.
 
+Words are shuffled once to build the index, to the task that writes their folder. A search gathers the
+asked words of a document once for all queries, and each query meets the documents of its rarest term
+of a block there, so postings are never multiplied by the queries that ask for them.
+
 Bound for several terms: a document has at most two words at any distance from a word, so n
 occurrences of a term meet the m occurrences of the others at the distances 1, 1, 2, 2, ... at best,
 m of them from each; every pair is counted from both its ends, so half the sum is the bound.
@@ -26,6 +30,7 @@ from casegraph.workspace import stored
 
 BLOCK_DOCUMENTS = 512
 BUCKETS = 64
+FOLDER_WORDS = 1 << 24  # words of the blocks that one task writes for all buckets, if a block is not larger
 FIRST_BLOCKS = 4  # read in the first round of a query
 SLACK = 1e-9  # more than rounding can add to a rank
 
@@ -78,14 +83,17 @@ class SearchIndex:
         parts = sized.groupBy("level").agg(F.ceil(F.count(F.lit(1)) / block_documents).alias("parts"))  # some 30 rows at most
         block = F.col("level").cast("bigint") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))
         keyed = sized.join(parts, "level").select(F.struct(block.alias("block"), "id").alias("key"), "text")
+        # blocks that are written together have this many words at most, a single block may have more
+        number, level = F.col("block").bitwiseAND((1 << 32) - 1), F.shiftright("block", 32).cast("int")
+        beside = F.greatest(F.lit(1.0), F.floor(F.lit(FOLDER_WORDS / block_documents) / F.pow(F.lit(2.0), level + 1)))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
         placed = _terms(keyed, "key", "text", config).select("term", "id.block", "id.id", "position")
-        documents_of = placed.groupBy("term", "block", "id").agg(F.array_sort(F.collect_set("position")).alias("positions"))
-        rows = documents_of.groupBy("term", "block").agg(
+        home = ["bucket", "level", "share"]
+        dealt = placed.withColumns({"bucket": bucket, "level": level, "share": F.floor(number / beside)}).repartition(*home)
+        documents_of = dealt.groupBy(*home, "term", "block", "id").agg(F.array_sort(F.collect_set("position")).alias("positions"))
+        rows = documents_of.groupBy(*home, "term", "block").agg(
             F.count(F.lit(1)).alias("n_docs"), F.max(F.size("positions")).alias("most"), F.collect_list(F.struct("id", "positions")).alias("docs"))
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        order = ["bucket", "level", "term", "block"]
-        rows.withColumn("bucket", bucket).withColumn("level", F.shiftright("block", 32).cast("int")).repartitionByRange(*order).sortWithinPartitions(
-            *order).write.partitionBy("bucket", "level").parquet(f"{folder}/blocks")
+        rows.drop("share").sortWithinPartitions("bucket", "level", "term", "block").write.partitionBy("bucket", "level").parquet(f"{folder}/blocks")
         spark.createDataFrame([(config, buckets)], "config string, buckets int").coalesce(1).write.parquet(f"{folder}/about")
         return cls(spark, folder)
 
@@ -122,17 +130,32 @@ class SearchIndex:
                 chosen = left.where(F.col("turn") <= until + size)
             chosen = stored(chosen.select("query_id", "block"), "chosen")
             self.blocks_read += chosen.count()
-            asked = chosen.join(terms, "query_id")
             levels = [r[0] for r in chosen.select(F.shiftright("block", 32)).distinct().collect()]
-            hits = (
-                index.where(F.col("level").isin(levels)).select("term", "block", "docs").join(asked, ["term", "block"])
-                .select("query_id", "n_terms", "term", F.explode("docs").alias("d"))
-                .groupBy("query_id", F.col("d.id").alias("id"), "n_terms")
-                .agg(F.array_sort(F.collect_list(F.struct("term", F.col("d.positions").alias("positions")))).alias("hits"))
-                .where(F.size("hits") == F.col("n_terms"))
-            )
+            hits = self._hits(index.where(F.col("level").isin(levels)), chosen, terms)
             found = hits.select("query_id", "id", rank(F.col("hits")).alias("rank"))
             if best is not None:
                 found = found.unionByName(best.drop("place"))
             best = stored(top_k_per_group(found, ["query_id"], rank_order(), k, "place"), "best")
             until, size = until + size, 2 * size
+
+    def _hits(self, index: DataFrame, chosen: DataFrame, terms: DataFrame) -> DataFrame:
+        """(query_id, id, hits): documents of the ``chosen`` (query_id, block) with all terms of the query."""
+        asked = chosen.join(terms.select("query_id", "term"), "query_id")
+        wanted = terms.groupBy("query_id").agg(F.collect_set("term").alias("wanted"))
+        rarest = stored(
+            index.select("term", "block", "n_docs").join(asked, ["term", "block"]).groupBy("query_id", "block").agg(
+                F.min(F.struct("n_docs", "term"))["term"].alias("term")), "rarest")
+        candidates = index.select("term", "block", F.col("docs.id").alias("ids")).join(rarest, ["term", "block"]).select(
+            "query_id", F.col("block").alias("_block"), F.explode("ids").alias("_id"))
+        held = (
+            index.select("term", "block", "docs").join(asked.select("term", "block").distinct(), ["term", "block"], "left_semi")
+            .select("block", "term", F.explode("docs").alias("d"))
+            .groupBy("block", F.col("d.id").alias("id"))
+            .agg(F.collect_list(F.struct("term", F.col("d.positions").alias("positions"))).alias("held"))
+        )
+        there = (F.col("block") == F.col("_block")) & F.col("id").eqNullSafe(F.col("_id"))
+        met = candidates.join(held, there).join(wanted, "query_id")
+        complete = met.where(F.size(F.array_except("wanted", "held.term")) == 0)
+        return complete.select(
+            "query_id", "id",
+            F.array_sort(F.filter("held", lambda h: F.array_contains(F.col("wanted"), h["term"]))).alias("hits"))

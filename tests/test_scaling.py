@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from casegraph.operators import cooccurrence, pairs, search, similarity, traversal, typos
+from casegraph.operators.search_index import SearchIndex
 from casegraph.workspace import stored
 
 
@@ -108,6 +109,22 @@ def test_hops_broadcast_a_small_frontier(spark):
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_index_gathers_asked_words_once_for_all_queries(spark, tmp_path):
+    """Queries that ask for the same words share the postings; a document may lack its id or have two rows."""
+    texts = [(i, f"alpha beta w{i % 3} alpha") for i in range(30)] + [(None, "alpha beta beta"), (0, "beta alpha beta")]
+    documents = spark.createDataFrame(texts, "id bigint, full_text string")
+    index = SearchIndex.build(documents, f"{tmp_path}/index", "simple", block_documents=8, buckets=2)
+    queries = spark.createDataFrame([(q, "alpha beta") for q in range(6)] + [(6, "w1 beta"), (7, "missing beta")], "query_id bigint, q string")
+    terms = stored(search.query_terms(queries, "simple"), "terms")
+    rows = index._blocks(terms)
+    chosen = rows.select("block").distinct().crossJoin(terms.select("query_id").distinct())
+    got = [(r.query_id, r.id) for r in index._hits(rows, chosen, terms).collect()]
+    ids = [None, *range(30)]
+    assert sorted(got, key=str) == sorted([(q, i) for q in range(6) for i in ids] + [(6, i) for i in range(30) if i % 3 == 1], key=str)
+    best = {(r.query_id, r.place): r.id for r in index.search(queries, 40).collect()}
+    assert len(best) == 6 * 31 + 10
+
+
 @pytest.mark.parametrize("hub_size", [2_000, 3])
 @pytest.mark.parametrize("hot", [200_000, 5])
 def test_connections_by_name_equal_brute_force(spark, monkeypatch, hub_size, hot):

@@ -166,3 +166,23 @@ def test_a_busy_entity_is_not_looked_up_for_each_of_its_pairs(spark):
     found = traversal.joint_documents(mentions, asked)
     assert found.count() == 2_000
     assert "LeftSemi, ((b" not in re.sub(r"#\d+L?", "", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_neighbours_are_counted_from_pairs_that_travel_once(spark, monkeypatch):
+    groups, rows = _membership(spark)
+    lists, gathered = [], pairs.gathered
+    monkeypatch.setattr(pairs, "gathered", lambda met, of: lists.append(met) or gathered(met, of))
+    degree = Counter(x for p in {p for items in groups.values() for p in combinations(sorted(items), 2)} for x in p)
+    assert {r.x: r.neighbours for r in pairs.neighbour_counts(rows, "g", "x").collect()} == dict(degree)
+    met = sum(len(items) * (len(items) - 1) // 2 for items in groups.values())
+    assert lists[0].agg(F.sum(F.size("others"))).first()[0] == met
+
+
+def test_khop_stores_edges_one_way(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(traversal, "stored", lambda df, label="table": sizes.append(df.count()) or stored(df, label))
+    edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (5, 4), (6, 6), (None, 1), (2, 7)], "source bigint, target bigint")
+    seeds = spark.createDataFrame([(1,), (4,), (6,)], "id bigint")
+    got = sorted(tuple(r) for r in traversal.khop(edges, seeds, 3).where("id IS NOT NULL").collect())
+    assert got == [(1, 2, 1), (1, 3, 2), (1, 4, 3), (1, 7, 2), (4, 1, 3), (4, 2, 2), (4, 3, 1), (4, 5, 1), (4, 7, 3)]
+    assert max(sizes) == 7

@@ -5,11 +5,12 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from casegraph.operators import cooccurrence, pairs, search, similarity, traversal, typos
+from casegraph.operators import cooccurrence, pairs, patterns, search, similarity, traversal, typos
 from casegraph.operators.search_index import SearchIndex
 from casegraph.workspace import stored
 
@@ -186,3 +187,15 @@ def test_khop_stores_edges_one_way(spark, monkeypatch):
     got = sorted(tuple(r) for r in traversal.khop(edges, seeds, 3).where("id IS NOT NULL").collect())
     assert got == [(1, 2, 1), (1, 3, 2), (1, 4, 3), (1, 7, 2), (4, 1, 3), (4, 2, 2), (4, 3, 1), (4, 5, 1), (4, 7, 3)]
     assert max(sizes) == 7
+
+
+def test_timelines_are_looked_up_by_place(spark):
+    counts = {1: {"a": 2, "b": 1, "d": 4}, 2: {"b": 3, "d": 1}, 3: {"c": 5}, 4: {"a": 1}}
+    rows = [(e, p, n) for e, own in counts.items() for p, n in own.items()] + [(1, None, 9), (5, "a", 7)]
+    activity = spark.createDataFrame(rows, "entity_id long, period string, n long")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (1, 9)], "source long, target long")
+    found = patterns.timeline_correlation(activity, pairs, 5)
+    r = {(x.source, x.target): x.r for x in found.collect()}
+    dense = {e: [own.get(p, 0) for p in "abcde"] for e, own in counts.items()}
+    assert r == {p: pytest.approx(float(np.corrcoef(dense[p[0]], dense[p[1]])[0, 1])) for p in [(1, 2), (2, 3), (1, 4)]}
+    assert not re.search(r"element_at\(v2", found._jdf.queryExecution().optimizedPlan().toString())

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from casegraph.operators import cooccurrence, pairs, patterns, search, similarity, traversal, typos
 from casegraph.operators.search_index import SearchIndex
+from casegraph.sources import analyses
 from casegraph.workspace import stored
 
 
@@ -199,3 +201,26 @@ def test_timelines_are_looked_up_by_place(spark):
     dense = {e: [own.get(p, 0) for p in "abcde"] for e, own in counts.items()}
     assert r == {p: pytest.approx(float(np.corrcoef(dense[p[0]], dense[p[1]])[0, 1])) for p in [(1, 2), (2, 3), (1, 4)]}
     assert not re.search(r"element_at\(v2", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_answers_are_taken_apart_once(spark):
+    body = ('{"summary": "s", "detailedSummary": "d", "documentType": "t", "dateEarliest": null, "dateLatest": "", "contentTags": [], '
+            '"entities": [{"name": "A", "type": "person"%s}], "triples": [%s]}')
+    triple = '{"subject": "a", "subjectType": "person", "predicate": "p", "object": "o", "objectType": "date"%s}'
+    texts = [
+        "Ü} " + body % ("", triple % ', "tags": ["x"]') + " end {", body % ("", triple % ', "tags": null'), body % (', "context": 1', ""),
+        body % ("", "null"), body % ("", triple % ', "location": null'), "}{", None,
+    ]
+    parsed = analyses.parse_analyses(spark.createDataFrame(list(enumerate(texts)), "document_id long, response string"))
+    assert [x.error_message for x in parsed.orderBy("document_id").collect()] == [
+        None, "invalid field triples", "invalid field entities", "invalid field triples", "invalid field triples", "no JSON found", "no JSON found"]
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "$.name" not in plan and "$.subject" not in plan
+
+
+def test_loaded_answers_are_read_by_column(spark):
+    from casegraph.plans.catalogue import _loaded
+
+    answers = spark.createDataFrame([(1, "DOC1", "{}")], "document_id long, doc_id string, response string")
+    parsed, _ = _loaded(SimpleNamespace(spark=spark, answers=answers))
+    assert "parquet" in parsed.select("document_id")._jdf.queryExecution().executedPlan().toString().lower()

@@ -38,6 +38,31 @@ def test_pairs_are_counted_exactly(spark, monkeypatch, hub_size, hot):
     assert {tuple(r) for r in pairs.distinct_pairs(rows, "g", "x", hub_size).collect()} == set(shared)
 
 
+@pytest.mark.parametrize("block_rows", [4_000_000, 10])
+def test_pairs_in_blocks_are_counted_exactly(spark, block_rows):
+    groups, rows = _membership(spark)
+    shared = Counter(p for items in groups.values() for p in combinations(sorted(items), 2))
+    size = Counter(x for items in groups.values() for x in items) + Counter([1, 2])  # rows without a group count as one each
+    for least in (1, 2, 3):
+        got = [tuple(r) for r in pairs.pairs_in_blocks(rows, "g", "x", least, block_rows=block_rows).collect()]
+        assert sorted(got) == sorted((a, b, n, size[a], size[b]) for (a, b), n in shared.items() if n >= least)
+    edges = sorted({tuple(sorted(p)) for items in groups.values() for p in combinations(items[:3], 2)})
+    near = {x: {a + b - x for a, b in edges if x in (a, b)} for x in range(40)}
+    want = {(a, b): (len(near[a] & near[b]), len(near[a] & near[b]) / len(near[a] | near[b])) for a, b in combinations(range(40), 2)
+            if b not in near[a] and len(near[a] & near[b]) >= 2}
+    found = patterns.indirect_pairs(spark.createDataFrame([(b, a) if a % 2 else (a, b) for a, b in edges], "source bigint, target bigint"), 2, block_rows)
+    assert {(r.source, r.target): (r.shared, r.jaccard) for r in found.collect()} == want
+
+
+def test_colocated_and_indirect_pairs_shuffle_no_pairs(spark):
+    triples = spark.range(40).selectExpr("id % 2 AS location_id", "date'2024-01-01' AS timestamp", "id AS subject_id", "id + 100 AS object_id")
+    edges = spark.range(40).selectExpr("id AS source", "(id * 7 + 1) % 40 AS target").where("source < target")
+    for found in (patterns.colocated(triples, 1), patterns.indirect_pairs(edges)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Exchange" not in plan[:plan.index("MapInArrow")]
+    assert patterns.colocated(triples, 1).count() == 2 * (40 * 39 // 2)
+
+
 def test_connection_documents_lists_every_pair_and_document(spark, tmp_path):
     orders = spark.createDataFrame(
         [(1, 5, "F", 10.0, "1-URGENT"), (2, 5, "O", 20.0, "5-LOW")],

@@ -75,6 +75,18 @@ def test_connection_documents_lists_every_pair_and_document(spark, tmp_path):
     assert got == {(a, b, doc) for doc, items in held.items() for a, b in combinations(sorted(items), 2)}
 
 
+def test_postings_of_one_table_are_shuffled_once(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        names = spark.createDataFrame([(i, f"trading {i * 7919 % 97:x}{i:04x}{i * 31:x} inc") for i in range(60)], "id bigint, name string")
+        found = similarity.similar_pairs(names, "id", "name", hot_token=1)
+        found.collect()
+        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_similar_keys_once_gives_each_pair_once(spark):
     rng = random.Random(5)
     codes = ["".join(rng.choices("abcdef", k=12)) for _ in range(40)]

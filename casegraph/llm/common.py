@@ -72,8 +72,12 @@ def key_columns(id_col: str, hash_col: str) -> list[Column]:
 def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Join ``rows`` with a lookup of one row per key; rows of a hot key are dealt to ``salts`` tasks.
 
-    Null keys match nothing.
+    Null keys match nothing. A lookup that Spark will broadcast needs no copies: its size estimate leaves
+    them out, so they would all pass through the driver.
     """
+    limit = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if int(lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= limit:
+        return rows.join(lookup, keys, how)
     salt = fresh(rows, "__salt")
     dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     copies = lookup.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

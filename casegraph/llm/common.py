@@ -76,7 +76,8 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     them out, so they would all pass through the driver.
     """
     limit = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    if int(lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= limit:
+    size = lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # a number of Python or of Scala
+    if int(str(size)) <= limit:
         return rows.join(lookup, keys, how)
     salt = fresh(rows, "__salt")
     dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
